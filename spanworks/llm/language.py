@@ -16,8 +16,8 @@ FAMILIES = {
     "romance": ("fr", "es", "pt", "it", "ro", "ca", "gl"),
     "slavic": ("ru", "uk", "be", "bg", "mk", "sr", "hr", "pl", "cs", "sk", "sl"),
 }
-#: Bound of the sample the machines are trained on, and bytes of each of its texts that they see.
-PER_LANGUAGE, SAMPLE_BYTES, LOG_BUCKETS = 400, 4000, 15
+#: Bounds of the sample the machines are trained on: rows of a language, rows of all, bytes of each text that they see.
+PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_BYTES, LOG_BUCKETS = 400, 2000, 4000, 14
 
 _LETTER = regex.compile(r"\p{L}")
 #: A-Z to a-z, other ASCII but letters to blank, bytes of other characters as they are.
@@ -38,41 +38,47 @@ def grams(raw: np.ndarray) -> np.ndarray:
     return np.stack((spread(x, 0), spread(two, 1), spread(three, 2)))
 
 
-def histogram(raw: bytes) -> np.ndarray:
-    if not raw:
-        return np.zeros(1 << LOG_BUCKETS)
-    return np.bincount(grams(np.frombuffer(raw, np.uint8)).ravel(), minlength=1 << LOG_BUCKETS) / len(raw)
+def histograms(texts: list[bytes]) -> np.ndarray:
+    """Shares of the buckets in each text, times 10."""
+    out = np.zeros((len(texts), 1 << LOG_BUCKETS), np.float32)
+    for row, raw in zip(out, texts):
+        if raw:
+            row += np.bincount(grams(np.frombuffer(raw, np.uint8)).ravel(), minlength=1 << LOG_BUCKETS) * (10 / len(raw))
+    return out
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, rounds: int = 300, penalty: float = 1e-5) -> tuple[np.ndarray, float]:
-    """A linear support vector machine (squared hinge loss) by accelerated gradient steps; y is 1 or -1; classes weigh
-    the same however many rows they have."""
+def train_svm(products: np.ndarray, y: np.ndarray, rounds: int = 1000, penalty: float = 1e-5) -> tuple[np.ndarray, float]:
+    """A linear support vector machine (squared hinge loss) by accelerated gradient steps, as coefficients of the rows,
+    of which the inner products are given; y is 1 or -1; classes weigh the same however many rows they have."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w, b, last_w, last_b = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0
-    step = 1.0 / (2 * (np.einsum("ij,ij->i", x, x) + 1).max() + penalty)
+    a, b, last_a, last_b = np.zeros(len(y)), 0.0, np.zeros(len(y)), 0.0
+    step = 1.0 / (2 * (products.diagonal().max() + 1) + penalty)
     for i in range(rounds):
         speed = i / (i + 3)
-        at_w, at_b = w + speed * (w - last_w), b + speed * (b - last_b)
-        slack = np.maximum(0, 1 - y * (x @ at_w + at_b)) * y * weight
-        last_w, last_b = w, b
-        w, b = at_w - step * (penalty * at_w - 2 * (slack @ x)), at_b + step * 2 * slack.sum()
-    return w, float(b)
+        at_a, at_b = a + speed * (a - last_a), b + speed * (b - last_b)
+        slack = np.maximum(0, 1 - y * (products @ at_a + at_b)) * y * weight
+        last_a, last_b = a, b
+        a, b = at_a - step * (penalty * at_a - 2 * slack), at_b + step * 2 * slack.sum()
+    return a, float(b)
 
 
 def fit(texts: list[tuple[str, bytes]]) -> dict:
     """The machines of (lang, text) rows: between families, and between the languages of each, all pairs."""
     langs = sorted({lang for lang, _ in texts})
-    x = np.stack([histogram(t) for _, t in texts]) * 10 if texts else np.zeros((0, 1 << LOG_BUCKETS))
+    x = histograms([t for _, t in texts])
+    products = (x @ x.T).astype(np.float64)
     named, families = np.array([lang for lang, _ in texts]), np.array([family_of(lang) for lang, _ in texts])
     groups = {f: [lang for lang in langs if family_of(lang) == f] for f in sorted({family_of(lang) for lang in langs})}
     duels, weights = [], []
     for of, pairs in ((families, combinations(groups, 2)), (named, (p for g in groups.values() for p in combinations(g, 2)))):
-        for a, b in pairs:
-            rows = (of == a) | (of == b)
-            w, bias = train_svm(x[rows], np.where(of[rows] == a, 1.0, -1.0))
-            duels.append((a, b, bias))
-            weights.append(w * 10)
-    return {"groups": groups, "duels": duels, "weights": np.array(weights).reshape(len(duels), 1 << LOG_BUCKETS).astype(np.float32)}
+        for one, other in pairs:
+            rows = np.flatnonzero((of == one) | (of == other))
+            a, bias = train_svm(products[np.ix_(rows, rows)], np.where(of[rows] == one, 1.0, -1.0))
+            spread = np.zeros(len(x), np.float32)
+            spread[rows] = a * 10
+            duels.append((one, other, bias))
+            weights.append(spread @ x)
+    return {"groups": groups, "duels": duels, "weights": np.array(weights, np.float32).reshape(len(duels), 1 << LOG_BUCKETS)}
 
 
 def _winner(among: list[str], margins: dict[tuple[str, str], float]) -> tuple[str, float]:
@@ -107,10 +113,12 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int = 200) -> dict:
-    """Fits on a bounded sample: of each lang value (the `most_languages` commonest), the `per_language` rows with the
-    smallest hash of doc_id among those not held out, the first SAMPLE_BYTES bytes of each."""
+    """Fits on a bounded sample: of each lang value (the `most_languages` commonest), the `per_language` rows (fewer, if
+    that made over SAMPLE_ROWS of all) with the smallest hash of doc_id among those not held out, the first SAMPLE_BYTES
+    bytes of each."""
     rows = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    per_language = max(5, min(per_language, SAMPLE_ROWS // max(1, len(counts))))
     order = F.xxhash64("doc_id", "lang")
     # A threshold on the hash leaves each language about three times the rows it needs, before any text is shuffled.
     near = F.lit(False)
@@ -130,7 +138,7 @@ def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
     repeat a doc_id each get a prediction. An empty table gives no rows. Other columns are not read.
     """
     model = learn(docs) if model is None else model
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded: a row of 2**15 floats for each pair
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 2**14 floats for each pair
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
