@@ -81,13 +81,15 @@ def references(featured: DataFrame) -> DataFrame:
     return each.where("lang is not null").union(pooled.select(F.lit(None).cast("string"), "ref_chars", "ref_common"))
 
 
-def jensen_shannon(p: str, q: str) -> Column:
-    """Jensen-Shannon distance (base 2, 0 to 1) of two arrays of counts; null if either sums to 0."""
+def with_distance(rows: DataFrame, p: str, q: str, name: str) -> DataFrame:
+    """Adds the Jensen-Shannon distance (base 2, 0 to 1) of two arrays of counts; null if either sums to 0."""
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
-    shares = F.zip_with(F.transform(p, lambda v: v / F.nullif(total(p), F.lit(0.0))), F.transform(q, lambda v: v / F.nullif(total(q), F.lit(0.0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    rows = rows.withColumn("_p", F.nullif(total(p), F.lit(0.0))).withColumn("_q", F.nullif(total(q), F.lit(0.0)))
     term = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
-    parts = F.transform(shares, lambda s: (term(s.a, (s.a + s.b) / 2) + term(s.b, (s.a + s.b) / 2)) / 2)
-    return F.when((total(p) > 0) & (total(q) > 0), F.sqrt(F.greatest(total(parts), F.lit(0.0))))
+    shares = F.zip_with(F.transform(p, lambda v: v / F.col("_p")), F.transform(q, lambda v: v / F.col("_q")), lambda a, b: F.struct(a.alias("a"), b.alias("b"), ((a + b) / 2).alias("m")))
+    parts = F.transform(shares, lambda s: (term(s.a, s.m) + term(s.b, s.m)) / 2)
+    known = F.col("_p").isNotNull() & F.col("_q").isNotNull()
+    return rows.withColumn(name, F.when(known, F.sqrt(F.greatest(total(parts), F.lit(0.0))))).drop("_p", "_q")
 
 
 def quality(docs: DataFrame, most_chars: float = 0.28, most_common: float = 0.4, min_words: int = 100) -> DataFrame:
@@ -102,7 +104,7 @@ def quality(docs: DataFrame, most_chars: float = 0.28, most_common: float = 0.4,
     made = staged(features(docs))
     refs = staged(references(made))
     both = join_sized(made, refs.withColumnRenamed("lang", "of"), F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")
-    judged = both.withColumn("char_distance", jensen_shannon("chars", "ref_chars")).withColumn("word_distance", jensen_shannon("common", "ref_common"))
+    judged = with_distance(with_distance(both, "chars", "ref_chars", "char_distance"), "common", "ref_common", "word_distance")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     near = (F.col("n_words") < min_words) | ((F.coalesce("char_distance", F.lit(0.0)) <= most_chars) & (F.coalesce("word_distance", F.lit(0.0)) <= most_common))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & near).alias("kept"), "char_distance", "word_distance")
