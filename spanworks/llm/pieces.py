@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Chunks whose paths a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 
@@ -51,9 +51,11 @@ class Transducer:
         self.bytes = {int(p[3:5], 16): i for i, (p, kind) in enumerate(zip(pieces, model["kinds"])) if kind == _BYTE}
         self.unknown = next((i for i, kind in enumerate(model["kinds"]) if kind == _UNKNOWN), 0)
         self.score = model["scores"]
-        self.longest = max(map(len, self.ids), default=1)
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.paths: dict[str, list[int]] = {}
+        self.tails = {p[i:]: -1 for p in self.ids for i in range(1, len(p))} | self.ids
+        self.pairs: dict[int, bool] = {}
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.kind = np.uint16 if len(pieces) <= 1 << 16 else np.uint32
         latin = re.compile("[A-Za-z\u00c0-\u024f]")
         inner = [(a, b) for p in self.ids for a, b in zip(p, p[1:]) if a != SPACE]
         if any(b == SPACE for _, b in inner):
@@ -80,38 +82,38 @@ class Transducer:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
     def follows(self, a: int, b: int) -> bool:
-        """The pair acceptor: whether b may stand after a."""
-        found = self.pairs.get((a, b))
-        if found is None:
-            texts = [self.model["pieces"][i] for i in (a, b) if i >= 0]  # -1: the start
-            found = self.pairs[a, b] = self.merged("".join(texts)) == texts
+        """The pair acceptor: whether b may stand after a (-1: at the start)."""
+        texts = [self.model["pieces"][i] for i in (a, b) if i >= 0]
+        found = self.pairs[(a + 1) << 20 | b] = self.merged("".join(texts)) == texts
         return found
 
     def shortest(self, run: str) -> list[int] | None:
-        """The shortest path over a run of characters that are all pieces; None if there is none."""
-        n, ids, bpe = len(run), self.ids, self.model["bpe"]
-        cost: list[float | None] = [0.0] + [None] * n
-        last: list[int] = [-1] * (n + 1)
-        back = [0] * (n + 1)
+        """The shortest path over a run of characters that are all pieces; None if there is none. Pieces that end at a
+        place are found from their last character on, as far as what is read ends any piece."""
+        tails, pairs, score = self.tails, self.pairs, self.score if not self.model["bpe"] else None
+        n = len(run)
+        last, back, cost = [-1] * (n + 1), [-1] * (n + 1), [0.0] + [float("inf")] * n
         for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                if cost[start] is None:
-                    continue
-                piece = ids.get(run[start:end])
+            start = end - 1
+            while start >= 0:
+                piece = tails.get(run[start:end])
                 if piece is None:
-                    continue
-                if bpe:
-                    if not self.follows(last[start], piece):
-                        continue
-                    cost[end], last[end], back[end] = cost[start] + 1.0, piece, start
-                    break  # the only admitted piece that ends here
-                total = cost[start] - self.score[piece]
-                if cost[end] is None or total < cost[end]:
-                    cost[end], last[end], back[end] = total, piece, start
-        if cost[n] is None:
-            return None
+                    break
+                if piece >= 0:
+                    if score is not None:
+                        if cost[start] - score[piece] < cost[end]:
+                            cost[end], last[end], back[end] = cost[start] - score[piece], piece, start
+                    elif back[start] >= 0 or start == 0:
+                        before = last[start]
+                        admitted = pairs.get((before + 1) << 20 | piece)
+                        if self.follows(before, piece) if admitted is None else admitted:
+                            last[end], back[end] = piece, start
+                            break  # the only admitted one that ends here
+                start -= 1
         out, at = [], n
-        while at:
+        while at > 0:
+            if back[at] < 0:
+                return None
             out.append(last[at])
             at = back[at]
         return out[::-1]
@@ -129,23 +131,29 @@ class Transducer:
                 at = end + 1
         return out
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        paths = self.paths
-        for chunk in self.chunk.findall(self.normalised(text)):
-            found = paths.get(chunk)
-            if found is None:
-                found = self.path(chunk)
-                if len(chunk) < 64:
-                    if len(paths) >= REMEMBERED:
-                        paths.clear()
-                    paths[chunk] = found
-            out += found
-        return out
+    def encode(self, text: str) -> np.ndarray:
+        chunks = self.chunk.findall(self.normalised(text))
+        parts = list(map(self.recent.get, chunks))
+        if None in parts:
+            for i, part in enumerate(parts):
+                if part is None:
+                    parts[i] = self.remembered(chunks[i])
+        return np.frombuffer(b"".join(parts), self.kind)
+
+    def remembered(self, chunk: str) -> bytes:
+        """The path of a chunk, kept among the recent ones; when those are many they become the older ones, and the older
+        ones go unless they are met again."""
+        found = self.recent.get(chunk) or self.older.get(chunk)
+        if found is None:
+            found = np.array(self.path(chunk), self.kind).tobytes()
+        if len(chunk) < 64:
+            if len(self.recent) >= REMEMBERED:
+                self.recent, self.older = {}, self.recent
+            self.recent[chunk] = found
+        return found
 
-    def decode(self, ids: list[int]) -> str:
-        surface = self.surface
-        text = b"".join([surface[i] for i in ids]).decode("utf-8", "replace")
+    def decode(self, ids) -> str:
+        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.model["prefix"] and text.startswith(" ") else text
 
 
@@ -166,19 +174,21 @@ def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
         transducer = _compiled.get("last")  # a worker serves many tasks
         if transducer is None or transducer.model != sent.value:
             transducer = _compiled["last"] = Transducer(sent.value)
-        low, high = (min(transducer.bytes.values()), max(transducer.bytes.values())) if transducer.bytes else (0, -1)
+        is_byte = np.zeros(len(transducer.surface), bool)
+        is_byte[list(transducer.bytes.values())] = True
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                chars, counts, fallback, trips, ids = [], [], [], [], []
-                for text in part.column(1).to_pylist():
-                    found = None if text is None else np.array(transducer.encode(text), np.int32)
-                    chars.append(len(text or ""))
-                    ids.append(found)
-                    counts.append(0 if found is None else len(found))
-                    fallback.append(0 if found is None else int(((found >= low) & (found <= high)).sum()))
-                    trips.append(None if found is None else transducer.decode(found.tolist()) == text)
-                columns = [part.column(0), pa.array(chars, pa.int64()), pa.array(counts, pa.int64()), pa.array(fallback, pa.int64()), pa.array(trips, pa.bool_()), pa.array(ids, pa.list_(pa.int32()))]
+                texts = part.column(1).to_pylist()
+                missing = np.array([t is None for t in texts])
+                ids = [transducer.encode(t or "") for t in texts]
+                trips = [None if t is None else transducer.decode(x.tolist()) == t for t, x in zip(texts, ids)]
+                counts = np.array([len(x) for x in ids], np.int64)
+                ends, flat = np.concatenate(([0], np.cumsum(counts))).astype(np.int32), np.concatenate(ids).astype(np.int32)
+                bytes_before = np.concatenate(([0], np.cumsum(is_byte[flat])))
+                columns = [
+                    part.column(0), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(counts), pa.array(bytes_before[ends[1:]] - bytes_before[ends[:-1]], pa.int64()),
+                    pa.array(trips, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array(missing))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "n_pieces", "n_bytes", "round_trip", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_chars long, n_pieces long, n_bytes long, round_trip boolean, ids array<int>")
