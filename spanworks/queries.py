@@ -1,4 +1,4 @@
 """Named queries over the reference's operators, with their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import graphs, inventory  # noqa: F401
+from .plans.registry import ORACLES, QUERIES  # noqa: F401
