@@ -73,10 +73,10 @@ def mix(docs: DataFrame) -> DataFrame:
     part = lambda start: F.least(F.greatest(goal_words - start, F.lit(0)), F.col("size"))
     first, second = part(F.col("start")), part(F.col("start") + F.col("source_size"))
     time = lambda start, n: F.when(n > 0, time_of(start / F.col("target"), F.col("slope")) + 0.0)
-    return placed.select(
+    timed = placed.select(
         "doc_id", "source", "size", "source_size", "target", (first + second).alias("taken"),
-        time(F.col("start"), first).alias("position"), time(F.col("start") + F.col("source_size"), second).alias("next_position")
-    ).orderBy(F.col("position").asc_nulls_last())
+        time(F.col("start"), first).alias("position"), time(F.col("start") + F.col("source_size"), second).alias("next_position"), "order")
+    return timed.orderBy(F.col("position").asc_nulls_last(), "order").drop("order")
 
 
 def copies(mixed: DataFrame) -> DataFrame:
@@ -93,6 +93,6 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     mixed = one.agg(F.max("size").alias("size"), F.max("taken").alias("taken"), F.min("position").alias("position"), F.min("next_position").alias("next_position"))
     first = F.least("taken", "size")
     each = F.array(F.struct("position", first.alias("words")), F.struct(F.col("next_position").alias("position"), (F.col("taken") - first).alias("words")))
-    kept = mixed.select(F.col("doc_id").alias("_id"), F.transform(F.filter(each, lambda x: (x.words > 0) & (2 * x.words >= F.col("size"))), lambda x: x.position).alias("_positions"))
-    both = docs.join(kept.where("size(_positions) > 0"), F.col("doc_id") == F.col("_id")).drop("_id")
-    return both.select("*", F.explode("_positions").alias("_position")).orderBy("_position").drop("_positions", "_position")
+    kept = mixed.select(F.col("doc_id").alias("__sw_id"), F.transform(F.filter(each, lambda x: (x.words > 0) & (2 * x.words >= F.col("size"))), lambda x: x.position).alias("__sw_positions"))
+    both = docs.join(kept.where("size(__sw_positions) > 0"), F.col("doc_id") == F.col("__sw_id")).drop("__sw_id")
+    return both.select("*", F.explode("__sw_positions").alias("__sw_position")).orderBy("__sw_position").drop("__sw_positions", "__sw_position")

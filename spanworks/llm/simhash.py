@@ -177,5 +177,5 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
 def deduplicated(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component. Of rows that repeat a doc_id all stay or go
     together; rows without a doc_id go."""
-    kept = near_duplicates(docs, radius, width).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
+    kept = near_duplicates(docs, radius, width).where("doc_id = component_id").select(F.col("doc_id").alias("__sw_id")).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col("__sw_id"), "left_semi")

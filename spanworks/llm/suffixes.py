@@ -57,48 +57,101 @@ def anchors(words: np.ndarray) -> np.ndarray:
     return np.flatnonzero(_sliding(wide, SIDE + 1, np.maximum) == hashes)
 
 
-def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (doc_id, text): a row (key, doc_id, at, sides, begin, stop, first) for each retained suffix; sides has 16 bits for
-    each of the SIDE words before it (nearest first) and after its DEPTH words. Of suffixes whose DEPTH words and sides
-    are the same within a batch, only the first by (doc_id, at) goes on; the others are settled here, with begin, stop
-    and the document of that first one, and without sides."""
+NAMES = ["key", "doc_id", "at", "sides", "begin", "stop", "first"]
+SCHEMA = "key long, doc_id long, at int, sides binary, begin int, stop int, first long"
+
+
+def _blob(sides: np.ndarray) -> pa.Array:
+    """Rows of sides as binary values."""
+    ends = np.arange(len(sides) + 1, dtype=np.int32) * (4 * SIDE)
+    return pa.Array.from_buffers(pa.binary(), len(sides), [None, pa.py_buffer(ends), pa.py_buffer(sides.tobytes())])
+
+
+def _first_of(group: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each row the row of its group that comes first by (doc, at)."""
+    order = np.lexsort((at, doc, group))
+    again = np.zeros(len(group), bool)
+    again[1:] = group[order[1:]] == group[order[:-1]]
+    lead = np.empty(len(group), np.int64)
+    lead[order] = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(group))))]
+    return lead
+
+
+def _suffixes(batch: pa.RecordBatch) -> tuple[np.ndarray, ...] | None:
+    """(key, doc, at, sides) of the retained suffixes of a batch of (doc_id, text)."""
+    parts = []
+    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+        words = word_hashes((text.as_py() or b"").split())
+        at = anchors(words)
+        if len(at):
+            short = np.maximum((words >> np.uint64(48)).astype(np.uint16), np.uint16(1))  # 0: no word there
+            pad = np.concatenate((np.zeros(SIDE, np.uint16), short, np.zeros(SIDE, np.uint16)))
+            place = at[:, None] + np.arange(SIDE)
+            sides = np.concatenate((pad[place][:, ::-1], pad[place + SIDE + DEPTH]), axis=1)
+            parts.append((gram_hashes(words, DEPTH)[at], np.full(len(at), doc), at, sides))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else None
+
+
+def _suffix_rows(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of (doc_id, text): rows (key, doc_id, at, sides, begin, stop, first), of three kinds.
+
+    A retained suffix has its key and sides: 16 bits for each of the SIDE words before it (nearest first) and after its
+    DEPTH words. A suffix of a hot key has, for each split of SIDE words before and after, a key of what both sides show,
+    and the split as begin. Of equal ones within a batch only the first by (doc_id, at) goes on; for the others the range
+    begin to stop is settled here, and the document of that first one told.
+    """
+
+    def settled(keys, doc, begin, stop, first):
+        n = len(doc)
+        spread = _mixed(keys, doc.view(np.uint64)[:, None])  # goes anywhere, but for the key's own task
+        return pa.RecordBatch.from_arrays([pa.array(spread.view(np.int64)), pa.array(doc), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(begin, pa.int32()), pa.array(stop, pa.int32()), pa.array(first)], NAMES)
+
     for batch in batches:
-        parts = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-            words = word_hashes((text.as_py() or b"").split())
-            at = anchors(words)
-            if len(at):
-                short = np.maximum((words >> np.uint64(48)).astype(np.uint16), np.uint16(1))  # 0: no word there
-                pad = np.concatenate((np.zeros(SIDE, np.uint16), short, np.zeros(SIDE, np.uint16)))
-                place = at[:, None] + np.arange(SIDE)
-                sides = np.concatenate((pad[place][:, ::-1], pad[place + SIDE + DEPTH]), axis=1)
-                known = np.concatenate((at[:, None] > np.arange(SIDE), at[:, None] + DEPTH + np.arange(SIDE) < len(words)), axis=1)
-                sides[~known] = 0
-                parts.append((gram_hashes(words, DEPTH)[at], np.full(len(at), doc), at, sides))
-        if not parts:
+        found = _suffixes(batch)
+        if found is None:
+            continue
+        key, doc, at, sides = found
+        is_hot = np.isin(key, hot)
+        for p in range(SIDE + 1) if is_hot.any() else ():
+            both = np.concatenate((sides[:, :p], sides[:, SIDE : 2 * SIDE - p]), axis=1)
+            rows = np.flatnonzero(is_hot & (both != 0).all(axis=1))
+            if not len(rows):
+                continue
+            shown, d, a = _mixed(key[rows] + np.uint64(p + 1), both[rows]), doc[rows], at[rows]
+            lead = _first_of(shown, d, a)
+            own = lead == np.arange(len(rows))
+            later = ~own & ((d != d[lead]) | (a != a[lead]))
+            if later.any():
+                yield settled(shown[later], d[later], a[later] - p, a[later] + LEAST - p, d[lead][later])
+            n = int(own.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(shown[own].view(np.int64)), pa.array(d[own]), pa.array(a[own], pa.int32()), pa.nulls(n, pa.binary()), pa.array(np.full(n, p), pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], NAMES)
+        key, doc, at, sides = key[~is_hot], doc[~is_hot], at[~is_hot], sides[~is_hot]
+        if not len(key):
             continue
-        key, doc, at, sides = (np.concatenate(x) for x in zip(*parts))
         full = _mixed(key, sides)
-        whole = (sides != 0).all(axis=1)
-        order = np.lexsort((at, doc, full))
-        again = np.zeros(len(key), bool)
-        again[order[1:]] = (full[order[1:]] == full[order[:-1]])
-        later = np.zeros(len(key), bool)
-        later[order[1:]] = (doc[order[1:]] != doc[order[:-1]]) | (at[order[1:]] != at[order[:-1]])
-        done = again & later & whole
-        lead = np.empty(len(key), np.int64)
-        lead[order] = order[np.maximum.accumulate(np.where(again[order], 0, np.arange(len(key))))]
-        for rows in (np.flatnonzero(~done), np.flatnonzero(done)):
-            if len(rows):
-                settled = done[rows[0]]
-                n = len(rows)
-                raw = sides[rows].tobytes()
-                blob = pa.nulls(n, pa.binary()) if settled else pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * (4 * SIDE)), pa.py_buffer(raw)])
-                begin = pa.array((at[rows] - SIDE).astype(np.int32)) if settled else pa.nulls(n, pa.int32())
-                stop = pa.array((at[rows] + LEAST).astype(np.int32)) if settled else pa.nulls(n, pa.int32())
-                keys = _mixed(key[rows], doc[rows].view(np.uint64)[:, None]) if settled else key[rows]  # settled: anywhere
-                first = pa.array(doc[lead[rows]]) if settled else pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(doc[rows]), pa.array(at[rows].astype(np.int32)), blob, begin, stop, first], ["key", "doc_id", "at", "sides", "begin", "stop", "first"])
+        lead = _first_of(full, doc, at)
+        done = (lead != np.arange(len(key))) & ((doc != doc[lead]) | (at != at[lead])) & (sides != 0).all(axis=1)
+        if done.any():
+            yield settled(full[done], doc[done], at[done] - SIDE, at[done] + LEAST, doc[lead][done])
+        go, n = ~done, int((~done).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(key[go].view(np.int64)), pa.array(doc[go]), pa.array(at[go], pa.int32()), _blob(sides[go]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], NAMES)
+
+
+def hot_keys(docs: DataFrame, sample: int = 4000, share: float = 0.003, most: int = 20_000) -> np.ndarray:
+    """Keys that at least `share` of a sample of some `sample` documents (by a hash of doc_id) have, at most `most`: these
+    are dealt out by their sides. The list decides on the way of their suffixes only, not on what is found."""
+    n = docs.count()
+    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, sample / max(1, n)) * 1_000_000) + 1)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _suffixes(batch)
+            if found is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64))], ["key"])
+
+    counts = part.mapInArrow(keys, "key long").groupBy("key").count()
+    rows = counts.where(F.col("count") >= max(10, int(share * min(n, sample)))).orderBy(F.desc("count"), "key").limit(most).collect()
+    return np.array([r["key"] for r in rows], np.int64).view(np.uint64)
 
 
 def _mixed(key: np.ndarray, sides: np.ndarray) -> np.ndarray:
@@ -109,7 +162,7 @@ def _mixed(key: np.ndarray, sides: np.ndarray) -> np.ndarray:
     return out
 
 
-def _extended(key: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _extended(key: np.ndarray, doc: np.ndarray, at: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of suffixes sorted by key, doc and start: begin and stop offsets of the part of each that an earlier one repeats
     with LEAST words at least, and the number of that one; 0, 0, 0 for none. For each split of SIDE words before and after, suffixes that agree on both
     sides and the key are equal; all but the first of them are repeats."""
@@ -125,16 +178,17 @@ def _extended(key: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarra
         known = (sides[:, :p] != 0).all(axis=1) & (sides[:, SIDE : 2 * SIDE - p] != 0).all(axis=1)
         both = (left[p] * np.uint64(_ODD)) ^ right[SIDE - p]
         _, first, of = np.unique(both, return_index=True, return_inverse=True)
-        again = (first[of] < np.arange(n)) & known
+        lead = first[of]
+        again = ((doc != doc[lead]) | (at != at[lead])) & known
         least[again] = np.minimum(least[again], p)
         most[again] = np.maximum(most[again], p)
-        source[again] = np.minimum(source[again], first[of][again])
+        source[again] = np.minimum(source[again], lead[again])
     found = most >= 0
     return np.where(found, -most, 0), np.where(found, LEAST - least, 0), np.where(found, source, 0)
 
 
 def _repeats(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Over suffix rows sorted by (key, doc_id, at): (doc_id, begin, stop, first) of parts that occur earlier. Suffixes of one
+    """Over rows sorted by (key, doc_id, at): (doc_id, begin, stop, first) of parts that occur earlier. Suffixes of one
     key are held together up to `most` of them; of a larger group the rows come back unsettled, sides and all."""
 
     names = ["doc_id", "begin", "stop", "first", "key", "at", "sides"]
@@ -158,22 +212,35 @@ def _repeats(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
         if large.any():
             rows = np.flatnonzero(large)
             n = len(rows)
-            blob = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * (4 * SIDE)), pa.py_buffer(sides[rows].tobytes())])
+            blob = _blob(sides[rows])
             yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(key[rows].view(np.int64)), pa.array(at[rows], pa.int32()), blob], names)
             key, doc, at, sides = key[~large], doc[~large], at[~large], sides[~large]
         if len(key):
-            begin, stop, first = _extended(key, sides)
+            begin, stop, first = _extended(key, doc, at, sides)
             found = stop > 0
             if found.any():
                 yield give(doc[found], (at + begin)[found], (at + stop)[found], doc[first[found]])
 
     held, size, last = [], 0, None
+    shown, leader = None, None  # of the splits: the key that is open, and the (doc, at) it began with
     for batch in batches:
-        done = batch.column(3).is_null().to_numpy(zero_copy_only=False)
-        if done.any():
-            settled = batch.filter(pa.array(done))
-            yield give(*(settled.column(i).to_numpy() for i in (1, 4, 5, 6)))
-            batch = batch.filter(pa.array(~done))
+        bare = batch.column(3).is_null().to_numpy(zero_copy_only=False)
+        if bare.any():
+            done = batch.filter(pa.array(bare & ~batch.column(5).is_null().to_numpy(zero_copy_only=False)))
+            if done.num_rows:
+                yield give(*(done.column(i).to_numpy() for i in (1, 4, 5, 6)))
+            split = batch.filter(pa.array(bare & batch.column(5).is_null().to_numpy(zero_copy_only=False)))
+            if split.num_rows:
+                key, doc, at, p = (split.column(i).to_numpy() for i in (0, 1, 2, 4))
+                start = np.r_[key[0] != shown, key[1:] != key[:-1]]
+                at_start = np.maximum.accumulate(np.where(start, np.arange(len(key)), -1))
+                first_doc = np.where(at_start >= 0, doc[at_start], leader[0] if leader else 0)
+                first_at = np.where(at_start >= 0, at[at_start], leader[1] if leader else 0)
+                later = (doc != first_doc) | (at != first_at)
+                if later.any():
+                    yield give(doc[later], (at - p)[later], (at - p)[later] + LEAST, first_doc[later])
+                shown, leader = key[-1], (first_doc[-1], first_at[-1])
+            batch = batch.filter(pa.array(~bare))
         if not batch.num_rows:
             continue
         key = batch.column(0).to_numpy().view(np.uint64)
@@ -204,14 +271,14 @@ def repeated_spans(docs: DataFrame, most: int = 50_000) -> DataFrame:
     together as in a suffix array cut at that depth; neighbours are then extended to both sides by up to SIDE words,
     beyond which the next retained suffix of the same passage takes over. Exact but for hash collisions: every passage of
     LEAST words that repeats is found, and every range found repeats. A mapper settles equal suffixes of its own batch,
-    so exact copies hardly travel; a prefix that more than `most` suffixes still share is dealt out by the splits of
-    its sides and settled by a grouped minimum.
+    so exact copies hardly travel. Prefixes that a bounded sample shows to be hot are dealt out by what their sides show,
+    combined in the same way; one that more than `most` suffixes of a task still share is settled by a grouped minimum.
 
     Null and empty texts and those below LEAST words have no range. Rows with a null doc_id take no part; rows that
     repeat a doc_id are one document (their equal places are no repeats of each other). Other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-    rows = rows.mapInArrow(_suffix_rows, "key long, doc_id long, at int, sides binary, begin int, stop int, first long")
+    rows = rows.mapInArrow(partial(_suffix_rows, hot=hot_keys(rows)), SCHEMA)
     schema = "doc_id long, begin int, stop int, first long, key long, at int, sides binary"
     found = staged(rows.repartition("key").sortWithinPartitions("key", "doc_id", "at").mapInArrow(partial(_repeats, most=most), schema))
     spans = found.where("key is null").select("doc_id", "begin", "stop", "first")
@@ -266,10 +333,10 @@ def _cut(batches: Iterator[pa.RecordBatch], at: int, spans_at: int) -> Iterator[
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows of docs without the passages that occur earlier; rows of which nothing but white space is left go.
     The first occurrence of a passage stays. A column n_chars follows the text."""
-    spans = repeated_spans(docs).groupBy(F.col("doc_id").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("begin", "stop"))).alias("_spans"))
-    both = docs.join(spans, F.col("doc_id") == F.col("_of"), "left").drop("_of")
+    spans = repeated_spans(docs).groupBy(F.col("doc_id").alias("__sw_of")).agg(F.array_sort(F.collect_list(F.struct("begin", "stop"))).alias("__sw_spans"))
+    both = docs.join(spans, F.col("doc_id") == F.col("__sw_of"), "left").drop("__sw_of")
     columns = both.columns
-    cut = both.mapInArrow(partial(_cut, at=columns.index("text"), spans_at=columns.index("_spans")), docs.schema)
+    cut = both.mapInArrow(partial(_cut, at=columns.index("text"), spans_at=columns.index("__sw_spans")), docs.schema)
     if "n_chars" in columns:
         cut = cut.withColumn("n_chars", F.when(F.col("n_chars").isNotNull() & F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return cut.where(F.col("text").rlike(r"[^\x20\x09-\x0D]") | F.col("text").isNull())
