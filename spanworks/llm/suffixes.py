@@ -332,7 +332,8 @@ def _cut(batches: Iterator[pa.RecordBatch], at: int, spans_at: int) -> Iterator[
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows of docs without the passages that occur earlier; rows of which nothing but white space is left go.
-    The first occurrence of a passage stays. A column n_chars follows the text."""
+    The first occurrence of a passage stays; of a run that repeats itself, overlapping, what comes before its first
+    repeat. A column n_chars follows the text."""
     spans = repeated_spans(docs).groupBy(F.col("doc_id").alias("__sw_of")).agg(F.array_sort(F.collect_list(F.struct("begin", "stop"))).alias("__sw_spans"))
     both = docs.join(spans, F.col("doc_id") == F.col("__sw_of"), "left").drop("__sw_of")
     columns = both.columns
