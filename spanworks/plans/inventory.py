@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify
-from ..operators import spans, state
+from ..operators import extract, spans, state
 from ..sources import tables
 from .registry import FILES, LINES, query
 
@@ -201,3 +201,12 @@ def feature_tree(spark, sf_dir):
 @query("SELECT event_id, ts, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def latest_revision(spark, sf_dir):
     return state.precedence(tables.table(spark, sf_dir, "events"), "user_id", [F.desc("ts"), F.desc("event_id")]).select("event_id", "ts", "user_id")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1))::BIGINT AS line_no FROM documents)
+SELECT doc_id, line_no AS line, array_to_string(list_filter(list_transform(string_split(line, '|'), lambda c: trim(c)), lambda c: c <> ''), ',') AS cells FROM l
+WHERE contains(line, '|') AND NOT regexp_matches(line, '^\\s*\\|?[\\s:|-]*\\|?\\s*$')""")
+def table_row_cells(spark, sf_dir):
+    """Cells of lines with pipes."""
+    files = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    return extract.table_rows(files).select(F.col("path").alias("doc_id"), "line", F.array_join("cells", ",").alias("cells"))

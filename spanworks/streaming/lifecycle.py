@@ -11,16 +11,21 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.state import ACTIONS, NEW_ANCHOR, fold_anchor
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """Streams get a watermark, which wants instants; tables stay as they are."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """(start, event_type, n, total) in tumbling windows. A watermark bounds the state on a stream; tables ignore it."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    marked = _timed(events, late)
     found = marked.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return found.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "1 hour", late: str = "2 days") -> DataFrame:
     """(user_id, start, end, n) of sessions that a gap ends."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    marked = _timed(events, late)
     found = marked.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
     return found.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
