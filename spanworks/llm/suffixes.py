@@ -106,7 +106,7 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator
         spread = _mixed(keys, doc.view(np.uint64)[:, None])  # goes anywhere, but for the key's own task
         return pa.RecordBatch.from_arrays([pa.array(spread.view(np.int64)), pa.array(doc), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(begin, pa.int32()), pa.array(stop, pa.int32()), pa.array(first)], NAMES)
 
-    for batch in batches:
+    for batch in (b.slice(i, 2500) for b in batches for i in range(0, b.num_rows, 2500)):  # bounded memory
         found = _suffixes(batch)
         if found is None:
             continue
@@ -144,7 +144,7 @@ def hot_keys(docs: DataFrame, sample: int = 4000, share: float = 0.003, most: in
     part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, sample / max(1, n)) * 1_000_000) + 1)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 2500) for b in batches for i in range(0, b.num_rows, 2500)):
             found = _suffixes(batch)
             if found is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64))], ["key"])
