@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Chunks whose paths a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 
@@ -53,6 +53,8 @@ class Transducer:
         self.score = model["scores"]
         self.tails = {p[i:]: -1 for p in self.ids for i in range(1, len(p))} | self.ids
         self.pairs: dict[int, bool] = {}
+        self.characters = {p for p in self.ids if len(p) == 1}
+        self.states: tuple = ("", [-1], [-1], [0.0])
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.kind = np.uint16 if len(pieces) <= 1 << 16 else np.uint32
@@ -89,11 +91,21 @@ class Transducer:
 
     def shortest(self, run: str) -> list[int] | None:
         """The shortest path over a run of characters that are all pieces; None if there is none. Pieces that end at a
-        place are found from their last character on, as far as what is read ends any piece."""
+        place are found from their last character on, as far as what is read ends any piece. The states of the places
+        that the run shares with the run before are taken from there."""
         tails, pairs, score = self.tails, self.pairs, self.score if not self.model["bpe"] else None
         n = len(run)
-        last, back, cost = [-1] * (n + 1), [-1] * (n + 1), [0.0] + [float("inf")] * n
-        for end in range(1, n + 1):
+        before_run, last, back, cost = self.states
+        shared = 0
+        for a, b in zip(run, before_run):
+            if a != b:
+                break
+            shared += 1
+        last = last[: shared + 1] + [-1] * (n - shared)
+        back = back[: shared + 1] + [-1] * (n - shared)
+        cost = cost[: shared + 1] + [float("inf")] * (n - shared)
+        self.states = run, last, back, cost
+        for end in range(shared + 1, n + 1):
             start = end - 1
             while start >= 0:
                 piece = tails.get(run[start:end])
@@ -119,6 +131,9 @@ class Transducer:
         return out[::-1]
 
     def path(self, chunk: str) -> list[int]:
+        if self.characters.issuperset(chunk):
+            found = self.shortest(chunk)
+            return [self.unknown] if found is None else found
         out: list[int] = []
         at = 0
         for end, char in enumerate([*chunk, None]):
@@ -131,26 +146,24 @@ class Transducer:
                 at = end + 1
         return out
 
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The encodings of texts. New chunks are taken in order, so that neighbours share states. Paths of short chunks
+        are kept among the recent ones; when those are many they become the older ones, and the older ones go unless
+        they are met again."""
+        cut = [self.chunk.findall(self.normalised(t)) for t in texts]
+        if len(self.recent) >= REMEMBERED:
+            self.recent, self.older = {}, self.recent
+        recent, older, long = self.recent, self.older, {}
+        for chunk in sorted(set().union(*cut).difference(recent)):
+            found = older.get(chunk)
+            if found is None:
+                found = np.array(self.path(chunk), self.kind).tobytes()
+            (recent if len(chunk) < 64 else long)[chunk] = found
+        get = (lambda c: recent[c] if c in recent else long[c]) if long else recent.__getitem__
+        return [np.frombuffer(b"".join(map(get, chunks)), self.kind) for chunks in cut]
+
     def encode(self, text: str) -> np.ndarray:
-        chunks = self.chunk.findall(self.normalised(text))
-        parts = list(map(self.recent.get, chunks))
-        if None in parts:
-            for i, part in enumerate(parts):
-                if part is None:
-                    parts[i] = self.remembered(chunks[i])
-        return np.frombuffer(b"".join(parts), self.kind)
-
-    def remembered(self, chunk: str) -> bytes:
-        """The path of a chunk, kept among the recent ones; when those are many they become the older ones, and the older
-        ones go unless they are met again."""
-        found = self.recent.get(chunk) or self.older.get(chunk)
-        if found is None:
-            found = np.array(self.path(chunk), self.kind).tobytes()
-        if len(chunk) < 64:
-            if len(self.recent) >= REMEMBERED:
-                self.recent, self.older = {}, self.recent
-            self.recent[chunk] = found
-        return found
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
@@ -181,7 +194,7 @@ def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
                 part = batch.slice(at, 256)
                 texts = part.column(1).to_pylist()
                 missing = np.array([t is None for t in texts])
-                ids = [transducer.encode(t or "") for t in texts]
+                ids = transducer.encode_all([t or "" for t in texts])
                 trips = [None if t is None else transducer.decode(x.tolist()) == t for t, x in zip(texts, ids)]
                 counts = np.array([len(x) for x in ids], np.int64)
                 ends, flat = np.concatenate(([0], np.cumsum(counts))).astype(np.int32), np.concatenate(ids).astype(np.int32)
