@@ -1,5 +1,88 @@
 """DuckDB SQL of the corpus queries that SQL can express."""
 
+from .license_scan import BASE_PHRASES, LICENSE_WORD, NOTICES
+from .quality import CHAR_CLASSES, COMMON_WORDS, SYMBOL
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _license_sql() -> str:
+    templates = BASE_PHRASES + NOTICES
+    words = [text.split() for _, text, _ in templates]
+    places = ", ".join(f"({_quoted(f'{a} {b}')}, {i}, {j})" for i, w in enumerate(words) for j, (a, b) in enumerate(zip(w, w[1:])))
+    known = ", ".join(f"({i}, {_quoted(label)}, {share}::DOUBLE, {len(words[i]) - 1})" for i, (label, _, share) in enumerate(templates))
+    return rf"""
+WITH cut AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{LICENSE_WORD}') AS words
+  FROM documents),
+placed AS (SELECT rid, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS pos FROM cut),
+grams AS (SELECT rid, pos, w || ' ' || lead(w) OVER (PARTITION BY rid ORDER BY pos) AS gram FROM placed),
+places(gram, template, place) AS (VALUES {places}),
+known(template, label, share, n_places) AS (VALUES {known}),
+diagonals AS (
+  SELECT g.rid, p.template, g.pos - p.place AS diagonal, min(g.pos) AS first_at, max(g.pos) AS last_at, list(DISTINCT p.place) AS shown
+  FROM grams g JOIN places p USING (gram) GROUP BY ALL),
+marked AS (
+  SELECT d.*, k.label, k.share, k.n_places, len(d.shown) = k.n_places AS apart,
+         lag(diagonal) OVER line AS diagonal_before, lag(last_at) OVER line AS last_before, lag(len(d.shown) = k.n_places) OVER line AS apart_before
+  FROM diagonals d JOIN known k USING (template) WINDOW line AS (PARTITION BY rid, template ORDER BY first_at, diagonal)),
+opened AS (
+  SELECT *, sum(CASE WHEN diagonal_before IS NULL OR apart OR apart_before OR abs(diagonal - diagonal_before) > 2 OR first_at > last_before + 4 THEN 1 ELSE 0 END)
+            OVER (PARTITION BY rid, template ORDER BY first_at, diagonal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS span
+  FROM marked),
+spans AS (
+  SELECT rid, template, label, share, min(first_at) - 1 AS first_word, len(list_distinct(flatten(list(shown)))) / n_places::DOUBLE AS coverage
+  FROM opened GROUP BY rid, template, label, share, n_places, span),
+verified AS (SELECT *, template < {len(BASE_PHRASES)} AS base FROM spans WHERE coverage >= share)
+SELECT c.doc_id, len(c.words)::BIGINT AS n_words, count(*) FILTER (v.base)::BIGINT AS n_base,
+       min(v.first_word) FILTER (v.base)::BIGINT AS first_word, max(v.first_word) FILTER (v.base)::BIGINT AS last_word,
+       coalesce(string_agg(DISTINCT v.label, ',' ORDER BY v.label) FILTER (v.base), '') AS base_labels,
+       coalesce(string_agg(DISTINCT v.label, ',' ORDER BY v.label), '') AS labels, coalesce(max(v.coverage), 0.0)::DOUBLE AS score
+FROM cut c LEFT JOIN verified v USING (rid) GROUP BY c.rid, c.doc_id, c.words
+"""
+
+
+def _quality_sql() -> str:
+    classes = ", ".join(f"(length(text) - length(regexp_replace(text, {_quoted(c)}, '', 'g')))::DOUBLE" for c in CHAR_CLASSES)
+    words = ", ".join(f"coalesce(h[{_quoted(w)}], 0)::DOUBLE" for w in COMMON_WORDS)
+    common = ", ".join(map(_quoted, COMMON_WORDS))
+    sums = lambda name, n: "[" + ", ".join(f"sum({name}[{i}])" for i in range(1, n + 1)) + f"] AS ref_{name}"
+    both = f"{sums('chars', len(CHAR_CLASSES) + 1)}, {sums('common', len(COMMON_WORDS) + 1)}"
+    half = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / ((s[1] + s[2]) / 2)) ELSE 0 END"
+    distance = lambda p, q: (
+        f"CASE WHEN list_sum({p}) <> 0 AND list_sum({q}) <> 0 THEN sqrt(greatest(list_sum(list_transform(list_zip(list_transform({p}, lambda v: v / list_sum({p})), "
+        f"list_transform({q}, lambda v: v / list_sum({q}))), lambda s: ({half('s[1]')} + {half('s[2]')}) / 2)), 0)) END")
+    return rf"""
+WITH cut AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+placed AS (SELECT rid, unnest(words) AS w, unnest(range(len(words))) AS pos FROM cut),
+windows AS (SELECT rid, pos, w || ' ' || lead(w) OVER line || ' ' || lead(w, 2) OVER line AS g FROM placed WINDOW line AS (PARTITION BY rid ORDER BY pos)),
+twice AS (SELECT rid, unnest([pos, pos + 1, pos + 2]) AS pos FROM (SELECT rid, pos, count(*) OVER (PARTITION BY rid, g) AS n FROM windows WHERE g IS NOT NULL) WHERE n > 1),
+repeated AS (SELECT rid, count(DISTINCT pos) AS n FROM twice GROUP BY rid),
+frequent AS (SELECT rid, map(list(w), list(n)) AS h FROM (SELECT rid, lower(w) AS w, count(*) AS n FROM placed WHERE lower(w) IN ({common}) GROUP BY ALL) GROUP BY rid),
+counted AS (
+  SELECT c.doc_id, c.lang, len(c.words)::BIGINT AS n_words, length(array_to_string(c.words, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(c.text, '{SYMBOL}'))::BIGINT AS n_symbols, (len(c.lines) - len(list_distinct(c.lines)))::BIGINT AS n_dup_lines,
+         coalesce(r.n, 0)::BIGINT AS n_repeat_words, length(c.text)::DOUBLE AS n_chars, [{classes}] AS chars, [{words}] AS common
+  FROM cut c LEFT JOIN repeated r USING (rid) LEFT JOIN frequent f USING (rid)),
+made AS (SELECT * REPLACE (list_append(chars, n_chars - list_sum(chars)) AS chars, list_append(common, n_words - list_sum(common)) AS common) FROM counted),
+refs AS (SELECT lang, {both} FROM made WHERE lang IS NOT NULL GROUP BY lang UNION ALL SELECT NULL, {both} FROM made),
+judged AS (
+  SELECT m.*, {distance("m.chars", "r.ref_chars")} AS char_distance, {distance("m.common", "r.ref_common")} AS word_distance,
+         n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+  FROM made m LEFT JOIN refs r ON m.lang IS NOT DISTINCT FROM r.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND (n_words < 100 OR coalesce(char_distance, 0) <= 0.28 AND coalesce(word_distance, 0) <= 0.4) AS kept, round(char_distance, 9) AS char_distance, round(word_distance, 9) AS word_distance
+FROM judged
+"""
+
+
+
 OP4 = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -54,4 +137,4 @@ best AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict, false AS alias_of_blocked FROM best WHERE place = 1
 """
 
-ORACLES = {"op4_mix_sources": OP4, "op9_url_filter": OP9}
+ORACLES = {"op1_license_scan": _license_sql(), "op2_quality_rules": _quality_sql(), "op4_mix_sources": OP4, "op9_url_filter": OP9}
