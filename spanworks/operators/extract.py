@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import classify
 from ..sources.tables import lines
+from .structure import MOST_SPANS, block_ends, json_spans, yaml_entries
 
 # Fixed values: (language, kind, pattern with the name as its first group).
 DECLARATIONS = [
@@ -45,7 +46,9 @@ def _any(conditions: list[Column]) -> Column:
 
 
 def code_spans(files: DataFrame) -> DataFrame:
-    """Declarations by language, each up to the line before the next of its file, and a module span for each code file."""
+    """Declarations by language and a module span for each code file. Classes, functions and methods of JavaScript and
+    TypeScript end where their braces do, those of Python where their indent does; others end on their own line. `complete`
+    tells whether an end was found."""
     language = classify.language(F.col("path"))
     family = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in FAMILY.items() for x in kv]), language), language)
     rows = _numbered(files.where(F.lower(classify.extension(F.col("path"))).isin(classify.CODE))).withColumn("family", family)
@@ -53,11 +56,18 @@ def code_spans(files: DataFrame) -> DataFrame:
     for lang, kind, pattern in reversed(DECLARATIONS):
         hit = (F.col("family") == lang) & F.col("line").rlike(pattern)
         found = F.when(hit, F.struct(F.lit(kind).alias("kind"), F.regexp_extract("line", pattern, 1).alias("label"))).otherwise(found)
-    last = F.max("line_no").over(Window.partitionBy("path"))
-    marked = rows.select("path", "line_no", found.alias("found"), last.alias("last")).where("found is not null")
-    end = F.coalesce(F.lead("line_no").over(Window.partitionBy("path").orderBy("line_no")) - 1, F.col("last"))
-    spans = marked.select("path", "found.kind", "found.label", F.col("line_no").alias("start_line"), end.alias("end_line"))
-    modules = rows.groupBy("path").agg(F.max("line_no").alias("end_line")).select("path", F.lit("code.module").alias("kind"), F.col("path").alias("label"), F.lit(1).cast("long").alias("start_line"), "end_line")
+    modules = rows.groupBy("path").agg(F.max("line_no").alias("end_line")).select("path", F.lit("code.module").alias("kind"), F.col("path").alias("label"), F.lit(1).cast("long").alias("start_line"), "end_line", F.lit(True).alias("complete"))
+    marked = rows.select("path", "line_no", "family", found.alias("found"), F.lit(None).cast("struct<line_no:long,end_line:long,complete:boolean>").alias("block")).where("found is not null")
+    blocks = block_ends(files).select("path", "line_no", F.lit(None).cast("string").alias("family"), F.lit(None).cast("struct<kind:string,label:string>").alias("found"), F.struct("line_no", "end_line", "complete").alias("block"))
+    # From the last line up, a block before the declarations of its line: the nearest block at or below each declaration.
+    upward = Window.partitionBy("path").orderBy(F.desc("line_no"), F.col("found").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    nearest = marked.unionByName(blocks).withColumn("block", F.last("block", True).over(upward)).where("found is not null")
+    braced = (F.col("family") == "typescript") & F.col("found.kind").isin("code.class", "code.function", "code.method")
+    own = (F.col("family") == "python") & (F.col("block.line_no") == F.col("line_no"))
+    single = F.struct(F.col("line_no").alias("end_line"), F.lit(False).alias("complete"))
+    whole = modules.select("path", F.col("end_line").alias("last"))
+    end = F.when(braced & F.col("block").isNull(), F.struct(F.col("last").alias("end_line"), F.lit(False).alias("complete"))).when(braced | own, F.struct("block.end_line", "block.complete")).otherwise(single)
+    spans = nearest.join(whole, "path").withColumn("end", end).select("path", "found.kind", "found.label", F.col("line_no").alias("start_line"), "end.end_line", "end.complete")
     return modules.unionByName(spans)
 
 
@@ -105,7 +115,8 @@ def markdown_headings(files: DataFrame) -> DataFrame:
         at, cover = F.last(F.when(F.col("depth") == d, F.col("line_no")), True).over(here), F.last(F.when(F.col("depth") < d, F.col("line_no")), True).over(here)
         name = F.last(F.when(F.col("depth") == d, F.col("label")), True).over(here)
         names.append(F.when((F.col("depth") >= d) & at.isNotNull() & (cover.isNull() | (at > cover)), name))
-    following = [F.min(F.when(F.col("depth") <= d, F.col("line_no"))).over(above.rowsBetween(1, Window.unboundedFollowing)) for d in range(1, 7)]
+    upward = Window.partitionBy("path").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)  # linear; a frame to the last row is not
+    following = [F.min(F.when(F.col("depth") <= d, F.col("line_no"))).over(upward) for d in range(1, 7)]
     end = F.coalesce(F.coalesce(*[F.when(F.col("depth") == d, n) for d, n in enumerate(following, 1)]) - 1, F.col("last"))
     found = heads.select("path", "label", "depth", classify.slug(F.col("label")).alias("base"), F.col("line_no").alias("start_line"), end.alias("end_line"), F.array_compact(F.array(*names)).alias("heading_path"))
     n = F.row_number().over(Window.partitionBy("path", "base").orderBy("start_line")) - 1
@@ -123,6 +134,25 @@ def markdown_links(files: DataFrame) -> DataFrame:
     return each.withColumn("kind", kind).withColumn("resolved", F.when(F.col("kind") == "anchor", F.col("path")).when(F.col("kind") == "relative", resolved(F.col("path"), file)))
 
 
+# Languages of fences that can be run.
+EXECUTABLE = ["bash", "sh", "shell", "python", "py", "ts", "tsx", "js", "jsx", "typescript", "javascript"]
+
+
+def example_blocks(files: DataFrame) -> DataFrame:
+    """(path, language, source, start_line, end_line): the files of the examples folder, whole; of other Markdown files the
+    fences that can be run, from a quickstart of README.md, a tutorial or elsewhere."""
+    inside = F.col("path").startswith("examples/")
+    fences = markdown_blocks(files.where(~inside)).where("kind = 'doc.code_fence'").withColumn("language", F.lower(F.regexp_extract("label", r"^```([A-Za-z0-9_-]+)\s*$", 1))).where(F.col("language").isin(EXECUTABLE))
+    heads = markdown_headings(files.where(~inside)).select("path", "start_line", F.array_join("heading_path", "/").alias("titles"))
+    line = Window.partitionBy("path").orderBy("start_line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = fences.select("path", "language", "start_line", "end_line").unionByName(heads, allowMissingColumns=True)
+    under = both.withColumn("titles", F.last("titles", True).over(line)).where("language is not null")
+    source = F.when((F.lower(classify.basename(F.col("path"))) == "readme.md") & F.coalesce("titles", F.lit("")).rlike("(?i)quickstart"), "readme_quickstart").when(F.col("path").rlike("(?i)tutorial"), "tutorial_markdown").otherwise("markdown_executable")
+    whole = _numbered(files.where(inside)).groupBy("path").agg(F.max("line_no").alias("end_line"))
+    return under.select("path", "language", source.alias("source"), "start_line", "end_line").unionByName(
+        whole.select("path", classify.language(F.col("path")).alias("language"), F.lit("examples_path").alias("source"), F.lit(1).cast("long").alias("start_line"), "end_line"))
+
+
 def table_rows(files: DataFrame) -> DataFrame:
     """(path, line, cells): rows of pipe tables, without the ruling and without empty ones."""
     rows = _numbered(files).where(F.col("line").rlike(r"\|") & ~F.col("line").rlike(r"^\s*\|?[\s:|-]*\|?\s*$"))
@@ -132,28 +162,17 @@ def table_rows(files: DataFrame) -> DataFrame:
 
 def config_entries(files: DataFrame) -> DataFrame:
     """(path, key, value, line) of YAML and TOML files: keys with those they stand under, by indent or table."""
-    yaml = _numbered(files.where(classify.language(F.col("path")) == "yaml"))
-    entry = r"^(\s*)(?:-\s+)?([A-Za-z0-9_.-]+):\s*(.*)$"
-    yaml = yaml.where(F.col("line").rlike(entry)).select("path", "line_no", F.char_length(F.regexp_extract("line", entry, 1)).alias("indent"), F.regexp_extract("line", entry, 2).alias("name"), F.trim(F.regexp_extract("line", entry, 3)).alias("value"))
-    here = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    stack = F.filter(F.collect_list(F.struct("indent", "name", "line_no")).over(here), lambda x: x["indent"] < F.col("indent"))
-    # Of the keys above with less indent, those that no later one of as little or less covers.
-    parents = F.filter(stack, lambda x: ~F.exists(stack, lambda y: (y["line_no"] > x["line_no"]) & (y["indent"] <= x["indent"])))
-    yaml = yaml.withColumn("parents", parents).select("path", F.array_join(F.concat(F.transform("parents", lambda x: x["name"]), F.array("name")), ".").alias("key"), "value", F.col("line_no").alias("line"))
     toml = _numbered(files.where(classify.language(F.col("path")) == "toml"))
     table = F.last(F.when(F.col("line").rlike(r"^\s*\[+[^\]]+\]+"), F.regexp_extract("line", r"^\s*\[+([^\]]+)\]+", 1)), True).over(Window.partitionBy("path").orderBy("line_no"))
     toml = toml.withColumn("table", table).where(F.col("line").rlike(r"^\s*[\w.-]+\s*="))
     toml = toml.select("path", F.concat_ws(".", "table", F.regexp_extract("line", r"^\s*([\w.-]+)\s*=", 1)).alias("key"), F.trim(F.regexp_extract("line", r"=\s*(.*)$", 1)).alias("value"), F.col("line_no").alias("line"))
-    return yaml.unionByName(toml)
+    return yaml_entries(files).unionByName(toml)
 
 
-def json_entries(files: DataFrame) -> DataFrame:
-    """(path, pointer, value) of the top two levels of JSON files; a file that is no JSON gives no rows."""
-    parsed = files.where(classify.language(F.col("path")) == "json").select("path", F.try_parse_json("text").alias("v")).where("v is not null")
-    first = parsed.select("path", F.from_json(F.to_json("v"), "map<string,string>").alias("m")).select("path", F.explode("m").alias("name", "value"))
-    top = first.select("path", F.concat(F.lit("/"), "name").alias("pointer"), "value")
-    second = first.where(F.col("value").startswith("{")).select("path", "name", F.explode(F.from_json("value", "map<string,string>")).alias("inner", "value"))
-    return top.union(second.select("path", F.concat_ws("/", F.lit(""), "name", "inner"), "value"))
+def json_entries(files: DataFrame, most: int = MOST_SPANS) -> DataFrame:
+    """(path, pointer, value_hash) of the entries of JSON files, at any depth; a file that is no JSON gives no rows."""
+    spans = json_spans(files, most).where(F.col("kind").isin("config.entry", "config.array_item"))
+    return spans.select("path", "pointer", "value_hash").distinct()
 
 
 def test_cases(files: DataFrame) -> DataFrame:

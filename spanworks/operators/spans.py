@@ -29,8 +29,8 @@ def nested_sections(rows: DataFrame, path: str, line: str, depth: str) -> DataFr
     """(path, start_line, depth, end_line): headings up to the next of their depth or less. Per depth one window, no
     join of headings with each other."""
     out = rows
-    below = Window.partitionBy(path).orderBy(line).rowsBetween(1, Window.unboundedFollowing)
-    next_of = [F.min(F.when(F.col(depth) <= d, F.col(line))).over(below) for d in range(1, 7)]
+    upward = Window.partitionBy(path).orderBy(F.desc(line)).rowsBetween(Window.unboundedPreceding, -1)  # linear; a frame to the last row is not
+    next_of = [F.min(F.when(F.col(depth) <= d, F.col(line))).over(upward) for d in range(1, 7)]
     chosen = F.coalesce(*[F.when(F.col(depth) == d, n) for d, n in enumerate(next_of, 1)])
     return out.withColumn("_next", chosen).select(path, F.col(line).alias("start_line"), depth, (F.col("_next") - 1).alias("end_line"))
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import classify
-from ..operators import extract, spans, state
+from ..operators import extract, spans, state, structure
 from ..sources import tables
 from .registry import FILES, LINES, query
 
@@ -210,3 +210,43 @@ def table_row_cells(spark, sf_dir):
     """Cells of lines with pipes."""
     files = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
     return extract.table_rows(files).select(F.col("path").alias("doc_id"), "line", F.array_join("cells", ",").alias("cells"))
+
+
+# The tables hold no RST, JSON or code. The next queries write each row as such a file and take it apart again.
+
+
+@query("""WITH part_ AS (SELECT p_partkey, p_name, p_brand, p_size FROM part)
+SELECT p_partkey, u.kind, u.pointer, u.line::BIGINT AS line, sha1(u.value) AS value_hash FROM (SELECT p_partkey, unnest([
+  {'kind': 'config.entry', 'pointer': '/name', 'line': 1, 'value': to_json(p_name)::VARCHAR},
+  {'kind': 'config.entry', 'pointer': '/deep', 'line': 1, 'value': '{"brand":' || to_json(p_brand)::VARCHAR || ',"a/b":[' || p_size || ',' || to_json(p_name)::VARCHAR || ']}'},
+  {'kind': 'config.entry', 'pointer': '/deep/brand', 'line': 1, 'value': to_json(p_brand)::VARCHAR},
+  {'kind': 'config.entry', 'pointer': '/deep/a~1b', 'line': 1, 'value': '[' || p_size || ',' || to_json(p_name)::VARCHAR || ']'},
+  {'kind': 'config.array_item', 'pointer': '/deep/a~1b/0', 'line': 1, 'value': p_size::VARCHAR},
+  {'kind': 'config.array_item', 'pointer': '/deep/a~1b/1', 'line': 1, 'value': to_json(p_name)::VARCHAR}]) AS u FROM part_)""")
+def json_pointers(spark, sf_dir):
+    part = tables.table(spark, sf_dir, "part")
+    text = F.to_json(F.struct(F.col("p_name").alias("name"), F.struct(F.col("p_brand").alias("brand"), F.array(F.col("p_size").cast("string"), "p_name").alias("a/b")).alias("deep")))
+    text = F.regexp_replace(text, r'\["(\d+)",', r"[$1,")
+    found = structure.json_spans(part.select(F.concat(F.col("p_partkey").cast("string"), F.lit(".json")).alias("path"), text.alias("text")))
+    return found.where("kind <> 'config.file'").select(F.regexp_extract("path", r"^\d+", 0).cast("long").alias("p_partkey"), "kind", "pointer", "line", "value_hash")
+
+
+@query("""WITH turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations)
+SELECT conv_id, 'Turn ' || n AS label, (5 * n - 4)::BIGINT AS start_line, (CASE WHEN n = 1 THEN 5 * total ELSE 5 * n END - 1)::BIGINT AS end_line, CASE WHEN n = 1 THEN 'Turn 1' ELSE 'Turn 1/Turn ' || n END AS heading_path FROM turns""")
+def rst_sections(spark, sf_dir):
+    turns = tables.table(spark, sf_dir, "conversations").withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
+    body = F.concat(F.lit("- "), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), F.lit("."))
+    one = F.concat(F.lit("Turn "), F.col("n").cast("string"), F.lit("\n"), F.when(F.col("n") == 1, "======").otherwise("------"), F.lit("\n\n"), body, F.lit("\n"))
+    whole = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", one.alias("t")))), lambda x: x.t), "\n").alias("text"))
+    found = structure.rst_blocks(whole.select(F.concat(F.col("conv_id").cast("string"), F.lit(".rst")).alias("path"), "text")).where("kind = 'doc.section'")
+    return found.select(F.regexp_extract("path", r"^\d+", 0).cast("long").alias("conv_id"), "label", "start_line", "end_line", F.array_join("heading_path", "/").alias("heading_path"))
+
+
+@query("""WITH k AS (SELECT s_suppkey, s_suppkey % 5 AS deep FROM supplier)
+SELECT s_suppkey, 'f' || s_suppkey AS label, 1::BIGINT AS start_line, (2 * deep + 4)::BIGINT AS end_line, true AS complete FROM k""")
+def code_block_ends(spark, sf_dir):
+    key, deep = F.col("s_suppkey").cast("string"), (F.col("s_suppkey") % 5).cast("int")
+    text = F.concat(F.lit("export function f"), key, F.lit("({ a }) {\n"), F.repeat(F.lit("  if (a) {\n"), deep), F.lit("  // }\n  return '{' == /[}]/\n"), F.repeat(F.lit("  }\n"), deep), F.lit("}\n"))
+    files = tables.table(spark, sf_dir, "supplier").select(F.concat(key, F.lit(".ts")).alias("path"), text.alias("text"))
+    found = extract.code_spans(files).where("kind = 'code.function'")
+    return found.select(F.regexp_extract("path", r"^\d+", 0).cast("long").alias("s_suppkey"), "label", "start_line", "end_line", "complete")
