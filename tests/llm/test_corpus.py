@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spanworks.llm import language, license_scan, mixing, neighbours, pieces, quality, simhash, suffixes, toxicity, url_filter
+from spanworks.llm import language, license_scan, mixing, neighbours, pieces, quality, shingles, simhash, suffixes, toxicity, url_filter
 from spanworks.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, size long, row int, key string, `order` string"
@@ -196,6 +196,58 @@ def test_simhash_masks_cover_and_large_buckets_split(spark):
     assert parts[0] == parts[1] and len(parts[0]) > 200
 
 
+@pytest.mark.parametrize("which", ["docs", "odd", "planted"])
+def test_pipeline_drops_near_copies(spark, which, request):
+    import corpus_pipeline
+
+    if which == "planted":  # copies with words changed, at, above and under a similarity of 0.8
+        rng, rows = np.random.default_rng(3), []
+        for base in range(40):
+            words = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+            rows.append((3 * base, " ".join(words)))
+            for k, n in enumerate((2, 3)):
+                changed = list(words)
+                for at in rng.choice(120, n, replace=False):
+                    changed[at] = "other"
+                rows.append((3 * base + 1 + k, " ".join(changed)))
+        table = spark.createDataFrame(rows, "doc_id long, text string")
+    else:
+        table = request.getfixturevalue(which)
+    rows = [(r.doc_id, low(r.text)) for r in table.select("doc_id", "text").collect()]
+
+    def grams(text):
+        words = words_of(text)
+        return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+    sets = [grams(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    kept = {d for i, (d, _) in enumerate(rows) if d is not None and least[find(i)] == d}
+    got = Counter(r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, table, "").collect())
+    assert got == Counter(d for d, _ in rows if d in kept)
+    assert which != "planted" or len(kept) < 120
+
+
+def test_large_buckets_of_near_copies_split(spark):
+    rows = [(i, " ".join(f"w{x}" if x != i % 97 else f"v{i}" for x in range(100))) for i in range(120)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = [shingles.near_copies(table, most=most).orderBy("doc_id").collect() for most in (20_000, 40)]
+    assert parts[0] == parts[1] and len({r.component_id for r in parts[0]}) < 120
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7), (None, 3)]
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long"), "a", "b").collect()}
