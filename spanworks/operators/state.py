@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 
@@ -65,16 +64,22 @@ NEW_ANCHOR = {"state": "active", "pinned": False, "useful": 0, "ignored": 0, "se
 
 
 def anchor_lifecycle(events: DataFrame, key: str = "user_id") -> DataFrame:
-    """The state of each anchor after its events in order (ts, event_id). A key's events are folded together: an anchor
-    has the events of one navigation target, not of a share of the log; for unbounded logs use the streaming form."""
-
-    def fold(name, rows: pd.DataFrame) -> pd.DataFrame:
-        state = NEW_ANCHOR
-        for event in rows.sort_values(["ts", "event_id"])["event_type"]:
-            state = fold_anchor(state, ACTIONS.get(event, "observe"))
-        return pd.DataFrame([{key: name[0], **state}])
-
-    return events.select(key, "ts", "event_id", "event_type").groupBy(key).applyInPandas(fold, f"{key} long, state string, pinned boolean, useful long, ignored long, seen long")
+    """The state of each anchor after its events in order (ts, event_id), as fold_anchor has it. Before the first useful
+    event nothing resets the ignored ones, and after it none makes dormant, so a few grouped aggregates (combined before
+    the shuffle) tell the state: no task holds the events of a key."""
+    kinds = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in ACTIONS.items()], F.lit("observe"))
+    at = F.struct(F.col("ts").isNull().alias("none"), "ts", "event_id")
+    rows = events.select(F.col(key).cast("long").alias(key), kinds.alias("_action"), at.alias("_at"))
+    is_a = lambda *names: F.col("_action").isin(*names)
+    each = rows.groupBy(key).agg(
+        F.count("*").alias("seen"), F.count_if(is_a("useful")).alias("useful"), F.count_if(is_a("ignored")).alias("_all"), F.max(is_a("promote")).alias("pinned"),
+        F.max(F.when(is_a("useful"), F.col("_at"))).alias("_useful"), F.max(F.when(is_a("ignored"), F.col("_at"))).alias("_ignored"), F.max(F.when(is_a("create", "promote"), F.col("_at"))).alias("_active"))
+    last = each.where("useful > 0").select(F.col(key).alias("_key"), "_useful")
+    later = rows.where(is_a("ignored")).join(last, F.col(key).eqNullSafe(F.col("_key"))).where(F.col("_at") > F.col("_useful")).groupBy("_key").agg(F.count("*").alias("_later"))
+    dormant = (F.col("useful") == 0) & (F.col("_all") >= 2) & (F.col("_active").isNull() | (F.col("_ignored") > F.col("_active")))
+    ignored = F.when(F.col("useful") == 0, F.col("_all")).otherwise(F.coalesce("_later", F.lit(0)))
+    return each.join(later, F.col(key).eqNullSafe(F.col("_key")), "left").select(
+        key, F.when(dormant, "dormant").otherwise("active").alias("state"), "pinned", "useful", ignored.alias("ignored"), "seen")
 
 
 def anchor_rank(anchors: DataFrame, score, last_seen) -> DataFrame:

@@ -1,10 +1,13 @@
 """Operators over small frames made for them."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from spanworks.functions import classify, scoring
 from spanworks.operators import graph, links, spans, state, verify
+from spanworks.plans import retrieval
 from spanworks.plans.normalize import normalize
 from spanworks.sources import tables
 from spanworks.streaming import lifecycle
@@ -127,3 +130,34 @@ def test_streams(spark, sf, tmp_path):
     seen = anchors.groupBy("user_id").agg(F.max("seen").alias("seen"))
     folded = state.anchor_lifecycle(events).select("user_id", "seen")
     assert sorted(map(tuple, seen.collect())) == sorted(map(tuple, folded.collect()))
+
+
+def test_budget_collects_few_and_keeps_the_same(spark):
+    rng = random.Random(5)
+    ranked = {lang: [(n, rng.choice(costs)) for n in range(1, 401)] for lang, costs in (("a", (38, 46, 54, 70)), ("b", (130, 140)), ("c", (62, 38)))}
+    rows = spark.createDataFrame([(lang, n, c) for lang, each in ranked.items() for n, c in each], "lang string, n long, cost long")
+    few = {}
+    for r in retrieval.budgeted(rows, 120).orderBy("lang", "n").collect():
+        few.setdefault(r.lang, []).append((r.n, r.cost))
+
+    def greedy(each):
+        used, kept = 0, []
+        for n, c in each:
+            if not kept or used + c <= 120:
+                used, kept = used + c, [*kept, n]
+        return kept
+
+    assert {k: greedy(v) for k, v in few.items()} == {k: greedy(v) for k, v in ranked.items()}
+    assert all(len(v) <= 12 for v in few.values())
+
+
+def test_lifecycle_is_the_fold_without_holding_a_key(spark):
+    rng, kinds = random.Random(6), [*state.ACTIONS, "other", None]
+    events = [(None if k == 0 else k, rng.randrange(50), i, rng.choice(kinds if k % 3 else ["error", "view", "signup"])) for i, k in enumerate(rng.choices(range(150), k=1200))]
+    got = state.anchor_lifecycle(spark.createDataFrame(events, "user_id long, ts long, event_id long, event_type string"))
+    want = {}
+    for key, _, _, kind in sorted(events, key=lambda e: e[1:3]):
+        want[key] = state.fold_anchor(want.get(key, state.NEW_ANCHOR), state.ACTIONS.get(kind, "observe"))
+    assert {r.user_id: {k: r[k] for k in state.NEW_ANCHOR} for r in got.collect()} == want
+    assert {v["state"] for v in want.values()} == {"active", "dormant"}
+    assert "Pandas" not in got._jdf.queryExecution().toString()
