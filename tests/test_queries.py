@@ -45,3 +45,15 @@ def test_query_gives_rows(spark, sf, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_short_passages_are_found(spark, tmp_path):
+    items = [(1, "one"), (2, "one two"), (3, "two three four fi"), (4, "one two three four fi"), (5, "absent here"), (6, "o")]
+    docs = [(10, "zero one two three four five six"), (11, "two  three"), (12, "one"), (13, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.item_id, r.doc_id) for r in QUERIES["fts_phrase_route"](spark, str(tmp_path)).collect())
+    connection = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert got == sorted(connection.execute(ORACLES["fts_phrase_route"]).fetchall()) and (3, 10) in got
