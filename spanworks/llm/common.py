@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -19,19 +20,55 @@ def lower_az(text: Column) -> Column:
 
 
 def shared_folder(spark) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a
+    folder of its own; a cluster has none to fall back on, so that is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
+_written: dict[str, object] = {}
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Writes the rows once to the shared folder and returns a reader of them: cuts lineage, survives lost executors,
-    and gives Spark true sizes, by which it decides on broadcasts."""
-    path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    and gives Spark true sizes, by which it decides on broadcasts. Deleted by `discard`, else when Python ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_discard_all)
+    _written[path] = spark.sparkContext
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    rows = spark.read.schema(df.schema).parquet(path)
+    rows._staged_at = path
+    return rows
+
+
+def discard(*rows: DataFrame) -> None:
+    """Deletes what `staged` wrote for rows that nothing reads any more."""
+    for df in rows:
+        _delete(df._staged_at)
+
+
+def _delete(path: str) -> None:
+    context = _written.pop(path, None)
+    if context is not None and context._jsc is not None:
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _discard_all() -> None:
+    for path in list(_written):
+        _delete(path)
+
+
+def text_mark(text="text") -> Column:
+    """Tells rows that repeat a doc_id with different texts apart; null and empty texts differ."""
+    return F.xxhash64(F.col(text), F.col(text).isNull())
 
 
 def join_sized(left: DataFrame, right: DataFrame, on, how: str = "inner", most_rows: int = 10_000) -> DataFrame:

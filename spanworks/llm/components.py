@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -24,7 +24,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = staged(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
-        now = staged(small.distinct())
+        last, now = now, staged(small.distinct())
+        discard(last, large)
         before, state = state, _state(now)
         if before == state:
             break
