@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import staged
+from .common import discard, staged
 from .components import connected_components
 
 BITS, SEED = 64, 42
@@ -28,11 +28,16 @@ def fingerprint(text: bytes | None, width: int = 4) -> int:
         return hashed(joined, SEED)
     starts = chain((0,), ends)
     hashes = np.fromiter((hashed(joined[s : e - 1], SEED) for s, e in zip(starts, ends[width - 1 :])), np.uint64)
+    return int(voted(hashes))
+
+
+def voted(hashes: np.ndarray) -> np.uint64:
+    """Each bit that over half of the hashes have; 0 of none."""
     votes = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 65536):  # bounded memory for very long texts
         part = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)
         votes += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.uint64)[0])
+    return np.packbits(2 * votes > len(hashes), bitorder="little").view(np.uint64)[0]
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -167,15 +172,10 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
     """
     marked = staged(fingerprints(docs, width))
     words = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = staged(connected_components(links(words.select("fp"), radius), "a", "b"))
+    joined = staged(links(words.select("fp"), radius))
+    roots = staged(connected_components(joined, "a", "b"))
+    discard(joined)
     rooted = words.join(roots, words.fp == roots.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def deduplicated(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component. Of rows that repeat a doc_id all stay or go
-    together; rows without a doc_id go."""
-    kept = near_duplicates(docs, radius, width).where("doc_id = component_id").select(F.col("doc_id").alias("__sw_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("__sw_id"), "left_semi")
