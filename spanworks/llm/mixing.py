@@ -9,16 +9,17 @@ from .common import WORD, join_sized, staged
 WEIGHTS, SHARE, MOST_COPIES = (5.0, 2.0, 1.0), 1.5, 2
 #: How steeply a source's weight rises over training, by its place in code point order, repeating.
 SLOPES = (-0.5, 0.0, 0.5)
-#: Sources are dealt into so many ranges of the order key, so that no task holds a whole source.
-RANGES = 4096
+#: Hex digits of the order key that make a range: sources are dealt into 16 ** 4 ranges, so that no task holds a whole one.
+RANGE_DIGITS = 4
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, source, size (words of the text), order (a fixed pseudo-random key of doc_id), range (its first 3
-    hex digits: 4096 ranges)."""
+def sizes(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Per row: the columns of `keep` (doc_id and source), size (words of the text), order (a fixed pseudo-random key of
+    doc_id and text) and range (its first RANGE_DIGITS digits), the last three prefixed by __sw_."""
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return docs.select("doc_id", "source", words.alias("size"), order.alias("order")).withColumn("range", F.substring("order", 1, 3))
+    order = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))
+    rows = docs.withColumns({"__sw_size": words, "__sw_order": order}).withColumn("__sw_range", F.substring("__sw_order", 1, RANGE_DIGITS))
+    return rows.select(*[F.col(f"`{c}`") for c in keep or ["doc_id", "source"]], "__sw_size", "__sw_order", "__sw_range")
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def targets(sized: DataFrame) -> DataFrame:
     """
     by_name, by_cap = Window.orderBy(F.col("source").isNull(), "source"), Window.orderBy("ratio", "rank")
     at = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("rank") % len(values) + 1).cast("int"))
-    own = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("rank", F.row_number().over(by_name) - 1)
+    own = sized.groupBy("source").agg(F.sum("__sw_size").alias("source_size")).withColumn("rank", F.row_number().over(by_name) - 1)
     own = own.withColumn("weight", at(WEIGHTS)).withColumn("slope", at(SLOPES)).withColumn("cap", F.lit(float(MOST_COPIES)) * F.col("source_size"))
     own = own.withColumn("ratio", F.col("cap") / F.col("weight"))
     whole, before, rest = Window.partitionBy(), by_cap.rowsBetween(Window.unboundedPreceding, -1), by_cap.rowsBetween(0, Window.unboundedFollowing)
@@ -46,53 +47,54 @@ def time_of(share: Column, slope: Column) -> Column:
     return F.when(slope == 0, share).otherwise((root - (1 - slope)) / (2 * slope))
 
 
+def _placed(rows: DataFrame, sized: DataFrame, goal: DataFrame) -> DataFrame:
+    """rows (as sizes() makes them) with __sw_goal (source_size, target, slope), __sw_first and __sw_second (words taken in
+    the first and second pass) and their positions in training, null if none."""
+    sums = sized.groupBy("source", "__sw_range").agg(F.sum("__sw_size").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("__sw_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select(F.col("source").alias("__sw_of"), F.col("__sw_range").alias("__sw_at"), ahead.alias("__sw_ahead"))
+    placed = rows.join(offsets, F.col("source").eqNullSafe(F.col("__sw_of")) & (F.col("__sw_range") == F.col("__sw_at"))).drop("__sw_of", "__sw_at")
+    line = Window.partitionBy("source", "__sw_range").orderBy("__sw_order", "__sw_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumn("__sw_start", F.col("__sw_ahead") + F.sum("__sw_size").over(line) - F.col("__sw_size")).drop("__sw_ahead")
+    goal = goal.select(F.col("source").alias("__sw_of"), F.struct("source_size", "target", "slope").alias("__sw_goal"))
+    placed = join_sized(placed, goal, F.col("source").eqNullSafe(F.col("__sw_of"))).drop("__sw_of")
+    words, again = F.round("__sw_goal.target").cast("long"), F.col("__sw_start") + F.col("__sw_goal.source_size")
+    part = lambda start: F.least(F.greatest(words - start, F.lit(0)), F.col("__sw_size"))
+    time = lambda start, n: F.when(n > 0, time_of(start / F.col("__sw_goal.target"), F.col("__sw_goal.slope")) + 0.0)
+    placed = placed.withColumns({"__sw_first": part(F.col("__sw_start")), "__sw_second": part(again)})
+    return placed.withColumns({"__sw_position": time(F.col("__sw_start"), F.col("__sw_first")), "__sw_next": time(again, F.col("__sw_second"))})
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken, position, next_position.
 
-    A source's documents line up by the hash of their doc_id, pass after pass, until the words in line reach its target
+    A source's documents line up by a hash of doc_id and text, pass after pass, until the words in line reach its target
     (rounded); the last one is cut there, so a source's `taken` add up to its target. No document is taken over twice.
     A copy's position is the training time at which the source's demand reaches its first word; the rows come sorted by
     the first copy's position (range-partitioned), documents not taken last.
     Null and empty texts have size 0: taken 0, no position. A null source is a source of its own, last in order. Rows
-    that repeat a doc_id are taken one after the other; equal rows are interchangeable. An empty table gives no rows.
-    Other columns are not read. The text is read once; the line is summed by ranges first, so that the largest window
-    holds 1/4096 of a source.
+    that repeat a doc_id, and rows without one, are rows of their own; rows equal in doc_id and text are taken one after
+    the other and interchangeable. An empty table gives no rows. Other columns are not read. The text is read once; the
+    line is summed by ranges first, so that the largest window holds 1/65536 of a source.
     """
     sized = staged(sizes(docs))
-    goal = staged(targets(sized))
-    sums = sized.groupBy("source", "range").agg(F.sum("size").alias("n"))
-    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sums.select("source", "range", ahead.alias("ahead"))
-    same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.range") == F.col("b.range"))
-    placed = sized.alias("a").join(offsets.alias("b"), same).select("a.*", "ahead")
-    line = Window.partitionBy("source", "range").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = placed.withColumn("start", F.col("ahead") + F.sum("size").over(line) - F.col("size"))
-    goal = goal.withColumnRenamed("source", "of")
-    placed = join_sized(placed, goal, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    goal_words = F.round("target").cast("long")
-    part = lambda start: F.least(F.greatest(goal_words - start, F.lit(0)), F.col("size"))
-    first, second = part(F.col("start")), part(F.col("start") + F.col("source_size"))
-    time = lambda start, n: F.when(n > 0, time_of(start / F.col("target"), F.col("slope")) + 0.0)
+    placed = _placed(sized, sized, staged(targets(sized)))
     timed = placed.select(
-        "doc_id", "source", "size", "source_size", "target", (first + second).alias("taken"),
-        time(F.col("start"), first).alias("position"), time(F.col("start") + F.col("source_size"), second).alias("next_position"), "order")
-    return timed.orderBy(F.col("position").asc_nulls_last(), "order").drop("order")
-
-
-def copies(mixed: DataFrame) -> DataFrame:
-    """The training order: (position, doc_id, copy, words), a row for each copy that is taken, sorted by position."""
-    first = F.least("taken", "size")
-    each = F.array(*[F.struct(F.col(p).alias("position"), F.lit(i).alias("copy"), n.alias("words")) for i, (p, n) in enumerate((("position", first), ("next_position", F.col("taken") - first)))])
-    return mixed.select("doc_id", F.inline(F.filter(each, lambda x: x.words > 0))).select("position", "doc_id", "copy", "words").orderBy("position")
+        "doc_id", "source", F.col("__sw_size").alias("size"), "__sw_goal.source_size", "__sw_goal.target", (F.col("__sw_first") + F.col("__sw_second")).alias("taken"),
+        F.col("__sw_position").alias("position"), F.col("__sw_next").alias("next_position"), "__sw_order")
+    return timed.orderBy(F.col("position").asc_nulls_last(), "__sw_order").drop("__sw_order")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs as the mix has them: a row for each copy of which at least half is taken, whole, in training
-    order. Rows that repeat a doc_id share its copies; rows without a doc_id go."""
-    one = mix(docs).where("taken > 0 and doc_id is not null").groupBy("doc_id")
-    mixed = one.agg(F.max("size").alias("size"), F.max("taken").alias("taken"), F.min("position").alias("position"), F.min("next_position").alias("next_position"))
-    first = F.least("taken", "size")
-    each = F.array(F.struct("position", first.alias("words")), F.struct(F.col("next_position").alias("position"), (F.col("taken") - first).alias("words")))
-    kept = mixed.select(F.col("doc_id").alias("__sw_id"), F.transform(F.filter(each, lambda x: (x.words > 0) & (2 * x.words >= F.col("size"))), lambda x: x.position).alias("__sw_positions"))
-    both = docs.join(kept.where("size(__sw_positions) > 0"), F.col("doc_id") == F.col("__sw_id")).drop("__sw_id")
-    return both.select("*", F.explode("__sw_positions").alias("__sw_position")).orderBy("__sw_position").drop("__sw_positions", "__sw_position")
+    """The rows of docs as the mix has them: a row for each copy of which at least half is taken, whole, in training order.
+
+    Every row is placed by itself: rows that repeat a doc_id, and rows without one, have copies of their own. Rows with
+    null or empty texts hold no words and go. A null source is a source of its own. Other columns pass through. An empty
+    table gives no rows."""
+    sized = staged(sizes(docs))
+    placed = _placed(sizes(docs, docs.columns), sized, staged(targets(sized)))
+    each = F.array(F.struct(F.col("__sw_first").alias("words"), F.col("__sw_position").alias("position")), F.struct(F.col("__sw_second").alias("words"), F.col("__sw_next").alias("position")))
+    kept = F.transform(F.filter(each, lambda x: (x.words > 0) & (2 * x.words >= F.col("__sw_size"))), lambda x: x.position)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    copies = placed.select(*columns, "__sw_order", F.explode(kept).alias("__sw_position"))
+    return copies.orderBy("__sw_position", "__sw_order").select(*columns)

@@ -86,7 +86,7 @@ FROM judged
 OP4 = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS ord
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS ord
   FROM documents),
 own AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -107,7 +107,7 @@ goal AS (
   FROM levels),
 placed AS (
   SELECT s.doc_id, s.source, s.size, g.source_size, g.target, g.slope,
-         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.ord, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.size AS start
+         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.ord, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.size AS start
   FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source),
 shares AS (
   SELECT *, least(greatest(round(target)::BIGINT - start, 0), size) AS one,
