@@ -10,11 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 SPACE = "▁"
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Chunks whose paths a worker remembers.
-REMEMBERED = 500_000
+#: A model file: a setting of the session, or this.
+SETTING, MODEL = "spark.spanworks.pieces.model", "/opt/tokenizers/piece_bpe_32k.model"
+#: Chunks whose paths, and pairs of pieces whose costs, a worker remembers.
+REMEMBERED, PAIRS = 500_000, 1_000_000
 
-_NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
+_NORMAL, _UNKNOWN, _USER, _UNUSED, _BYTE = 1, 2, 4, 5, 6
+_INFINITE = float("inf")
+#: Above all characters: makes codes of characters (below 0) and pieces positive.
+_SHIFT = 0x110002
 
 
 def read_model(path: str) -> dict:
@@ -25,24 +29,52 @@ def read_model(path: str) -> dict:
     with open(path, "rb") as f:
         model.ParseFromString(f.read())
     spec, trainer = model.normalizer_spec, model.trainer_spec
-    if spec.precompiled_charsmap or trainer.treat_whitespace_as_suffix or trainer.model_type not in (1, 2):
-        raise ValueError("only unigram and BPE models with the identity normaliser are supported")
+    kinds = [p.type for p in model.pieces]
+    if trainer.treat_whitespace_as_suffix or trainer.model_type not in (1, 2):
+        raise ValueError("only unigram and BPE models with blanks before words are supported")
+    if trainer.model_type == 2 and (_USER in kinds or _UNUSED in kinds):
+        raise ValueError("BPE models with user-defined or unused pieces are not supported")
     return {
-        "pieces": [p.piece for p in model.pieces], "scores": [p.score for p in model.pieces], "kinds": [p.type for p in model.pieces],
+        "pieces": [p.piece for p in model.pieces], "scores": [p.score for p in model.pieces], "kinds": kinds, "map": spec.precompiled_charsmap,
         "bpe": trainer.model_type == 2, "prefix": spec.add_dummy_prefix, "squeeze": spec.remove_extra_whitespaces, "escape": spec.escape_whitespaces}
 
 
+def normal_forms(blob: bytes) -> dict[str, str]:
+    """The rules of a normalisation map, what is read and what is written. The map is a double-array trie over UTF-8 (an
+    offset, a label and a leaf mark in each unit of 32 bits), after its size in bytes, and the texts to write after it."""
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units, texts = np.frombuffer(blob, np.uint32, size // 4, 4).tolist(), blob[4 + size :]
+    onward = lambda unit: (unit >> 10) << ((unit & 0x200) >> 6)
+    rules, open_ = {}, [(onward(units[0]), b"")]
+    while open_:
+        base, read = open_.pop()
+        for byte in range(1, 256):
+            at = base ^ byte
+            if at >= len(units) or units[at] & 0x800000FF != byte:
+                continue
+            child, now = at ^ onward(units[at]), read + bytes([byte])
+            if units[at] & 0x100:
+                start = units[child] & 0x7FFFFFFF
+                rules[now.decode()] = texts[start : texts.index(b"\0", start)].decode()
+            open_.append((child, now))
+    return rules
+
+
 class Transducer:
     """Normaliser, pieces and byte fallback, compiled from a model and composed with one text after another.
 
-    The piece transducer reads a run of characters and writes the piece, at the cost of its negative score; the fallback
-    transducer reads a character that is no piece and writes the pieces of its bytes. Composed with a text they give a
-    lattice over its characters, whose tropical shortest path is the encoding. For a BPE model the scores are the order
-    of merging, which costs of single pieces can't express; there the lattice is composed with one more acceptor, which
-    admits a piece after another only if merging the two texts would leave that pair as it is. Exactly one path remains,
-    that of BPE. The acceptor's arcs are compiled as they are met.
-    Texts are cut before blanks first and, if no piece of the model crosses that, between Latin letters and
-    all else; the paths of chunks are remembered.
+    The normaliser reads the longest run that a rule of the model's map has and writes the rule's text; what no rule reads
+    it copies. The piece transducer reads a run of characters and writes the piece, at the cost of its negative score; the
+    fallback transducer reads a character that is no piece and writes the pieces of its bytes. Composed with a text they
+    give a lattice, whose tropical shortest path is the encoding. For a BPE model the scores are the order of merging,
+    which costs of single pieces can't express; there one more acceptor is composed, over pairs: a piece after another
+    costs nothing if merging the two texts would leave that pair as it is, and infinitely much otherwise. All arcs are
+    relaxed; of the states of a place (its last pieces) only one has a finite cost, as merging has one outcome, so a state
+    a place is kept. The costs of pairs are compiled as they are met, and at most PAIRS of them remembered.
+    Texts are cut before blanks first and, if no piece of the model crosses that, between Latin letters and all else; the
+    paths of chunks are remembered.
     """
 
     def __init__(self, model: dict):
@@ -50,14 +82,21 @@ class Transducer:
         self.ids = {p: i for i, (p, kind) in enumerate(zip(pieces, model["kinds"])) if kind in (_NORMAL, _USER)}
         self.bytes = {int(p[3:5], 16): i for i, (p, kind) in enumerate(zip(pieces, model["kinds"])) if kind == _BYTE}
         self.unknown = next((i for i, kind in enumerate(model["kinds"]) if kind == _UNKNOWN), 0)
-        self.score = model["scores"]
+        self.rank = {p: model["scores"][i] for p, i in self.ids.items()}
+        normal = [s for s, kind in zip(model["scores"], model["kinds"]) if kind == _NORMAL] or [0.0]
+        # The largest score a character, less a little, is what a user-defined piece has; an unknown character is far below all.
+        self.arc = [-s if kind != _USER else 0.1 - len(p) * max(normal) for p, s, kind in zip(pieces, model["scores"], model["kinds"])]
+        self.arc_unknown = 10.0 - min(normal)
         self.tails = {p[i:]: -1 for p in self.ids for i in range(1, len(p))} | self.ids
-        self.pairs: dict[int, bool] = {}
-        self.characters = {p for p in self.ids if len(p) == 1}
-        self.states: tuple = ("", [-1], [-1], [0.0])
+        self.pairs: dict[int, float] = {}
+        self.states: tuple = ("", [-1], [-1], [0.0], [-1 + _SHIFT << 22])
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.kind = np.uint16 if len(pieces) <= 1 << 16 else np.uint32
+        self.rules = normal_forms(model["map"])
+        self.rules |= {p: p for p, kind in zip(pieces, model["kinds"]) if kind == _USER} if self.rules else {}
+        self.longest = max(map(len, self.rules), default=0)
+        self.begins = re.compile("[" + "".join(map(re.escape, sorted({r[0] for r in self.rules}))) + "]") if self.rules else None
         latin = re.compile("[A-Za-z\u00c0-\u024f]")
         inner = [(a, b) for p in self.ids for a, b in zip(p, p[1:]) if a != SPACE]
         if any(b == SPACE for _, b in inner):
@@ -66,36 +105,65 @@ class Transducer:
         self.chunk = re.compile(rf"{SPACE}*[^{SPACE}]*" if mixed else rf"{SPACE}*(?:{latin.pattern}+|[^{SPACE}{latin.pattern[1:]}+)|{SPACE}+")
         self.surface = [bytes([int(p[3:5], 16)]) if kind == _BYTE else p.replace(SPACE, " ").encode() if kind in (_NORMAL, _USER) else " ⁇ ".encode() if kind == _UNKNOWN else b"" for p, kind in zip(pieces, model["kinds"])]
 
+    def mapped(self, text: str) -> str:
+        """The text as the map's rules rewrite it, the longest run first."""
+        out, done = [], 0
+        found = self.begins.search(text)
+        while found:
+            at = found.start()
+            n = next((n for n in range(min(self.longest, len(text) - at), 0, -1) if text[at : at + n] in self.rules), 0)
+            out += [text[done:at], self.rules[text[at : at + n]] if n else text[at]]
+            done = at + max(n, 1)
+            found = self.begins.search(text, done)
+        return "".join([*out, text[done:]])
+
     def normalised(self, text: str) -> str:
+        if self.begins:
+            text = self.mapped(text)
         if self.model["squeeze"]:
             text = re.sub(" +", " ", text.strip(" "))
         if self.model["prefix"] and text:
             text = " " + text
         return text.replace(" ", SPACE) if self.model["escape"] else text
 
-    def merged(self, text: str) -> list[str]:
-        """What merging leaves of a text, pair by pair of the best score, the leftmost first."""
-        parts = list(text)
+    def stands(self, a: str, b: str) -> bool:
+        """Whether merging the joint text, pair by pair of the best score, the leftmost first, leaves a beside b."""
+        rank, parts, border = self.rank.get, [*a, *b], len(a)
+        scores = [rank(x + y) for x, y in zip(parts, parts[1:])]  # None: no piece
         while True:
-            best = max(((self.score[self.ids[a + b]], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.ids), default=None)
+            best, at = None, -1
+            for i, score in enumerate(scores):
+                if score is not None and (best is None or score > best):
+                    best, at = score, i
             if best is None:
-                return parts
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-
-    def follows(self, a: int, b: int) -> bool:
-        """The pair acceptor: whether b may stand after a (-1: at the start)."""
-        texts = [self.model["pieces"][i] for i in (a, b) if i >= 0]
-        found = self.pairs[(a + 1) << 20 | b] = self.merged("".join(texts)) == texts
+                return len(parts) == (2 if border else 1)
+            if at + 1 == border:  # a pair across the border
+                return False
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            border -= at + 1 < border
+            if at < len(scores):
+                scores[at] = rank(parts[at] + parts[at + 1])
+            if at:
+                scores[at - 1] = rank(parts[at - 1] + parts[at])
+
+    def text_of(self, piece: int) -> str:
+        return self.model["pieces"][piece] if piece >= 0 else chr(-2 - piece) if piece < -1 else ""
+
+    def pair_cost(self, a: int, b: int) -> float:
+        """The pair acceptor: the cost of b after a (-1: at the start); below -1 are characters that are no piece."""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        found = self.pairs[(a + _SHIFT << 22) + b] = 0.0 if self.stands(self.text_of(a), self.text_of(b)) else _INFINITE
         return found
 
-    def shortest(self, run: str) -> list[int] | None:
-        """The shortest path over a run of characters that are all pieces; None if there is none. Pieces that end at a
-        place are found from their last character on, as far as what is read ends any piece. The states of the places
-        that the run shares with the run before are taken from there."""
-        tails, pairs, score = self.tails, self.pairs, self.score if not self.model["bpe"] else None
+    def shortest(self, run: str) -> list[int]:
+        """The shortest path over a run of characters. Pieces that end at a place are found from their last character on,
+        as far as what is read ends any piece. The states of the places that the run shares with the run before are taken
+        from there."""
+        tail, pair, arc, bpe = self.tails.get, self.pairs.get, self.arc, self.model["bpe"]
         n = len(run)
-        before_run, last, back, cost = self.states
+        before_run, last, back, cost, code = self.states
         shared = 0
         for a, b in zip(run, before_run):
             if a != b:
@@ -103,47 +171,55 @@ class Transducer:
             shared += 1
         last = last[: shared + 1] + [-1] * (n - shared)
         back = back[: shared + 1] + [-1] * (n - shared)
-        cost = cost[: shared + 1] + [float("inf")] * (n - shared)
-        self.states = run, last, back, cost
+        cost = cost[: shared + 1] + [_INFINITE] * (n - shared)
+        code = code[: shared + 1] + [0] * (n - shared)
+        self.states = run, last, back, cost, code
         for end in range(shared + 1, n + 1):
             start = end - 1
-            while start >= 0:
-                piece = tails.get(run[start:end])
-                if piece is None:
+            piece, least, best, best_start = tail(run[start]), _INFINITE, -1, -1
+            if piece is None or piece < 0:
+                best, best_start, least = -2 - ord(run[start]), start, cost[start] + self.arc_unknown
+                if bpe:
+                    joint = pair(code[start] + best)
+                    least += self.pair_cost(last[start], best) if joint is None else joint
+            while bpe and piece is not None:
+                if piece >= 0:
+                    joint = pair(code[start] + piece)
+                    if joint is None:
+                        joint = self.pair_cost(last[start], piece)
+                    if not joint:  # else infinite, which is never the least
+                        total = cost[start] + arc[piece]
+                        if total <= least:
+                            least, best, best_start = total, piece, start
+                if not start:
                     break
+                start -= 1
+                piece = tail(run[start:end])
+            while not bpe and piece is not None:
                 if piece >= 0:
-                    if score is not None:
-                        if cost[start] - score[piece] < cost[end]:
-                            cost[end], last[end], back[end] = cost[start] - score[piece], piece, start
-                    elif back[start] >= 0 or start == 0:
-                        before = last[start]
-                        admitted = pairs.get((before + 1) << 20 | piece)
-                        if self.follows(before, piece) if admitted is None else admitted:
-                            last[end], back[end] = piece, start
-                            break  # the only admitted one that ends here
+                    total = cost[start] + arc[piece]
+                    if total <= least:
+                        least, best, best_start = total, piece, start
+                if not start:
+                    break
                 start -= 1
+                piece = tail(run[start:end])
+            cost[end], last[end], back[end], code[end] = least, best, best_start, best + _SHIFT << 22
         out, at = [], n
         while at > 0:
-            if back[at] < 0:
-                return None
             out.append(last[at])
             at = back[at]
         return out[::-1]
 
     def path(self, chunk: str) -> list[int]:
-        if self.characters.issuperset(chunk):
-            found = self.shortest(chunk)
-            return [self.unknown] if found is None else found
         out: list[int] = []
-        at = 0
-        for end, char in enumerate([*chunk, None]):
-            if char is None or char not in self.ids:
-                if end > at:
-                    found = self.shortest(chunk[at:end])
-                    out += found if found is not None else [self.unknown]
-                if char is not None:
-                    out += [self.bytes[b] for b in char.encode("utf-8", "replace")] if self.bytes else [self.unknown]
-                at = end + 1
+        for piece in self.shortest(chunk):
+            if piece >= 0:
+                out.append(piece)
+            elif self.bytes:
+                out += [self.bytes[b] for b in chr(-2 - piece).encode("utf-8", "replace")]
+            else:
+                out.append(self.unknown)
         return out
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
@@ -160,7 +236,14 @@ class Transducer:
                 found = np.array(self.path(chunk), self.kind).tobytes()
             (recent if len(chunk) < 64 else long)[chunk] = found
         get = (lambda c: recent[c] if c in recent else long[c]) if long else recent.__getitem__
-        return [np.frombuffer(b"".join(map(get, chunks)), self.kind) for chunks in cut]
+        return [self.joined(np.frombuffer(b"".join(map(get, chunks)), self.kind)) for chunks in cut]
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        """Unknown characters in a row are one unknown piece, if there are no pieces of bytes."""
+        if self.bytes:
+            return ids
+        bare = ids == self.unknown
+        return ids[~(bare & np.r_[False, bare[:-1]])] if bare.any() else ids
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
@@ -173,15 +256,19 @@ class Transducer:
 _compiled: dict[str, Transducer] = {}
 
 
-def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
+def model_path(spark) -> str:
+    return spark.conf.get(SETTING, MODEL)
+
+
+def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_chars, n_pieces, n_bytes (pieces of byte fallback), round_trip (whether
     decoding gives the text again; U+2581 in a text decodes to a blank), ids.
 
     Null texts have null ids and round_trip and counts 0; empty texts no ids. Rows that repeat a doc_id each get a row.
-    An empty table gives no rows. Other columns are not read. path names a model file the driver can read; what the
-    workers need of it is sent to them, bounded by its vocabulary. Nothing is shuffled.
+    An empty table gives no rows. Other columns are not read. path names a model file the driver can read (SETTING of the
+    session, else MODEL); what the workers need of it is sent to them, bounded by its vocabulary. Nothing is shuffled.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(read_model(path))
+    sent = docs.sparkSession.sparkContext.broadcast(read_model(path or model_path(docs.sparkSession)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = _compiled.get("last")  # a worker serves many tasks
@@ -207,9 +294,11 @@ def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_chars long, n_pieces long, n_bytes long, round_trip boolean, ids array<int>")
 
 
-def decoded(rows: DataFrame, path: str = MODEL) -> DataFrame:
-    """(doc_id, text) of rows (doc_id, ids); null ids give a null text."""
-    sent = rows.sparkSession.sparkContext.broadcast(read_model(path))
+def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, text) of rows (doc_id, ids): the pieces' texts, bytes joined to characters (U+FFFD where they make none).
+    Null ids give a null text, no ids an empty one. Rows that repeat a doc_id each get a row. An empty table gives no
+    rows. Other columns are not read. Nothing is shuffled."""
+    sent = rows.sparkSession.sparkContext.broadcast(read_model(path or model_path(rows.sparkSession)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = Transducer(sent.value)
