@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import staged
+from .common import discard, join_sized, staged
 
-#: Bounds of what is learned: labelled examples of each class, terms, neighbours, examples in a block of the index.
-PER_CLASS, TERMS, NEIGHBOURS, BLOCK = 4000, 2000, 25, 64
+#: Bound of what is learned: labelled examples of each class. Neighbours that vote, examples in a block of the index.
+PER_CLASS, NEIGHBOURS, BLOCK = 2000, 25, 64
+#: The weight of the share of all labels beside the votes.
+PRIOR = 0.01
 
-_WORD = regex.compile(r"\p{L}+")
-_PREFIXES = (4, 5, 6)
+_WORD = re.compile(r"[^\W\d_]+")
+_PREFIXES = (4, 6)
 
 
 def terms_of(text: str | None) -> Counter:
@@ -36,112 +38,88 @@ def held_out(doc_id: str = "doc_id"):
 
 
 class BlockMaxIndex:
-    """Postings of weighted examples by term, in blocks of examples with the largest weight of each term in each block."""
-
-    def __init__(self, vectors: list[list[tuple[int, float]]], n_terms: int):
-        n_blocks = -(-len(vectors) // BLOCK)
-        entries = sorted((t, e, w) for e, v in enumerate(vectors) for t, w in v)
-        term = np.array([t for t, _, _ in entries], np.int64)
-        self.example, self.weight = np.array([e for _, e, _ in entries], np.int64), np.array([w for _, _, w in entries])
-        self.start = np.searchsorted(term * n_blocks + self.example // BLOCK, np.arange(n_terms * n_blocks + 1)).reshape(-1)
-        self.most = np.zeros((n_terms, n_blocks))
-        np.maximum.at(self.most, (term, self.example // BLOCK), self.weight)
-        self.n_blocks = n_blocks
-
-    def nearest(self, query: list[tuple[int, float]], k: int, skip: int = -1) -> list[tuple[int, float]]:
-        """The k examples of the largest products above 0 (ties: the smaller number), exactly: blocks go by what they
-        can reach at most, until that is below the k-th product."""
-        if not self.n_blocks:
-            return []
-        bound = np.zeros(self.n_blocks)
-        for t, w in query:
-            bound += w * self.most[t]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or len(best) == k and bound[block] + 1e-12 < -best[-1][0]:
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in query:
-                if self.most[t, block]:
-                    at = slice(self.start[t * self.n_blocks + block], self.start[t * self.n_blocks + block + 1])
-                    scores[self.example[at] - block * BLOCK] += w * self.weight[at]
-            best += [(-float(scores[i]), int(block * BLOCK + i)) for i in np.flatnonzero(scores) if block * BLOCK + i != skip]
-            best = sorted(best)[:k]
-        return [(e, -s) for s, e in best]
-
-
-def weighted(counts: list[tuple[int, int]], idf: np.ndarray) -> list[tuple[int, float]]:
-    """The TF-IDF vector of (term, count) pairs, of length 1."""
-    raw = [(t, (1 + np.log(n)) * idf[t]) for t, n in counts]
-    length = np.sqrt(sum(w * w for _, w in raw))
-    return [(t, float(w / length)) for t, w in raw]
-
-
-def votes(near: list[tuple[int, float]], toxic: np.ndarray, prior: float) -> float:
-    """The toxic share of the neighbours, each with the square of its cosine as weight, with the prior for one more."""
-    weight = [s * s for _, s in near]
-    return (sum(w for (e, _), w in zip(near, weight) if toxic[e]) + prior) / (sum(weight) + 1)
+    """Postings of weighted examples by term, in blocks of examples. Each term has an entry for each block where it
+    occurs: the block, the largest weight in it, and where its postings start."""
+
+    def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, n_examples: int, n_terms: int):
+        order = np.lexsort((example, term))
+        self.example, self.weight, term = example[order].astype(np.int32), weight[order], term[order]
+        block = self.example // BLOCK
+        opens = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
+        self.block, self.posting = block[opens], np.r_[opens, len(term)].astype(np.int64)
+        self.most = np.maximum.reduceat(self.weight, opens) if len(opens) else np.zeros(0)
+        self.entry = np.searchsorted(term[opens], np.arange(n_terms + 1))
+        self.n_examples, self.n_blocks = n_examples, -(-n_examples // BLOCK)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of the largest products above 0 and the products (ties: the smaller number), exactly: blocks go
+        by what they can reach at most, some at a time, until that is below the k-th product."""
+        count = self.entry[terms + 1] - self.entry[terms]
+        entries = np.repeat(self.entry[terms] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+        of_weight, block = np.repeat(weights, count), self.block[entries]
+        bound = np.bincount(block, weights=of_weight * self.most[entries], minlength=self.n_blocks)
+        order = np.argsort(-bound, kind="stable")
+        best, scores = np.zeros(0, np.int64), np.zeros(0)
+        at, step = 0, 4
+        while at < self.n_blocks and bound[order[at]] > 0 and not (len(best) == k and bound[order[at]] + 1e-12 < scores[-1]):
+            chosen = np.zeros(self.n_blocks, bool)
+            chosen[order[at : at + step]] = True
+            took = np.flatnonzero(chosen[block])
+            start, size = self.posting[entries[took]], self.posting[entries[took] + 1] - self.posting[entries[took]]
+            places = np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+            product = np.bincount(self.example[places], weights=self.weight[places] * np.repeat(of_weight[took], size), minlength=self.n_examples)
+            if skip >= 0:
+                product[skip] = 0.0
+            hit = np.flatnonzero(product)
+            all_, sums = np.r_[best, hit], np.r_[scores, product[hit]]
+            first = np.lexsort((all_, -sums))[:k]
+            best, scores = all_[first], sums[first]
+            at, step = at + step, 2 * step
+        return best, scores
+
+
+def weighted(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The weights of a text's terms, of length 1, by their counts and the terms' weights."""
+    raw = (1 + np.log(counts)) * weight
+    return raw / np.sqrt((raw * raw).sum()) if len(raw) else raw
+
+
+def relevance(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
+    """What a term's inverse document frequency is multiplied by: log2(2 + examples of the one class over those of the
+    other that have it, as if the classes were of one size); 1 for a term that no toxic example has."""
+    return np.log2(2 + toxic * (n_other / max(1, n_toxic)) / np.maximum(1, other))
+
+
+def votes(products: np.ndarray, toxic: np.ndarray, prior: float) -> float:
+    """The toxic share of the neighbours, each with the square of its cosine as weight, with the prior for a little more."""
+    weight = products * products
+    return float(((weight * toxic).sum() + PRIOR * prior) / (weight.sum() + PRIOR))
 
 
 def sample_labels(labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """(doc_id, toxic) of at most `per_class` labelled documents of each class that are not held out, by a hash."""
-    usable = labels.where(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    usable = labels.where(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    # A threshold on the hash leaves each class about twice the rows it needs, before any are ranked.
-    share = {r["toxic"]: min(1.0, 2 * per_class / r["n"]) for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    near = F.lit(False)
-    for toxic, part in share.items():
-        near = near | ((F.col("toxic") == toxic) & (place < int(part * 1_000_000) + 1))
-    order = Window.partitionBy("toxic").orderBy(place, "doc_id")
-    return usable.where(near).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_class).select("doc_id", "toxic")
+    counts = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    chosen = usable.limit(0)
+    for toxic, n in counts.items():
+        # A threshold on the hash leaves a class about twice the rows it needs, before any are sorted.
+        near = usable.where((F.col("toxic") == toxic) & (place < int(min(1.0, 2 * per_class / n) * 1_000_000) + 1))
+        chosen = chosen.union(near.orderBy(place, "doc_id").limit(per_class))
+    return chosen
 
 
-def _sample_terms(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """(doc_id, toxic, terms array, counts array) of the sampled documents, whole texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [terms_of(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(x) for x in found], pa.list_(pa.string())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long"), "toxic", "text")
-    return rows.mapInArrow(run, "doc_id long, toxic int, terms array<string>, counts array<int>")
+def _examples(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """(doc_id, toxic, text) of the sampled documents, one text each (of several the first)."""
+    texts = join_sized(docs.select("doc_id", "text").where("text is not null"), staged(sample), "doc_id")
+    return texts.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "toxic").agg(F.min("text").alias("text"))
 
 
-def _choose_terms(sampled: DataFrame, n: int = TERMS, least: float = 15.0) -> tuple[list[str], dict[int, int]]:
-    """Terms that occur in a larger share of the toxic examples than of the others, by log-likelihood ratio; and the
-    number of examples of each class."""
-    size = {r["toxic"]: r["n"] for r in sampled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if len(size) < 2:
-        return [], size
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    p, q, both = a / size[1], b / size[0], (a + b) / (size[0] + size[1])
-    part = lambda k, m, x: F.when(k > 0, k * F.log(x)).otherwise(0.0) + F.when(k < m, (m - k) * F.log(1 - x)).otherwise(0.0)
-    ratio = 2 * (part(a, F.lit(float(size[1])), p) + part(b, F.lit(float(size[0])), q) - part(a, F.lit(float(size[1])), both) - part(b, F.lit(float(size[0])), both))
-    seen = sampled.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    top = seen.where((F.col("a") >= 3) & (p > 3 * q)).withColumn("ratio", ratio).where(F.col("ratio") >= least).orderBy(F.desc("ratio"), "term").limit(n)
-    return [r["term"] for r in top.select("term").collect()], size
-
-
-def score(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS, threshold: float = 0.7) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, held_out, score, predicted, evidence (the nearest examples' doc_ids).
+def _vectors(docs: DataFrame, number) -> DataFrame:
+    """docs (doc_id, mark, text) with terms and counts in place of text: binary arrays of 32 bits, sorted by term; terms
+    that number (a broadcast of term to number) lacks are left out."""
 
-    Terms are chosen on a bounded sample of labelled documents that are not held out; their inverse document frequencies
-    are counted over all documents. Each text's TF-IDF vector over them meets the examples in a block-max inverted index,
-    which finds the k of the largest cosines exactly; they vote, weighted by the square of the cosine, beside the share
-    of toxic documents among labelled ones without any of the terms; a logistic fit on the examples (each scored without
-    itself) calibrates the share. A text without any of the terms has no neighbour and gets that share itself.
-    Null and empty texts are such. Without labels of both classes every score is the toxic share of the labels, 0 if
-    there are none. Rows that repeat a doc_id each get a score; repeated labels count once, toxic if one is. Empty
-    tables give no rows. Other columns are not read. What goes to the driver and the workers is bounded by PER_CLASS
-    and TERMS. Nothing of the documents is shuffled; the vectors, a few terms each, are written once.
-    """
-    sc = docs.sparkSession.sparkContext
-    sampled = staged(_sample_terms(docs, staged(sample_labels(labels))))
-    terms, size = _choose_terms(sampled)
-    number = sc.broadcast({t: i for i, t in enumerate(terms)})
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number_ = number.value
         known: dict[str, tuple[int, ...]] = {}
 
@@ -150,68 +128,109 @@ def score(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS, threshold: fl
             return tuple(number_[x] for x in names if x in number_)
 
         for batch in batches:
-            ids, counts = [], []
+            terms, counts = [], []
             for text in batch.column(2).to_pylist():
                 own: dict[int, int] = {}
                 for word, n in Counter(_WORD.findall((text or "").lower())).items():
                     found = known.get(word)
                     if found is None:
-                        if len(known) > 500_000:
+                        if len(known) > 300_000:
                             known.clear()
                         found = known[word] = numbers(word)
                     for t in found:
                         own[t] = own.get(t, 0) + n
-                ids.append(sorted(own))
-                counts.append([own[t] for t in ids[-1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "held_out", "terms", "counts"])
-
-    marked = staged(docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(vectors, "doc_id long, held_out boolean, terms array<int>, counts array<int>"))
-    total = marked.count()
-    seen = {r["t"]: r["n"] for r in marked.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
-    idf = np.array([np.log((1 + total) / (1 + seen.get(i, 0))) + 1 for i in range(len(terms))])
-    examples = []
-    for r in sampled.select("doc_id", "toxic", _known_terms(terms).alias("known")).where("size(known) > 0").orderBy("doc_id").collect():
-        counts = sorted((number.value[x["term"]], x["n"]) for x in r["known"])
-        examples.append((r["doc_id"], r["toxic"], weighted(counts, idf)))
-    toxic = np.array([t for _, t, _ in examples], np.int64)
-    of_class = {c: size.get(c, 0) for c in (0, 1)}
-    # The sample takes classes alike; shares are taken back to those of all labels.
+                ids, n = np.fromiter(own.keys(), np.int32, len(own)), np.fromiter(own.values(), np.int32, len(own))
+                order = np.argsort(ids)
+                terms.append(ids[order].tobytes())
+                counts.append(n[order].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "mark", "terms", "counts"])
+
+    return docs.mapInArrow(run, "doc_id long, mark int, terms binary, counts binary")
+
+
+def _frequencies(vectors: DataFrame) -> DataFrame:
+    """(term, n): in how many rows of vectors each term is; added up in the task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            part = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int32))
+            if len(part) > len(total):
+                part, total = total, part
+            total[: len(part)] += part
+        seen = np.flatnonzero(total)
+        for at in range(0, len(seen), 50_000):
+            some = seen[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["term", "n"])
+
+    return vectors.select("terms").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def score(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS, threshold: float = 0.7, per_class: int = PER_CLASS) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, held_out, score, predicted, evidence (the nearest examples' doc_ids).
+
+    The examples are a bounded sample of the labelled documents that are not held out, `per_class` of each class at most;
+    the vocabulary is all of their terms. Document frequencies are counted over all documents; the inverse is multiplied
+    by the term's relevance among the examples. Each text's TF-IDF vector meets the examples in a block-max inverted
+    index, which finds the k of the largest cosines exactly (terms that no example has are left out; they would lower all
+    cosines of a text alike); those vote, weighted by the square of the cosine; a logistic fit on the examples (each
+    scored without itself) calibrates the share for the classes as all labels have them.
+    A text that shares no term with an example, such as a null or empty one, has the toxic share of the labels as score.
+    Without labels of both classes every score is that share, 0 if there are none. Rows that repeat a doc_id each get a
+    score; repeated labels count once, toxic if one is; of an example's texts the first counts. Empty tables give no rows.
+    Other columns are not read. What goes to the driver and the workers is bounded by the examples' texts. Texts are not
+    shuffled; the vectors are written once and dealt out evenly.
+    """
+    spark = docs.sparkSession
+    sc = spark.sparkContext
     share = labels.where(~held_out() & F.col("toxic").isin(0, 1)).agg(F.avg(F.col("toxic").cast("double")).alias("p")).first()["p"] or 0.0
-    bare = [(1 - share if c == 0 else share) * (of_class[c] - int((toxic == c).sum())) / of_class[c] if of_class[c] else 0.0 for c in (0, 1)]
-    prior = bare[1] / (bare[0] + bare[1]) if sum(bare) > 0 else share
-    index = BlockMaxIndex([v for _, _, v in examples], max(1, len(terms)))
-    fit = _calibration([votes(index.nearest(v, k, skip=i), toxic, prior) for i, (_, _, v) in enumerate(examples)], toxic, share, of_class)
-    sent = sc.broadcast({"index": index, "toxic": toxic, "ids": [d for d, _, _ in examples], "idf": idf})
+    chosen = staged(_examples(docs, sample_labels(labels, per_class)))
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(terms_of(t)) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], ["toxic", "terms"])
+
+    known = chosen.select("toxic", "text").mapInArrow(terms, "toxic int, terms array<string>").select("toxic", F.explode("terms").alias("term"))
+    known = known.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).orderBy("term").toArrow()
+    number = sc.broadcast({t: i for i, t in enumerate(known.column(0).to_pylist())})
+    marked = staged(_vectors(docs.select(F.col("doc_id").cast("long"), held_out().cast("int").alias("mark"), "text"), number))
+    total, seen = marked.count(), _frequencies(marked).toArrow()
+    frequency = np.zeros(known.num_rows)
+    frequency[seen.column(0).to_numpy()] = seen.column(1).to_numpy()
+    examples = _vectors(chosen.select("doc_id", F.col("toxic").alias("mark"), "text"), number).orderBy("doc_id").toArrow()
+    toxic, ids = examples.column(1).to_numpy(), examples.column(0).to_numpy()
+    of_class = {c: int((toxic == c).sum()) for c in (0, 1)}
+    idf = np.log((1 + total) / (1 + frequency)) + 1
+    weight = idf * relevance(known.column(1).to_numpy(), known.column(2).to_numpy(), of_class[1], of_class[0]) if len(idf) else idf
+    read = lambda x: np.frombuffer(x, np.int32)
+    vectors = [(read(t), weighted(read(n), weight[read(t)])) for t, n in zip(examples.column(2).to_pylist(), examples.column(3).to_pylist())]
+    flat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+    index = BlockMaxIndex(np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors]), flat([t for t, _ in vectors], np.int64), flat([w for _, w in vectors], float), len(vectors), len(idf))
+    both = bool(of_class[0] and of_class[1])
+    own = []
+    for i, (t, w) in enumerate(vectors if both else []):
+        near, products = index.nearest(t, w, k, skip=i)
+        own.append(votes(products, toxic[near], share))
+    fit = _calibration(own, toxic, share, of_class)
+    sent = sc.broadcast({"index": index, "toxic": toxic, "ids": ids, "weight": weight})
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = sent.value, {}
+        model = sent.value
         for batch in batches:
             scores, evidence = [], []
-            for ids, counts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                key = (*ids, *counts)
-                found = known.get(key)
-                if found is None:
-                    if len(known) > 100_000:
-                        known.clear()
-                    if ids:
-                        near = model["index"].nearest(weighted(list(zip(ids, counts)), model["idf"]), k)
-                        found = (_calibrated(votes(near, model["toxic"], prior), fit), [model["ids"][e] for e, _ in near[:5]])
-                    else:
-                        found = (prior, [])
-                    known[key] = found
-                scores.append(found[0])
-                evidence.append(found[1])
+            for t, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                t, n = read(t), read(n)
+                near, products = model["index"].nearest(t, weighted(n, model["weight"][t]), k) if both and len(t) else ((), ())
+                scores.append(_calibrated(votes(products, model["toxic"][near], share), fit) if len(near) else share)
+                evidence.append([int(model["ids"][e]) for e in near[:5]])
+            marks = batch.column(1).cast(pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(evidence, pa.list_(pa.int64()))],
+                [batch.column(0), marks, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(evidence, pa.list_(pa.int64()))],
                 ["doc_id", "held_out", "score", "predicted", "evidence"])
 
-    return marked.mapInArrow(judge, "doc_id long, held_out boolean, score double, predicted int, evidence array<long>")
-
-
-def _known_terms(terms: list[str]):
-    pairs = F.arrays_zip(F.col("terms").alias("term"), F.col("counts").alias("n"))
-    chosen = F.filter(pairs, lambda x: x["term"].isin(terms) if terms else F.lit(False))
-    return F.transform(chosen, lambda x: F.struct(x["term"].alias("term"), x["n"].alias("n")))
+    discard(chosen)
+    dealt = marked.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions()))
+    return dealt.mapInArrow(judge, "doc_id long, held_out boolean, score double, predicted int, evidence array<long>")
 
 
 def _logit(p):
