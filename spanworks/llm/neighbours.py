@@ -163,7 +163,7 @@ def search_cell(asked: np.ndarray, floor: np.ndarray, vectors: np.ndarray, ids:
         far = squares[rows] + np.einsum("ij,ij->i", at_query[q], at_query[q])[:, None] - 2.0 * (at_query[q] @ points[rows].T)
         best_score, best_id = np.full((len(mine), k), -np.inf), np.full((len(mine), k), np.iinfo(np.int64).max)
         seen, verified = np.full(len(mine), -np.inf), np.zeros(len(mine), np.int64)
-        for step in (4 * k, 32 * k, len(rows)):
+        for step in (4 * k, 12 * k, 36 * k, len(rows)):
             step = min(step, len(rows))
             until = np.partition(far, step - 1, axis=1)[:, step - 1] if step < len(rows) else np.full(len(mine), np.inf)
             until = np.maximum(np.minimum(until, most), seen)
@@ -202,7 +202,7 @@ def searchable(vectors: DataFrame) -> DataFrame:
 RESULT = "query_id long, rank int, vec_id long, score double, verified long"
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, sure: float = 0.85, cell_rows: int = CELL_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, sure: float = 0.78, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score, verified): the k nearest by inner product of each vector whose vec_id is divisible
     by `every`, against all rows but its own; ties go to the smaller vec_id. verified is how many different vectors were
     compared with the query in full.
