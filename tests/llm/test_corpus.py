@@ -367,18 +367,71 @@ def test_toxicity(spark, sf):
     assert np.mean([t > c for t in toxic for c in clean]) > 0.7 and np.mean(np.array(clean) < 0.7) > 0.97
 
 
+def brute_toxicity(rows, labels, k=25):
+    """Scores by whole dictionaries; calibrated by the operator's own fit."""
+    crc = lambda d: zlib.crc32(str(d).encode()) % 3
+    of = {}
+    for d, toxic in labels:
+        if d is not None and toxic in (0, 1) and crc(d) != 1:
+            of[d] = max(toxic, of.get(d, 0))
+    used = [t for d, t in labels if t in (0, 1) and (d is None or crc(d) != 1)]
+    share = sum(used) / len(used) if used else 0.0
+    texts = {}
+    for d, t in rows:
+        if d in of and t is not None:
+            texts[d] = min(t, texts.get(d, t), key=lambda x: x.encode())
+    ids = sorted(texts)
+    toxic, bags = np.array([of[d] for d in ids]), [toxicity.terms_of(texts[d]) for d in ids]
+    n = {c: int((toxic == c).sum()) for c in (0, 1)}
+    if not n[0] or not n[1]:
+        return Counter((d, round(share, 6)) for d, _ in rows)
+    have = {c: Counter(t for b, y in zip(bags, toxic) if y == c for t in b) for c in (0, 1)}
+    seen = Counter(t for _, text in rows for t in toxicity.terms_of(text))
+    weight = {t: (np.log((1 + len(rows)) / (1 + seen[t])) + 1) * np.log2(2 + have[1][t] * n[0] / n[1] / max(1, have[0][t])) for b in bags for t in b}
+
+    def vector(bag):
+        raw = {t: (1 + np.log(c)) * weight[t] for t, c in bag.items() if t in weight}
+        length = np.sqrt(sum(w * w for w in raw.values()))
+        return {t: w / length for t, w in raw.items()}
+
+    vectors = [vector(b) for b in bags]
+
+    def share_of(own, skip=None):
+        found = [(-sum(w * v[t] for t, w in own.items() if t in v), e) for e, v in enumerate(vectors) if e != skip]
+        near = sorted(x for x in found if x[0] < 0)[:k]
+        return (sum(s * s * toxic[e] for s, e in near) + 0.01 * share) / (sum(s * s for s, _ in near) + 0.01), bool(near)
+
+    fit = toxicity._calibration([share_of(v, i)[0] for i, v in enumerate(vectors)], toxic, share, n)
+    out = Counter()
+    for d, text in rows:
+        p, any_ = share_of(vector(toxicity.terms_of(text)))
+        out[d, round(toxicity._calibrated(p, fit) if any_ else share, 6)] += 1
+    return out
+
+
+@pytest.mark.parametrize("which", ["docs", "odd", "shared"])
+def test_toxicity_by_brute_force(which, spark, sf, request):
+    table = request.getfixturevalue(which)
+    labels = spark.read.parquet(f"{sf}/labels.parquet") if which == "docs" else spark.createDataFrame([(i, 1, i % 2) for i in range(9)] + [(1, 1, 0), (1, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    want = brute_toxicity([(r.doc_id, r.text) for r in table.collect()], [(r.doc_id, r.toxic) for r in labels.collect()])
+    assert Counter((r.doc_id, round(r.score, 6)) for r in toxicity.score(table, labels).collect()) == want
+
+
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(3)
-    vectors = [toxicity.weighted([(int(t), int(rng.integers(1, 4))) for t in rng.choice(40, 5, replace=False)], np.ones(40)) for _ in range(500)]
-    index = toxicity.BlockMaxIndex(vectors, 40)
     dense = np.zeros((500, 40))
-    for i, v in enumerate(vectors):
-        dense[i, [t for t, _ in v]] = [w for _, w in v]
+    for row in dense:
+        row[rng.choice(40, 5, replace=False)] = rng.random(5)
+    dense[7] = dense[3]  # ties
+    example, term = np.nonzero(dense)
+    index = toxicity.BlockMaxIndex(example, term, dense[example, term], 500, 40)
     for q in range(0, 500, 25):
-        scores = np.round(dense @ dense[q], 9)
-        got = index.nearest(vectors[q], 10, skip=q)
-        best = np.delete(np.sort(scores)[::-1], 0)[:10]
-        assert np.allclose(sorted((s for _, s in got), reverse=True), best, atol=1e-8)
+        terms = np.flatnonzero(dense[q])
+        near, products = index.nearest(terms, dense[q, terms], 10, skip=q)
+        scores = dense @ dense[q]
+        scores[q] = 0
+        want = np.lexsort((np.arange(500), -np.round(scores, 12)))[:10]
+        assert near.tolist() == want.tolist() and np.allclose(products, scores[want])
 
 
 def test_toxicity_odd(spark, odd, empty):
