@@ -72,13 +72,14 @@ def features(docs: DataFrame) -> DataFrame:
     )
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def references(featured: DataFrame) -> DataFrame:
-    """(lang, ref_chars, ref_common): summed histograms by language; lang null stands for the whole table."""
+    """(lang, ref_chars, ref_common): summed histograms by language, of the rows that the base rules let through."""
     sums = lambda name, n: F.array(*[F.sum(F.col(name)[i]) for i in range(n)]).alias(f"ref_{name}")
-    each = featured.groupBy("lang").agg(sums("chars", len(CHAR_CLASSES) + 1), sums("common", len(COMMON_WORDS) + 1))
-    each = staged(each)
-    pooled = each.agg(*[F.array(*[F.sum(F.col(f"ref_{k}")[i]) for i in range(n)]).alias(f"ref_{k}") for k, n in (("chars", len(CHAR_CLASSES) + 1), ("common", len(COMMON_WORDS) + 1))])
-    return each.where("lang is not null").union(pooled.select(F.lit(None).cast("string"), "ref_chars", "ref_common"))
+    return featured.where(~base_failed()).groupBy("lang").agg(sums("chars", len(CHAR_CLASSES) + 1), sums("common", len(COMMON_WORDS) + 1))
 
 
 def with_distance(rows: DataFrame, p: str, q: str, name: str) -> DataFrame:
@@ -92,19 +93,29 @@ def with_distance(rows: DataFrame, p: str, q: str, name: str) -> DataFrame:
     return rows.withColumn(name, F.when(known, F.sqrt(F.greatest(total(parts), F.lit(0.0))))).drop("_p", "_q")
 
 
-def quality(docs: DataFrame, most_chars: float = 0.28, most_common: float = 0.4, min_words: int = 100) -> DataFrame:
+def quality(docs: DataFrame, chars_bound=(0.15, 0.6), common_bound=(0.22, 0.9), both: float = 1.65, reference_words: int = 5000) -> DataFrame:
     """Per row of docs (doc_id, text, lang): the base figures, base_failed, char_distance, word_distance, kept.
 
-    The histograms of character classes and common words are compared with those of the row's language over the whole
-    table (of all rows, if lang is null) by Jensen-Shannon distance. A text of at least `min_words` words is kept if
-    neither distance is above its bound; a shorter one has too little evidence and passes unless the base rules fail.
-    Null and empty texts have no words and so fail the base rules. Rows that repeat a doc_id each get a row. An empty
-    table gives no rows. Other columns are not read.
+    The histograms of character classes and common words are compared by Jensen-Shannon distance with those of the row's
+    language over the other rows of the whole table that the base rules let through; with those of all such rows, if lang
+    is null or its rows have fewer than `reference_words` words without this one. Short texts scatter more, so a bound is
+    a + b / sqrt(words). A row is kept if the base rules let it through, neither distance is above its bound, and the two
+    over their bounds add up to `both` at most. Where a histogram or all of its reference is empty, that distance is null
+    and counts as 0. Null and empty texts have no words and so fail the base rules. Rows that repeat a doc_id each get a
+    row. An empty table gives no rows. Other columns are not read.
     """
     made = staged(features(docs))
     refs = staged(references(made))
-    both = join_sized(made, refs.withColumnRenamed("lang", "of"), F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")
-    judged = with_distance(with_distance(both, "chars", "ref_chars", "char_distance"), "common", "ref_common", "word_distance")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    near = (F.col("n_words") < min_words) | ((F.coalesce("char_distance", F.lit(0.0)) <= most_chars) & (F.coalesce("word_distance", F.lit(0.0)) <= most_common))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & near).alias("kept"), "char_distance", "word_distance")
+    sizes = {"ref_chars": len(CHAR_CLASSES) + 1, "ref_common": len(COMMON_WORDS) + 1}
+    pooled = refs.agg(*[F.array(*[F.coalesce(F.sum(F.col(c)[i]), F.lit(0.0)) for i in range(n)]).alias(c) for c, n in sizes.items()]).first()
+    rows = join_sized(made, refs.withColumnRenamed("lang", "of"), F.col("lang") == F.col("of"), "left").drop("of")
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    others = lambda ref, own: F.when(base_failed(), ref).otherwise(F.zip_with(ref, own, lambda r, o: r - o))
+    alone = F.col("ref_common").isNull() | (total(others(F.col("ref_common"), "common")) < reference_words)
+    pick = lambda c, own: others(F.when(alone, F.array(*[F.lit(float(v)) for v in pooled[c]])).otherwise(F.col(c)), own)
+    rows = rows.withColumns({"q_chars": pick("ref_chars", "chars"), "q_common": pick("ref_common", "common")})
+    judged = with_distance(with_distance(rows, "chars", "q_chars", "char_distance"), "common", "q_common", "word_distance")
+    over = lambda distance, bound: F.coalesce(distance, F.lit(0.0)) / (bound[0] + bound[1] / F.sqrt(F.greatest("n_words", F.lit(1))))
+    chars, common = over("char_distance", chars_bound), over("word_distance", common_bound)
+    kept = ~base_failed() & (chars <= 1.0) & (common <= 1.0) & (chars + common <= both)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), kept.alias("kept"), "char_distance", "word_distance")
