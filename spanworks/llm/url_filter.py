@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import lower_az, staged
+from .common import join_sized, lower_az, staged
 from .components import connected_components
 
 #: Fixed values: (verdict, host, path).
@@ -38,27 +38,37 @@ def with_node(rows: DataFrame, url: str, name: str) -> DataFrame:
 
 
 def absolute(base: Column, link: Column) -> Column:
-    """A link as an absolute url, seen from a page."""
+    """A link as an absolute url, seen from a page, with `.` and `..` in its path folded."""
     link = F.trim(F.regexp_replace(link, "&amp;", "&"))
-    root = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*([^?#]*/)", 1)
-    return (
+    root = F.regexp_extract(base, r"(?s)^([^?#]*?://[^/?#]*)", 1)
+    folder = F.regexp_extract(base, r"(?s)^[^?#]*?://[^/?#]*([^?#]*/)", 1)
+    return folded(
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
-        .when(link.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), link))
+        .when(link.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^([^?#]*?:)//", 1), link))
         .when(link.startswith("/"), F.concat(root, link))
         .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), link))
     )
 
 
+def folded(url: Column) -> Column:
+    """An absolute url without `.` and `..` in its path; a path that would leave the root stays there."""
+    steps = F.split(F.regexp_extract(url, r"(?s)^[^?#]*?://[^/?#]*/([^?#]*)", 1), "/", -1)
+    path = F.aggregate(steps, F.lit(""), lambda acc, s: F.when(s == "..", F.regexp_replace(acc, "/[^/]*$", "")).when(s == ".", acc).otherwise(F.concat(acc, F.lit("/"), s)))
+    return F.concat(F.regexp_extract(url, r"(?s)^([^?#]*?://[^/?#]*)", 1), path, F.regexp_extract(url, r"(?s)^[^?#]*([?#].*)$", 1))
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): nodes of the pages and of what they redirect to (meta refresh) or call canonical."""
+    """(a, b): nodes of the pages and of what they redirect to (meta refresh) or call canonical. A relative link is seen
+    from the page's first base href, if it has one."""
     tag = lambda name: F.regexp_extract_all("html", F.lit(rf"(?is)<{name}\b[^>]*>"), F.lit(0))
     either = lambda t, name: F.concat(*[F.regexp_extract(t, rf"""(?is)\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", i) for i in (1, 2, 3)])
     canonical = F.transform(F.filter(tag("link"), lambda t: F.lower(either(t, "rel")) == "canonical"), lambda t: either(t, "href"))
     refresh = F.transform(F.filter(tag("meta"), lambda t: F.lower(either(t, "http-equiv")) == "refresh"), lambda t: F.regexp_extract(either(t, "content"), r"(?is)url\s*=\s*['\"]?([^'\"]+)", 1))
+    base = either(F.regexp_extract("html", r"(?is)<base\b[^>]*>", 0), "href")
     marked = pages.where(F.col("html").rlike(r"(?i)canonical|http-equiv"))
-    links = staged(marked.select("url", F.explode(F.concat(canonical, refresh)).alias("link")))  # a few, cut out of much html
-    links = links.withColumn("target", absolute(F.col("url"), F.col("link")))
+    links = staged(marked.select("url", base.alias("base"), F.explode(F.concat(canonical, refresh)).alias("link")))  # a few, cut out of much html
+    seen_from = F.when(F.col("base") == "", F.col("url")).otherwise(absolute(F.col("url"), F.col("base")))
+    links = links.withColumn("target", absolute(seen_from, F.col("link")))
     return with_node(with_node(links, "url", "a"), "target", "b").select("a", "b")
 
 
@@ -70,20 +80,16 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     page from that. All else is allowed. redirects: further edges (from_url, to_url).
     Null urls and urls without `://` have an empty host and path, fit no rule and are no one's alias: allowed. Null or
     empty html has no links. Rows that repeat a page_id each get a verdict. An empty table gives no rows. Other columns
-    are not read. Edges are shuffled, pages only by node and only when there are edges; a hot host is no key.
+    are not read. Edges are shuffled; pages by node, unless the aliases are counted to be few; a hot host is no key.
     """
     judged = with_parts(pages.select("page_id", "url")).withColumn("own", longest_rule(F.col("host"), F.col("path"), rules))
     edges = alias_edges(pages)
     if redirects is not None:
         edges = edges.union(with_node(with_node(redirects, "from_url", "a"), "to_url", "b").select("a", "b"))
-    edges = staged(edges).where("a <> b")
-    if edges.isEmpty():
-        joined = judged.withColumn("alias_of_blocked", F.lit(False))
-    else:
-        found = staged(connected_components(edges, "a", "b"))
-        node_host, rest = F.regexp_extract("node", r"(?s)^[^/]*", 0), F.regexp_extract("node", r"(?s)^[^/]*(/[^?]*)", 1)
-        blocked = found.where(longest_rule(node_host, rest, rules).verdict == "block").select("component").distinct()
-        aliases = found.join(blocked, "component", "left_semi").select("node", F.lit(True).alias("alias"))
-        joined = with_node(judged, "url", "node").join(aliases, "node", "left").withColumn("alias_of_blocked", F.coalesce("alias", F.lit(False)))
+    found = staged(connected_components(edges.where("a <> b"), "a", "b"))
+    node_host, rest = F.regexp_extract("node", r"(?s)^[^/]*", 0), F.regexp_extract("node", r"(?s)^[^/]*(/[^?]*)", 1)
+    blocked = found.where(longest_rule(node_host, rest, rules).verdict == "block").select("component").distinct()
+    aliases = staged(found.join(blocked, "component", "left_semi").select("node", F.lit(True).alias("alias")))
+    joined = join_sized(with_node(judged, "url", "node"), aliases, "node", "left").withColumn("alias_of_blocked", F.coalesce("alias", F.lit(False)))
     verdict = F.coalesce(F.col("own.verdict"), F.when(F.col("alias_of_blocked"), "block").otherwise("allow"))
     return joined.select("page_id", "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"), "alias_of_blocked")
