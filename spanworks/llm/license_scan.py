@@ -53,7 +53,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, float]] | None = None,
     Every rolling k-gram of every text is joined by its hash to the template positions (and compared as text, so no
     collision counts); the hits vote for a diagonal, the document position less the template position. Diagonals of a
     template within `slack` words of each other that follow on in the text merge into one span, so that a span survives
-    a word left out or put in. A span is verified by the share of the template's k-grams that it shows.
+    a word left out or put in. A span is verified by the share of the template's k-grams that it shows; a template whose
+    whole must be shown counts on single diagonals only, so that its words stand consecutively.
 
     Returns one row per row of docs (doc_id, text): doc_id, n_words, spans, an array of
     (template, label, first_word, last_word, coverage), sorted. Null and empty texts have 0 words and no span. Rows that
@@ -82,8 +83,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, float]] | None = None,
     of = lambda values, kind: F.element_at(F.create_map(*[F.lit(x).cast(kind) if j % 2 else F.lit(x) for kv in values.items() for j, x in enumerate(kv)]), F.col("template"))
     known = {i: label for i, (label, _, _) in enumerate(templates)}
     share = {i: x for i, (_, _, x) in enumerate(templates)}
+    diagonals = diagonals.withColumn("places_of", F.coalesce(of(size, "int"), F.lit(1)))
     merged = (
-        diagonals.withColumn("places_of", F.coalesce(of(size, "int"), F.lit(1)))
+        diagonals.where((F.col("template") < 0) | (of(share, "double") < 1) | apart)
         .withColumn("opens", F.coalesce(step, F.lit(True)) | apart | F.coalesce(F.lag(apart).over(by_place), F.lit(False)))
         .withColumn("span", F.sum(F.col("opens").cast("int")).over(by_place))
         .groupBy("row", "doc_id", "n_words", "template", "span", "places_of")

@@ -22,9 +22,10 @@ placed AS (SELECT rid, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS p
 grams AS (SELECT rid, pos, w || ' ' || lead(w) OVER (PARTITION BY rid ORDER BY pos) AS gram FROM placed),
 places(gram, template, place) AS (VALUES {places}),
 known(template, label, share, n_places) AS (VALUES {known}),
-diagonals AS (
+hits AS (
   SELECT g.rid, p.template, g.pos - p.place AS diagonal, min(g.pos) AS first_at, max(g.pos) AS last_at, list(DISTINCT p.place) AS shown
   FROM grams g JOIN places p USING (gram) GROUP BY ALL),
+diagonals AS (SELECT h.* FROM hits h JOIN known k USING (template) WHERE k.share < 1 OR len(h.shown) = k.n_places),
 marked AS (
   SELECT d.*, k.label, k.share, k.n_places, len(d.shown) = k.n_places AS apart,
          lag(diagonal) OVER line AS diagonal_before, lag(last_at) OVER line AS last_before, lag(len(d.shown) = k.n_places) OVER line AS apart_before
@@ -71,18 +72,28 @@ counted AS (
          coalesce(r.n, 0)::BIGINT AS n_repeat_words, length(c.text)::DOUBLE AS n_chars, [{classes}] AS chars, [{words}] AS common
   FROM cut c LEFT JOIN repeated r USING (rid) LEFT JOIN frequent f USING (rid)),
 made AS (SELECT * REPLACE (list_append(chars, n_chars - list_sum(chars)) AS chars, list_append(common, n_words - list_sum(common)) AS common) FROM counted),
-refs AS (SELECT lang, {both} FROM made WHERE lang IS NOT NULL GROUP BY lang UNION ALL SELECT NULL, {both} FROM made),
-judged AS (
-  SELECT m.*, {distance("m.chars", "r.ref_chars")} AS char_distance, {distance("m.common", "r.ref_common")} AS word_distance,
-         n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
-  FROM made m LEFT JOIN refs r ON m.lang IS NOT DISTINCT FROM r.lang)
+judgable AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM made),
+refs AS (SELECT lang, {both} FROM judgable WHERE NOT base_failed GROUP BY lang),
+pooled AS (SELECT {both.replace("sum(", "coalesce(sum(").replace("])", "]), 0)")} FROM judgable WHERE NOT base_failed),
+chosen AS (
+  SELECT m.*, p.ref_chars AS all_chars, p.ref_common AS all_common, r.ref_chars, r.ref_common,
+         r.ref_common IS NULL OR list_sum(r.ref_common) - CASE WHEN base_failed THEN 0 ELSE list_sum(common) END < 5000 AS alone
+  FROM judgable m CROSS JOIN pooled p LEFT JOIN refs r ON m.lang = r.lang),
+compared AS (
+  SELECT *, list_transform(CASE WHEN alone THEN all_chars ELSE ref_chars END, lambda v, i: v - CASE WHEN base_failed THEN 0 ELSE chars[i] END) AS q_chars,
+         list_transform(CASE WHEN alone THEN all_common ELSE ref_common END, lambda v, i: v - CASE WHEN base_failed THEN 0 ELSE common[i] END) AS q_common
+  FROM chosen),
+judged AS (SELECT *, {distance("chars", "q_chars")} AS char_distance, {distance("common", "q_common")} AS word_distance FROM compared),
+bounded AS (
+  SELECT *, coalesce(char_distance, 0) / (0.15::DOUBLE + 0.6::DOUBLE / sqrt(greatest(n_words, 1))) AS over_chars,
+         coalesce(word_distance, 0) / (0.22::DOUBLE + 0.9::DOUBLE / sqrt(greatest(n_words, 1))) AS over_common
+  FROM judged)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND (n_words < 100 OR coalesce(char_distance, 0) <= 0.28 AND coalesce(word_distance, 0) <= 0.4) AS kept, round(char_distance, 9) AS char_distance, round(word_distance, 9) AS word_distance
-FROM judged
+       NOT base_failed AND over_chars <= 1 AND over_common <= 1 AND over_chars + over_common <= 1.65 AS kept, round(char_distance, 9) AS char_distance, round(word_distance, 9) AS word_distance
+FROM bounded
 """
 
 
-
 OP4 = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -121,20 +132,65 @@ SELECT doc_id, source, size, source_size, target, (one + two)::BIGINT AS taken,
 FROM timed
 """
 
-OP9 = r"""
-WITH cut AS (
-  SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+def _node(url: str) -> str:
+    rest = f"substr({url}, strpos({url}, '://') + 3)"
+    host, path = f"regexp_extract({rest}, '^[^/?#]*')", f"regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1)"
+    low = f"translate({host}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"CASE WHEN contains({url}, '://') AND {host} <> '' THEN {low} || CASE WHEN {path} = '' THEN '/' ELSE {path} END || regexp_extract({url}, '^[^?#]*(\?[^#]*)', 1) END"
+
+
+def _attribute(tag: str, name: str) -> str:
+    found = rf"""regexp_extract({tag}, '(?is)\b{name}\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1)"""
+    return rf"""regexp_replace({found}, '^["'']|["'']$', '', 'g')"""
+
+
+def _absolute(base: str, link: str) -> str:
+    root, folder = f"regexp_extract({base}, '^([^?#]*?://[^/?#]*)', 1)", f"regexp_extract({base}, '^[^?#]*?://[^/?#]*([^?#]*/)', 1)"
+    return (
+        f"CASE WHEN regexp_matches({link}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {link} WHEN starts_with({link}, '//') THEN regexp_extract({base}, '^([^?#]*?:)//', 1) || {link} "
+        f"WHEN starts_with({link}, '/') THEN {root} || {link} ELSE {root} || CASE WHEN {folder} = '' THEN '/' ELSE {folder} END || {link} END")
+
+
+def _folded(url: str) -> str:
+    steps = f"list_prepend('', string_split(regexp_extract({url}, '^[^?#]*?://[^/?#]*/([^?#]*)', 1), '/'))"
+    fold = f"list_reduce({steps}, lambda acc, s: CASE WHEN s = '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN s = '.' THEN acc ELSE acc || '/' || s END)"
+    return f"regexp_extract({url}, '^([^?#]*?://[^/?#]*)', 1) || {fold} || regexp_extract({url}, '^[^?#]*([?#].*)$', 1)"
+
+
+OP9 = rf"""
+WITH RECURSIVE cut AS (
+  SELECT row_number() OVER () AS rid, page_id, coalesce(url, '') AS url, html,
+         CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 named AS (
-  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  SELECT rid, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, {_node("url")} AS node
   FROM cut),
 rules(verdict, rule_host, rule_path) AS (
   VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
 best AS (
-  SELECT n.page_id, n.host, n.path, r.rule_host || r.rule_path AS rule, r.verdict,
-         row_number() OVER (PARTITION BY n.page_id ORDER BY length(r.rule_host || r.rule_path) DESC NULLS LAST) AS place
-  FROM named n LEFT JOIN rules r ON (n.host = r.rule_host OR ends_with(n.host, '.' || r.rule_host)) AND starts_with(n.path, r.rule_path))
-SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict, false AS alias_of_blocked FROM best WHERE place = 1
+  SELECT n.*, r.rule_host || r.rule_path AS rule, r.verdict,
+         row_number() OVER (PARTITION BY n.rid ORDER BY length(r.rule_host || r.rule_path) DESC NULLS LAST, r.rule_host || r.rule_path DESC, r.verdict DESC) AS place
+  FROM named n LEFT JOIN rules r ON (n.host = r.rule_host OR ends_with(n.host, '.' || r.rule_host)) AND starts_with(n.path, r.rule_path)),
+tags AS (
+  SELECT url, regexp_extract_all(html, '(?is)<link\b[^>]*>') AS links, regexp_extract_all(html, '(?is)<meta\b[^>]*>') AS metas,
+         regexp_extract(html, '(?is)<base\b[^>]*>') AS base
+  FROM cut WHERE regexp_matches(html, '(?i)canonical|http-equiv')),
+pointed AS (
+  SELECT url, {_attribute("base", "href")} AS base, unnest(list_concat(
+    list_transform(list_filter(links, lambda t: lower({_attribute("t", "rel")}) = 'canonical'), lambda t: {_attribute("t", "href")}),
+    list_transform(list_filter(metas, lambda t: lower({_attribute("t", "http-equiv")}) = 'refresh'), lambda t: regexp_extract({_attribute("t", "content")}, '(?is)url\s*=\s*[''"]?([^''"]+)', 1)))) AS link
+  FROM tags),
+seen_from AS (SELECT url, CASE WHEN base = '' THEN url ELSE {_folded("(" + _absolute("url", "base") + ")")} END AS base, trim(replace(link, '&amp;', '&')) AS link FROM pointed),
+targets AS (SELECT url, {_absolute("base", "link")} AS target FROM seen_from),
+edges AS (SELECT {_node("url")} AS a, {_node("target")} AS b FROM (SELECT url, {_folded("target")} AS target FROM targets)),
+both_ways AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
+ends AS (SELECT DISTINCT a AS node, regexp_extract(a, '^[^/]*') AS host, regexp_extract(a, '^[^/]*(/[^?]*)', 1) AS path FROM both_ways),
+judged_ends AS (
+  SELECT e.node, r.verdict, row_number() OVER (PARTITION BY e.node ORDER BY length(r.rule_host || r.rule_path) DESC, r.rule_host || r.rule_path DESC, r.verdict DESC) AS place
+  FROM ends e JOIN rules r ON (e.host = r.rule_host OR ends_with(e.host, '.' || r.rule_host)) AND starts_with(e.path, r.rule_path)),
+reached(node) AS (SELECT node FROM judged_ends WHERE place = 1 AND verdict = 'block' UNION SELECT b FROM reached JOIN both_ways ON node = a)
+SELECT b.page_id, b.host, b.path, b.rule, coalesce(b.verdict, CASE WHEN r.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, r.node IS NOT NULL AS alias_of_blocked
+FROM best b LEFT JOIN reached r USING (node) WHERE place = 1
 """
 
 ORACLES = {"op1_license_scan": _license_sql(), "op2_quality_rules": _quality_sql(), "op4_mix_sources": OP4, "op9_url_filter": OP9}
