@@ -115,9 +115,28 @@ def _examples(docs: DataFrame, sample: DataFrame) -> DataFrame:
     return texts.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "toxic").agg(F.min("text").alias("text"))
 
 
+def packed(terms: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Terms in three bytes each; counts in one, and those of 255 and more in four more each at the end."""
+    large = counts[counts >= 255].astype("<u4").tobytes()
+    return np.ascontiguousarray(terms.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes() + large
+
+
+def unpacked_terms(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 3, 4), np.uint8)
+    wide[:, :3] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+    return wide.reshape(-1).view("<u4").astype(np.int64)
+
+
+def unpacked_counts(raw: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    if len(raw) > n:
+        counts[counts == 255] = np.frombuffer(raw, np.uint8, offset=n).view("<u4")
+    return counts
+
+
 def _vectors(docs: DataFrame, number) -> DataFrame:
-    """docs (doc_id, mark, text) with terms and counts in place of text: binary arrays of 32 bits, sorted by term; terms
-    that number (a broadcast of term to number) lacks are left out."""
+    """docs (doc_id, mark, text) with terms and counts in place of text, packed, in the order of terms; terms that number
+    (a broadcast of term to number, fewer than 2**24) lacks are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number_ = number.value
@@ -141,8 +160,9 @@ def _vectors(docs: DataFrame, number) -> DataFrame:
                         own[t] = own.get(t, 0) + n
                 ids, n = np.fromiter(own.keys(), np.int32, len(own)), np.fromiter(own.values(), np.int32, len(own))
                 order = np.argsort(ids)
-                terms.append(ids[order].tobytes())
-                counts.append(n[order].tobytes())
+                of, many = packed(ids[order], n[order])
+                terms.append(of)
+                counts.append(many)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "mark", "terms", "counts"])
 
     return docs.mapInArrow(run, "doc_id long, mark int, terms binary, counts binary")
@@ -154,7 +174,7 @@ def _frequencies(vectors: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            part = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int32))
+            part = np.bincount(unpacked_terms(b"".join(batch.column(0).to_pylist())))
             if len(part) > len(total):
                 part, total = total, part
             total[: len(part)] += part
@@ -194,6 +214,8 @@ def score(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS, threshold: fl
     known = known.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).orderBy("term").toArrow()
     number = sc.broadcast({t: i for i, t in enumerate(known.column(0).to_pylist())})
     marked = staged(_vectors(docs.select(F.col("doc_id").cast("long"), held_out().cast("int").alias("mark"), "text"), number))
+    if known.num_rows >= 1 << 24:
+        raise ValueError("the examples have too many terms: take fewer of each class")
     total, seen = marked.count(), _frequencies(marked).toArrow()
     frequency = np.zeros(known.num_rows)
     frequency[seen.column(0).to_numpy()] = seen.column(1).to_numpy()
@@ -202,8 +224,12 @@ def score(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS, threshold: fl
     of_class = {c: int((toxic == c).sum()) for c in (0, 1)}
     idf = np.log((1 + total) / (1 + frequency)) + 1
     weight = idf * relevance(known.column(1).to_numpy(), known.column(2).to_numpy(), of_class[1], of_class[0]) if len(idf) else idf
-    read = lambda x: np.frombuffer(x, np.int32)
-    vectors = [(read(t), weighted(read(n), weight[read(t)])) for t, n in zip(examples.column(2).to_pylist(), examples.column(3).to_pylist())]
+
+    def vector(terms: bytes, counts: bytes, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        t = unpacked_terms(terms)
+        return t, weighted(unpacked_counts(counts, len(t)), weight[t])
+
+    vectors = [vector(t, n, weight) for t, n in zip(examples.column(2).to_pylist(), examples.column(3).to_pylist())]
     flat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
     index = BlockMaxIndex(np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors]), flat([t for t, _ in vectors], np.int64), flat([w for _, w in vectors], float), len(vectors), len(idf))
     both = bool(of_class[0] and of_class[1])
@@ -219,8 +245,8 @@ def score(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS, threshold: fl
         for batch in batches:
             scores, evidence = [], []
             for t, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                t, n = read(t), read(n)
-                near, products = model["index"].nearest(t, weighted(n, model["weight"][t]), k) if both and len(t) else ((), ())
+                t, w = vector(t, n, model["weight"])
+                near, products = model["index"].nearest(t, w, k) if both and len(t) else ((), ())
                 scores.append(_calibrated(votes(products, model["toxic"][near], share), fit) if len(near) else share)
                 evidence.append([int(model["ids"][e]) for e in near[:5]])
             marks = batch.column(1).cast(pa.bool_())
