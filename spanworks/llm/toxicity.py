@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import discard, join_sized, staged
 
 #: Bound of what is learned: labelled examples of each class. Neighbours that vote, examples in a block of the index.
-PER_CLASS, NEIGHBOURS, BLOCK = 2000, 25, 64
+PER_CLASS, NEIGHBOURS, BLOCK = 1000, 25, 32
 #: The weight of the share of all labels beside the votes.
 PRIOR = 0.01
 
@@ -38,44 +38,60 @@ def held_out(doc_id: str = "doc_id"):
 
 
 class BlockMaxIndex:
-    """Postings of weighted examples by term, in blocks of examples. Each term has an entry for each block where it
-    occurs: the block, the largest weight in it, and where its postings start."""
+    """Postings of weighted examples by term; terms that many examples have as whole rows, with the largest weight in each
+    block of examples. Examples that weigh the same such term most share blocks."""
 
     def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, n_examples: int, n_terms: int):
         order = np.lexsort((example, term))
-        self.example, self.weight, term = example[order].astype(np.int32), weight[order], term[order]
-        block = self.example // BLOCK
-        opens = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
-        self.block, self.posting = block[opens], np.r_[opens, len(term)].astype(np.int64)
-        self.most = np.maximum.reduceat(self.weight, opens) if len(opens) else np.zeros(0)
-        self.entry = np.searchsorted(term[opens], np.arange(n_terms + 1))
-        self.n_examples, self.n_blocks = n_examples, -(-n_examples // BLOCK)
+        example, term, weight = example[order], term[order], weight[order]
+        common = np.flatnonzero(np.bincount(term, minlength=n_terms) > n_examples // 16)
+        self.row = np.full(n_terms, -1)
+        self.row[common] = np.arange(len(common))
+        often = self.row[term] >= 0
+        self.whole = np.zeros((len(common), n_examples))
+        self.whole[self.row[term[often]], example[often]] = weight[often]
+        self.example, self.weight = example[~often], weight[~often]
+        self.start = np.searchsorted(term[~often], np.arange(n_terms + 1))
+        line = np.argsort(self.whole.argmax(axis=0) if len(common) else np.zeros(n_examples), kind="stable")
+        opens = np.arange(0, n_examples, BLOCK)
+        self.most = np.maximum.reduceat(self.whole[:, line], opens, axis=1) if n_examples else np.zeros((len(common), 0))
+        self.block = np.empty(n_examples, np.int64)
+        self.block[line] = np.arange(n_examples) // BLOCK
+        self.n_examples = n_examples
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest products above 0 and the products (ties: the smaller number), exactly: blocks go
-        by what they can reach at most, some at a time, until that is below the k-th product."""
-        count = self.entry[terms + 1] - self.entry[terms]
-        entries = np.repeat(self.entry[terms] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-        of_weight, block = np.repeat(weights, count), self.block[entries]
-        bound = np.bincount(block, weights=of_weight * self.most[entries], minlength=self.n_blocks)
-        order = np.argsort(-bound, kind="stable")
-        best, scores = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 4
-        while at < self.n_blocks and bound[order[at]] > 0 and not (len(best) == k and bound[order[at]] + 1e-12 < scores[-1]):
-            chosen = np.zeros(self.n_blocks, bool)
-            chosen[order[at : at + step]] = True
-            took = np.flatnonzero(chosen[block])
-            start, size = self.posting[entries[took]], self.posting[entries[took] + 1] - self.posting[entries[took]]
-            places = np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-            product = np.bincount(self.example[places], weights=self.weight[places] * np.repeat(of_weight[took], size), minlength=self.n_examples)
-            if skip >= 0:
-                product[skip] = 0.0
-            hit = np.flatnonzero(product)
-            all_, sums = np.r_[best, hit], np.r_[scores, product[hit]]
-            first = np.lexsort((all_, -sums))[:k]
-            best, scores = all_[first], sums[first]
-            at, step = at + step, 2 * step
-        return best, scores
+        """The k examples of the largest products above 0 and the products (ties: the smaller number), exactly: the
+        examples of the largest bounds are compared in full, then those whose bound reaches the k-th product. A bound is
+        the product over the rarer terms and what the example's block can add at most over the others."""
+        if not self.n_examples:
+            return np.zeros(0, np.int64), np.zeros(0)
+        rows = self.row[terms]
+        often = rows >= 0
+        rows, whole_weights, rare, rare_weights = rows[often], weights[often], terms[~often], weights[~often]
+        count = self.start[rare + 1] - self.start[rare]
+        places = np.repeat(self.start[rare] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum()) if len(rare) else np.zeros(0, np.int64)
+        partly = np.bincount(self.example[places], weights=self.weight[places] * np.repeat(rare_weights, count), minlength=self.n_examples)
+        bound = partly + (whole_weights @ self.most[rows])[self.block]
+        if skip >= 0:
+            bound[skip] = -1.0
+        first = min(4 * k, self.n_examples)
+        some = np.argpartition(-bound, first - 1)[:first]
+        products = np.zeros(self.n_examples)
+        products[some] = partly[some] + whole_weights @ self.whole[rows[:, None], some]
+        least = np.sort(products[some])[-k] if first >= k else 0.0
+        rest = bound >= least - 1e-12
+        rest[some] = False
+        if rest.any():
+            if rest.sum() * 4 > self.n_examples:
+                products[rest] = (partly + whole_weights @ self.whole[rows])[rest]
+            else:
+                more = np.flatnonzero(rest)
+                products[more] = partly[more] + whole_weights @ self.whole[rows[:, None], more]
+        if skip >= 0:
+            products[skip] = 0.0
+        hit = np.flatnonzero(products > 0)
+        near = hit[np.lexsort((hit, -np.round(products[hit], 12)))[:k]]
+        return near, products[near]
 
 
 def weighted(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -199,10 +215,9 @@ def score(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS, threshold: fl
     Without labels of both classes every score is that share, 0 if there are none. Rows that repeat a doc_id each get a
     score; repeated labels count once, toxic if one is; of an example's texts the first counts. Empty tables give no rows.
     Other columns are not read. What goes to the driver and the workers is bounded by the examples' texts. Texts are not
-    shuffled; the vectors are written once and dealt out evenly.
+    shuffled; the vectors are written once.
     """
-    spark = docs.sparkSession
-    sc = spark.sparkContext
+    sc = docs.sparkSession.sparkContext
     share = labels.where(~held_out() & F.col("toxic").isin(0, 1)).agg(F.avg(F.col("toxic").cast("double")).alias("p")).first()["p"] or 0.0
     chosen = staged(_examples(docs, sample_labels(labels, per_class)))
 
@@ -255,8 +270,7 @@ def score(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS, threshold: fl
                 ["doc_id", "held_out", "score", "predicted", "evidence"])
 
     discard(chosen)
-    dealt = marked.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions()))
-    return dealt.mapInArrow(judge, "doc_id long, held_out boolean, score double, predicted int, evidence array<long>")
+    return marked.mapInArrow(judge, "doc_id long, held_out boolean, score double, predicted int, evidence array<long>")
 
 
 def _logit(p):
