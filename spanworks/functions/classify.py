@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -28,11 +27,14 @@ CANONICAL_ROLES = ["canonical_api_doc", "readme_doc", "quickstart_doc", "tutoria
 
 # Paths that are never indexed.
 SENSITIVE = [
-    r"(^|/)\.env($|[._-])", r"(^|/)\.envrc$", r"(^|/)\.aws(/|$)", r"(^|/)\.gnupg(/|$)", r"(^|/)\.kube/config$", r"(^|/)\.ssh(/|$)", r"(^|/)\.npmrc$", r"(^|/)\.pypirc$",
-    r"(^|/)\.netrc$", r"(^|/)\.git-credentials$", r"(^|/)\.htpasswd$", r"(^|/)htpasswd$", r"(^|/)id_(rsa|dsa|ecdsa|ed25519)($|\.)", r"\.(pem|key|p12|pfx)$",
-    r"(^|/)secrets?\.(json|ya?ml|toml|ini)$", r"(^|/)credentials($|[._-])",
+    r"(^|/)\.env(?:$|[._-])", r"(^|/)\.envrc$", r"(^|/)\.aws(?:/|$)", r"(^|/)\.gnupg(?:/|$)", r"(^|/)\.kube/config$", r"(^|/)\.ssh(?:/|$)", r"(^|/)\.npmrc$", r"(^|/)\.pypirc$",
+    r"(^|/)\.netrc$", r"(^|/)\.git-credentials$", r"(^|/)\.htpasswd$", r"(^|/)htpasswd$", r"(^|/)id_(?:rsa|dsa|ecdsa|ed25519)(?:$|\.)", r"\.(?:pem|key|p12|pfx)$",
+    r"(^|/)secrets?\.(?:json|ya?ml|toml|ini)$", r"(^|/)credentials(?:$|[._-])",
 ]
 
+# Words in a segment of a path that tell its layer.
+BACKUP_WORD, ARCHIVE_WORD, REPAIR_WORD = [r"(?:^|[-_.])%s(?:[-_.]|$)" % w for w in ("backup", "(?:archive|archives|archived|deprecated)", "(?:repair|repairs|repair[-_]worktree|fixback)")]
+
 # What is redacted, in order.
 REDACTIONS = [
     ("api_key", r"""(?i)["']?api[_-]?key["']?\s*[:=]\s*["']?([A-Za-z0-9_\-]{16,})["']?"""),
@@ -72,23 +74,38 @@ def language(path: Column) -> Column:
     return F.when(basename(path).isin("README", "CHANGELOG"), "markdown").otherwise(F.coalesce(F.try_element_at(known, extension(path)), F.lit("unknown")))
 
 
+def first_rule(rules: list[tuple[str, Column]], otherwise: str) -> Column:
+    """The name of the first rule that holds."""
+    out = F
+    for name, holds in rules:
+        out = out.when(holds, name)
+    return out.otherwise(otherwise)
+
+
 def layer(path: Column, state_dir: str = ".spanindex") -> Column:
     """One of nine layers, the first that fits; `business` else."""
-    p = F.lower(normal_path(path))
-    parts = segments(path)
+    p, parts = F.lower(normal_path(path)), segments(path)
     folders = F.when(F.element_at(parts, -1).contains("."), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    named = lambda of, words: F.exists(of, lambda s: s.rlike(rf"(^|[-_.])({words})([-_.]|$)"))
-    return (
-        F.when((p == state_dir) | p.startswith(state_dir + "/"), "derived_state")
-        .when(has_segment(path, TOOLING), "tooling_agent")
-        .when(has_segment(path, ["vendor"]) | p.contains("/resources/code/") | p.startswith("resources/code/"), "vendor")
-        .when(has_segment(path, GENERATED) | p.rlike(r"\.(pyc|pyo|min\.js|map)$"), "generated")
-        .when(has_segment(path, ARTIFACTS), "artifact")
-        .when(has_segment(path, BACKUPS) | named(parts, "backup"), "backup")
-        .when(has_segment(path, ARCHIVES) | named(folders, "archives?|archived|deprecated"), "archive")
-        .when(has_segment(path, REPAIRS) | named(folders, "repairs?|repair[-_]worktree|fixback"), "repair_worktree")
-        .otherwise("business")
-    )
+    return first_rule([
+        ("derived_state", (p == state_dir) | p.startswith(state_dir + "/")),
+        ("tooling_agent", has_segment(path, TOOLING)),
+        ("vendor", has_segment(path, ["vendor"]) | p.rlike(r"(^|/)resources/code/")),
+        ("generated", has_segment(path, GENERATED) | p.rlike(r"\.(?:pyc|pyo|min\.js|map)$")),
+        ("artifact", has_segment(path, ARTIFACTS)),
+        ("backup", has_segment(path, BACKUPS) | F.exists(parts, lambda s: s.rlike(BACKUP_WORD))),
+        ("archive", has_segment(path, ARCHIVES) | F.exists(folders, lambda s: s.rlike(ARCHIVE_WORD))),
+        ("repair_worktree", has_segment(path, REPAIRS) | F.exists(folders, lambda s: s.rlike(REPAIR_WORD))),
+    ], "business")
+
+
+# Roles in the order in which they are tried, by (kind of test, what it is tested for).
+ROLE_RULES = [
+    ("generated_file", "generated", None), ("readme_doc", "name", ["README.md"]), ("changelog_doc", "name", ["CHANGELOG.md"]), ("canonical_api_doc", "under", ["docs/api/", "docs/reference/"]),
+    ("tutorial_doc", "like", r"^docs/tutorial[^/]*/"), ("vendor_file", "like", r"(^|/)resources/code/|^vendor/"), ("example_doc", "under", ["examples/"]), ("paper_doc", "under", ["paper/"]),
+    ("fixture_file", "under", ["fixtures/"]), ("test_file", "test code", None), ("source_file", "like", r"^(src|lib)/|^packages/[^/]+/src/"), ("source_file", "code", None),
+    ("experiment_note_doc", "like", r"^(notes|experiments)/|/experiments/|/\.ds/"), ("design_doc", "under", ["design/", "docs/design/"]), ("test_file", "under", ["test/", "tests/", "__tests__/"]),
+    ("schema_file", "like", r"\.schema\.json$"), ("package_metadata", "name", ["package.json", "pyproject.toml"]), ("feature_plan", "under", ["features/"]), ("config_file", "ending", CONFIG), ("design_doc", "ending", DOCS),
+]
 
 
 def role(path: Column) -> Column:
@@ -96,32 +113,13 @@ def role(path: Column) -> Column:
     p = normal_path(path)
     name, ext = basename(p), extension(p)
     code = F.lower(ext).isin(CODE)
-    under = lambda *roots: reduce(lambda a, b: a | b, [p.startswith(r) for r in roots])
     in_tests = F.arrays_overlap(F.split(p, "/"), F.array(F.lit("test"), F.lit("tests"), F.lit("__tests__")))
-    test_code = code & (in_tests | name.rlike(r"(?i)^test[_-]") | name.rlike(r"(?i)[._-](test|spec)\.[^.]+$"))
-    return (
-        F.when((layer(path) == "generated") | under("dist/", "build/", "coverage/", "__pycache__/"), "generated_file")
-        .when(name == "README.md", "readme_doc")
-        .when(name == "CHANGELOG.md", "changelog_doc")
-        .when(under("docs/api/", "docs/reference/"), "canonical_api_doc")
-        .when(p.rlike(r"^docs/tutorial[^/]*/"), "tutorial_doc")
-        .when(p.contains("/resources/code/") | under("resources/code/", "vendor/"), "vendor_file")
-        .when(under("examples/"), "example_doc")
-        .when(under("paper/"), "paper_doc")
-        .when(under("fixtures/"), "fixture_file")
-        .when(test_code, "test_file")
-        .when(under("src/", "lib/") | p.rlike(r"^packages/[^/]+/src/"), "source_file")
-        .when(code & ~p.contains("/.ds/"), "source_file")
-        .when(under("notes/", "experiments/") | p.contains("/experiments/") | p.contains("/.ds/"), "experiment_note_doc")
-        .when(under("design/", "docs/design/"), "design_doc")
-        .when(under("test/", "tests/", "__tests__/"), "test_file")
-        .when(p.endswith(".schema.json"), "schema_file")
-        .when(name.isin("package.json", "pyproject.toml"), "package_metadata")
-        .when(under("features/"), "feature_plan")
-        .when(ext.isin(CONFIG), "config_file")
-        .when(ext.isin(DOCS), "design_doc")
-        .otherwise("unknown")
-    )
+    tests = {
+        "generated": lambda _: (layer(path) == "generated") | p.rlike(r"^(dist|build|coverage|__pycache__)/"),
+        "name": lambda names: name.isin(names), "under": lambda roots: p.rlike("^(" + "|".join(re.escape(r) for r in roots) + ")"), "like": lambda pattern: p.rlike(pattern),
+        "test code": lambda _: code & (in_tests | name.rlike(r"(?i)^test[_-]") | name.rlike(r"(?i)[._-](test|spec)\.[^.]+$")),
+        "code": lambda _: code & ~p.contains("/.ds/"), "ending": lambda ends: ext.isin(ends)}
+    return first_rule([(to, tests[kind](value)) for to, kind, value in ROLE_RULES], "unknown")
 
 
 def sensitive(path: Column) -> Column:

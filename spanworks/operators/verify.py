@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def old_term_sweep(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """Rows (with a text `line`) beside each of a short list of terms that they contain; case matters. The list is small
-    by definition (a change's old terms), so it is broadcast; Spark plans a nested loop over it, a row at a time."""
-    return rows.join(F.broadcast(terms), F.col("line").contains(F.col("term")))
+def old_term_sweep(rows: DataFrame, terms: list[str]) -> DataFrame:
+    """Rows (with a text `line`) beside each of a change's old terms that they contain; case matters. One pass, no join."""
+    known = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
+    return rows.select("*", F.explode(F.filter(known, lambda t: F.col("line").contains(t))).alias("term"))
 
 
 def missing_targets(links: DataFrame, target: str, paths: DataFrame, path: str) -> DataFrame:

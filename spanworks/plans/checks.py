@@ -16,9 +16,8 @@ _TERM_LIST = ", ".join(f"'{t}'" for t in _TERMS)
 
 @query(f"WITH {FILES}, {LINES}, t AS (SELECT unnest([{_TERM_LIST}]) AS term) SELECT path, line_no, term FROM lines JOIN t ON contains(line, term)")
 def old_term_sweep(spark, sf_dir):
-    terms = spark.createDataFrame([(t,) for t in _TERMS], "term string")
     rows = tables.lines(tables.files(spark, sf_dir).select("path", "text"))
-    return verify.old_term_sweep(rows, terms).select("path", "line_no", "term")
+    return verify.old_term_sweep(rows, _TERMS).select("path", "line_no", "term")
 
 
 @query(f"WITH {FILES} SELECT path, CASE WHEN source = 'src0' THEN 'fail' ELSE 'needs_attention' END AS severity FROM files WHERE contains(text, 'License')")
@@ -158,11 +157,11 @@ def dice_similarity_pairs(spark, sf_dir):
     return both.select("left_id", "right_id", F.round(classify.dice(F.col("text"), F.col("other")), 6).alias("dice"))
 
 
-@query(f"""WITH {FILES}, {LINES}, l AS (SELECT doc_id, line_no, sha1(rtrim(line, ' ')) AS h FROM lines WHERE length(line) >= 40), f AS (SELECT h, min(doc_id) AS first_doc, count(*)::BIGINT AS n FROM l GROUP BY h)
+@query(f"""WITH {FILES}, {LINES}, l AS (SELECT doc_id, line_no, sha1(rtrim(line, ' ')) AS h FROM lines), f AS (SELECT h, min(doc_id) AS first_doc, count(*)::BIGINT AS n FROM l GROUP BY h)
 SELECT doc_id, line_no, first_doc FROM l JOIN f USING (h) WHERE n > 1 AND doc_id <> first_doc""")
 def line_fingerprint_match(spark, sf_dir):
-    """Lines of at least 40 characters beside the first document that has the same."""
-    rows = tables.lines(tables.files(spark, sf_dir).select("doc_id", "text")).where(F.char_length("line") >= 40).select("doc_id", "line_no", F.sha1(F.rtrim("line")).alias("h"))
+    """Lines beside the first document that has the same."""
+    rows = tables.lines(tables.files(spark, sf_dir).select("doc_id", "text")).select("doc_id", "line_no", F.sha1(F.rtrim("line")).alias("h"))
     first = rows.groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1")
     return rows.join(first, "h").where("doc_id <> first_doc").select("doc_id", "line_no", "first_doc")
 

@@ -7,16 +7,16 @@ from pyspark.sql import Window, functions as F
 from ..functions import scoring
 from ..operators import spans
 from ..sources import tables
-from .normalize import normalize, normalize_batch
+from .normalize import FIELDS, normalize, normalize_batch
 from .registry import FILES, query
 
 #: The request of the registered queries.
-REQUEST = "change onesen to erblest in inenan eranenes"
+REQUEST = "change onesen to erblest across inenan eranenes"
 TERMS = normalize(REQUEST)["exact"]
 _LIST = ", ".join(f"'{t}'" for t in TERMS)
 _SECRET = r"(?i)(api[_-]?key|token|secret|password)\s*[:=]"
 
-_HITS = f"len(list_filter([{_LIST}], lambda t: contains(lower(left(text, 8192)), t)))::INT"
+_HITS = f"len(list_filter([{_LIST}], lambda t: contains(lower(text), t)))::INT"
 _SCORED = f"""{FILES}, flags AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
 hit AS (SELECT f.*, {_HITS} AS hits FROM files f), scored AS (
   SELECT h.path, h.source, h.lang, h.doc_id, h.hits, 'doc:' || sha1(h.path || h.text) AS span_id,
@@ -31,7 +31,7 @@ def scored(spark, sf_dir, terms: list[str] | None = None):
     """(path, source, lang, doc_id, hits, span_id, score) of the documents that contain a term."""
     docs = tables.files(spark, sf_dir)
     flags = tables.table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    found = docs.withColumn("hits", scoring.hits(terms or TERMS, F.substring("text", 1, tables.INDEXED))).where("hits > 0").join(flags, "doc_id", "left")
+    found = docs.withColumn("hits", scoring.hits(terms or TERMS, F.col("text"))).where("hits > 0").join(flags, "doc_id", "left")
     flag = lambda c, n: F.when(c, n).otherwise(0)
     fusion = scoring.route_fusion(F.array(F.lit("fts_lexical")))
     score = (
@@ -66,9 +66,12 @@ def diversify_by_path(spark, sf_dir):
 @query(f"""WITH {_SCORED}, best AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, path) AS n FROM scored)
 SELECT lang, string_agg(path, ',' ORDER BY n) FILTER (n <= 5) AS paths, greatest(count(*) - 5, 0)::BIGINT AS omitted FROM best GROUP BY lang""")
 def coverage_plan_caps(spark, sf_dir):
-    ranked = scored(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), "path")))
-    shown = F.transform(F.array_sort(F.collect_list(F.when(F.col("n") <= 5, F.struct("n", "path")))), lambda x: x["path"])
-    return ranked.groupBy("lang").agg(F.array_join(shown, ",").alias("paths"), F.greatest(F.count("*") - 5, F.lit(0)).alias("omitted"))
+    """Five targets of each language and how many more there are; ranks go no further than the fifth."""
+    rows = scored(spark, sf_dir)
+    best = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), "path"))).where("n <= 5")
+    shown = best.groupBy("lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "path"))), lambda x: x["path"]), ",").alias("paths"))
+    counts = rows.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("total"))
+    return counts.join(shown, F.col("of").eqNullSafe(F.col("lang"))).select(F.col("of").alias("lang"), "paths", F.greatest(F.col("total") - 5, F.lit(0)).alias("omitted"))
 
 
 def budgeted(ranked, budget: int):
@@ -174,10 +177,13 @@ def decision_histogram(spark, sf_dir):
 @query()
 def normalized_requests(spark, sf_dir):
     """The terms of each benchmark passage taken as a request."""
-    return tables.table(spark, sf_dir, "benchmark").select("item_id", normalize_batch(F.col("text")).alias("t")).select("item_id", *[F.array_join(f"t.{f}", ",").alias(f) for f in ("exact", "config", "path", "symbol", "old", "new")])
+    return tables.table(spark, sf_dir, "benchmark").select("item_id", normalize_batch(F.col("text")).alias("t")).select("item_id", *[F.array_join(f"t.{f}", ",").alias(f) for f in FIELDS])
 
 
-@query("SELECT a.doc_id AS doc_id, b.item_id AS item_id, true AS found FROM documents a JOIN benchmark b ON a.text = b.text")
+@query("""WITH f AS (SELECT text, min(doc_id) AS found_at, count(*) AS n FROM documents GROUP BY text)
+SELECT d.doc_id, f.found_at, f.n > 2 AS ambiguous FROM documents d JOIN f ON d.text = f.text WHERE d.doc_id <> f.found_at""")
 def exact_text_relocation(spark, sf_dir):
-    docs, items = tables.table(spark, sf_dir, "documents").select("doc_id", "text"), tables.table(spark, sf_dir, "benchmark")
-    return docs.join(items, "text").select("doc_id", "item_id", F.lit(True).alias("found"))
+    """Where the exact text of a document is found: at the first document that has it; ambiguous if there are more."""
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+    first = docs.where("hash is not null").groupBy("hash").agg(F.min("doc_id").alias("found_at"), (F.count("*") > 2).alias("ambiguous"))
+    return docs.join(first, "hash").where("doc_id <> found_at").select("doc_id", "found_at", "ambiguous")

@@ -1,4 +1,4 @@
 """Named queries over the reference's operators, with their oracle SQL."""
 
-from .plans import checks, graphs, inventory, retrieval  # noqa: F401
+from .plans import checks, graphs, inventory, ranking, retrieval, surface  # noqa: F401
 from .plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -4,10 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Longest text that is indexed, in characters.
-INDEXED = 8192
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -40,18 +36,18 @@ def page_links(spark: SparkSession, folder: str) -> DataFrame:
     return pages.select("page_id", "url", F.posexplode(found).alias("_at", "href")).select("page_id", "url", (F.col("_at") + 1).cast("long").alias("ordinal"), "href")
 
 
-def edges(spark: SparkSession, folder: str) -> DataFrame:
-    """(source_id, target_id, relation, confidence) between the relational tables."""
+def edges(spark: SparkSession, folder: str, once: bool = True) -> DataFrame:
+    """(source_id, target_id, relation, confidence) between the relational tables; without `once`, edges may repeat."""
     of = lambda name: table(spark, folder, name)
     key = lambda kind, column: F.concat(F.lit(kind + ":"), F.col(column).cast("string"))
     rows = lambda df, a, b, relation, confidence: df.select(a.alias("source_id"), b.alias("target_id"), F.lit(relation).alias("relation"), F.lit(confidence).alias("confidence"))
     line = of("lineitem")
-    return (
+    found = (
         rows(of("nation"), key("region", "n_regionkey"), key("nation", "n_nationkey"), "contains", 1.0)
         .union(rows(of("customer"), key("nation", "c_nationkey"), key("customer", "c_custkey"), "contains", 0.95))
         .union(rows(of("supplier"), key("nation", "s_nationkey"), key("supplier", "s_suppkey"), "contains", 0.95))
         .union(rows(of("orders"), key("customer", "o_custkey"), key("order", "o_orderkey"), "calls", 0.9))
         .union(rows(line, key("order", "l_orderkey"), key("part", "l_partkey"), "mentions", 0.75))
         .union(rows(line, key("part", "l_partkey"), key("supplier", "l_suppkey"), "tests", 0.5))
-        .distinct()
     )
+    return found.distinct() if once else found

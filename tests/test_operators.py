@@ -87,7 +87,7 @@ def test_graph(spark):
 
 def test_checks(spark):
     rows = spark.createDataFrame([("p", "timeout here"), ("q", "Timeout")], "path string, line string")
-    assert [r.path for r in verify.old_term_sweep(rows, spark.createDataFrame([("timeout",)], "term string")).collect()] == ["p"]
+    assert [r.path for r in verify.old_term_sweep(rows, ["timeout"]).collect()] == ["p"]
     assert [one(spark, verify.status(F.lit(h), F.lit(s))) for h, s in ((1, 0), (0, 1), (0, 0))] == ["fail", "needs_attention", "pass"]
     severity = lambda policy: [one(spark, verify.doc_severity(F.lit(c), policy)) for c in (True, False)]
     assert severity("strict_global") == ["fail", "fail"] and severity("changed_paths") == ["fail", None] and severity("changed_paths_plus_advisory_docs") == ["fail", "needs_attention"]
