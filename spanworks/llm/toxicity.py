@@ -14,6 +14,8 @@ from .common import discard, join_sized, staged
 
 #: Bound of what is learned: labelled examples of each class. Neighbours that vote, examples in a block of the index.
 PER_CLASS, NEIGHBOURS, BLOCK = 1000, 25, 32
+#: Texts that are compared together.
+TOGETHER = 64
 #: The weight of the share of all labels beside the votes.
 PRIOR = 0.01
 
@@ -58,6 +60,45 @@ class BlockMaxIndex:
         self.block = np.empty(n_examples, np.int64)
         self.block[line] = np.arange(n_examples) // BLOCK
         self.n_examples = n_examples
+        self.line, self.ends = line, np.minimum(opens + BLOCK, n_examples)
+        self.sorted = np.ascontiguousarray(self.whole[:, line])  # the same, block by block
+
+    def nearest_many(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """`nearest` of some texts together: two blocks of the largest bounds give each text a k-th product, and blocks
+        that reach that of any text are multiplied with all of them."""
+        if not self.n_examples or not texts:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(texts)
+        n, starts = len(texts), np.arange(0, self.n_examples, BLOCK)
+        whole, partly, least = np.zeros((n, len(self.sorted))), np.zeros((n, self.n_examples)), np.full(n, -np.inf)
+        for i, (terms, weights) in enumerate(texts):
+            rows = self.row[terms]
+            often = rows >= 0
+            whole[i, rows[often]] = weights[often]
+            rare, count = terms[~often], self.start[terms[~often] + 1] - self.start[terms[~often]]
+            if count.sum():
+                places = np.repeat(self.start[rare] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+                partly[i] = np.bincount(self.example[places], weights=self.weight[places] * np.repeat(weights[~often], count), minlength=self.n_examples)
+        partly = partly[:, self.line]
+        bound = np.maximum.reduceat(partly, starts, axis=1) + whole @ self.most
+        for i, (terms, _) in enumerate(texts):
+            best = np.argsort(-bound[i], kind="stable")[: 1 + -(-k // BLOCK)]
+            columns = np.concatenate([np.arange(starts[b], self.ends[b]) for b in best])
+            rows = self.row[terms][self.row[terms] >= 0]
+            products = partly[i, columns] + whole[i, rows] @ self.sorted[rows[:, None], columns]
+            if len(products) >= k:
+                least[i] = np.partition(products, -k)[-k]
+        blocks = np.flatnonzero((bound >= least[:, None] - 1e-12).any(axis=0))
+        columns = np.concatenate([np.arange(starts[b], self.ends[b]) for b in blocks])
+        all_ = len(columns) == self.n_examples
+        products = partly[:, columns] + whole @ (self.sorted if all_ else self.sorted[:, columns])
+        names, out = self.line[columns], []
+        for row in products:
+            rounded = np.round(row, 12)
+            floor = np.partition(rounded, -k)[-k] if len(row) >= k else -np.inf
+            hit = np.flatnonzero((row > 0) & (rounded >= floor))
+            hit = hit[np.lexsort((names[hit], -rounded[hit]))[:k]]
+            out.append((names[hit], row[hit]))
+        return out
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest products above 0 and the products (ties: the smaller number), exactly: the
@@ -259,11 +300,12 @@ def score(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS, threshold: fl
         model = sent.value
         for batch in batches:
             scores, evidence = [], []
-            for t, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                t, w = vector(t, n, model["weight"])
-                near, products = model["index"].nearest(t, w, k) if both and len(t) else ((), ())
-                scores.append(_calibrated(votes(products, model["toxic"][near], share), fit) if len(near) else share)
-                evidence.append([int(model["ids"][e]) for e in near[:5]])
+            pairs = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
+            for at in range(0, len(pairs), TOGETHER):
+                texts = [vector(t, n, model["weight"]) for t, n in pairs[at : at + TOGETHER]]
+                for near, products in model["index"].nearest_many(texts, k) if both else [((), ())] * len(texts):
+                    scores.append(_calibrated(votes(products, model["toxic"][near], share), fit) if len(near) else share)
+                    evidence.append([int(model["ids"][e]) for e in near[:5]])
             marks = batch.column(1).cast(pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), marks, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(evidence, pa.list_(pa.int64()))],
