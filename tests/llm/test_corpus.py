@@ -435,6 +435,10 @@ def test_block_max_index_is_exact():
         scores[q] = 0
         want = np.lexsort((np.arange(500), -np.round(scores, 12)))[:10]
         assert near.tolist() == want.tolist() and np.allclose(products, scores[want])
+    asked = [(np.flatnonzero(dense[q]), dense[q][np.flatnonzero(dense[q])]) for q in range(0, 500, 25)] + [(np.zeros(0, np.int64), np.zeros(0))]
+    for (near, products), (terms, weights) in zip(index.nearest_many(asked, 10), asked):
+        alone, same = index.nearest(terms, weights, 10) if len(terms) else (np.zeros(0), np.zeros(0))
+        assert near.tolist() == alone.tolist() and np.allclose(products, same)
 
 
 def test_toxicity_odd(spark, odd, empty):
