@@ -11,6 +11,8 @@ WEIGHTS, SHARE, MOST_COPIES = (5.0, 2.0, 1.0), 1.5, 2
 SLOPES = (-0.5, 0.0, 0.5)
 #: Hex digits of the order key that make a range: sources are dealt into 16 ** 4 ranges, so that no task holds a whole one.
 RANGE_DIGITS = 4
+#: Of these, the digits that make a block of ranges: sums are taken of blocks, then of the ranges in each.
+BLOCK_DIGITS = 2
 
 
 def sizes(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -50,8 +52,12 @@ def time_of(share: Column, slope: Column) -> Column:
 def _placed(rows: DataFrame, sized: DataFrame, goal: DataFrame) -> DataFrame:
     """rows (as sizes() makes them) with __sw_goal (source_size, target, slope), __sw_first and __sw_second (words taken in
     the first and second pass) and their positions in training, null if none."""
-    sums = sized.groupBy("source", "__sw_range").agg(F.sum("__sw_size").alias("n"))
-    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("__sw_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sized.groupBy("source", "__sw_range").agg(F.sum("__sw_size").alias("n")).withColumn("block", F.substring("__sw_range", 1, BLOCK_DIGITS))
+    blocks = sums.groupBy(F.col("source").alias("_of"), F.col("block").alias("_in")).agg(F.sum("n").alias("m"))
+    before = lambda n, *by: F.coalesce(F.sum(n).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("_of", "_in", before("m", "_of", "_in").alias("base"))
+    sums = sums.join(blocks, F.col("source").eqNullSafe(F.col("_of")) & (F.col("block") == F.col("_in")))
+    ahead = F.col("base") + before("n", "source", "block", "__sw_range")
     offsets = sums.select(F.col("source").alias("__sw_of"), F.col("__sw_range").alias("__sw_at"), ahead.alias("__sw_ahead"))
     placed = rows.join(offsets, F.col("source").eqNullSafe(F.col("__sw_of")) & (F.col("__sw_range") == F.col("__sw_at"))).drop("__sw_of", "__sw_at")
     line = Window.partitionBy("source", "__sw_range").orderBy("__sw_order", "__sw_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
