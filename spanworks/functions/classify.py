@@ -160,9 +160,13 @@ def compact(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
 
 
+def words(text: Column) -> Column:
+    """The set of words of ASCII letters, digits and underscores, in lower case."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^a-z0-9_]+"), lambda w: w != ""))
+
+
 def dice(a: Column, b: Column) -> Column:
     """Dice similarity of the sets of words; 0 if both are empty."""
-    words = lambda x: F.array_distinct(F.filter(F.split(F.lower(x), r"[^a-z0-9_]+"), lambda w: w != ""))
     x, y = words(a), words(b)
     return F.coalesce(2.0 * F.size(F.array_intersect(x, y)) / F.nullif(F.size(x) + F.size(y), F.lit(0)), F.lit(0.0))
 

@@ -59,3 +59,16 @@ def greedy_budget(targets: Column, budget: Column) -> Column:
     start = F.struct(F.lit(0).cast("long").alias("used"), empty.alias("kept"))
     step = lambda acc, t: F.when((F.size(acc["kept"]) == 0) | (acc["used"] + t["cost"] <= budget), F.struct((acc["used"] + t["cost"]).alias("used"), F.concat(acc["kept"], F.array(t)).alias("kept"))).otherwise(acc)
     return F.aggregate(targets, start, step, lambda acc: acc["kept"])
+
+
+def segments(start: Column, end: Column, most: int) -> Column:
+    """An array of (start_line, end_line): the lines from `start` to `end` by `most`; empty if there are none."""
+    first = F.when(start <= end, F.sequence(start.cast("long"), end.cast("long"), F.lit(most).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    return F.transform(first, lambda s: F.struct(s.alias("start_line"), F.least(end, s + most - 1).cast("long").alias("end_line")))
+
+
+def nearest_segment(segments: Column, focus: Column) -> Column:
+    """The segment whose middle is nearest to the line `focus`, of equally near ones the first; null if there are none."""
+    ranked = F.transform(segments, lambda s: F.struct(F.abs((s.start_line + s.end_line) / 2 - focus).alias("far"), s.start_line.alias("start_line"), s.end_line.alias("end_line")))
+    best = F.array_min(ranked)
+    return F.struct(best.start_line.alias("start_line"), best.end_line.alias("end_line"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import classify
-from ..operators import links, state, verify
+from ..operators import links, relocate, state, verify
 from ..sources import tables
 from ..streaming import lifecycle
 from .registry import FILES, LINES, query
@@ -166,15 +166,32 @@ def line_fingerprint_match(spark, sf_dir):
     return rows.join(first, "h").where("doc_id <> first_doc").select("doc_id", "line_no", "first_doc")
 
 
-@query("""WITH d AS (SELECT doc_id, source, lang, text, sha1(text) AS h, sha1(regexp_extract(text, '^[^\n]*')) AS first_line, row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id) AS n FROM documents),
-by_text AS (SELECT h, min(doc_id) AS found, count(*) AS c FROM d GROUP BY h), by_line AS (SELECT first_line, min(doc_id) AS found, count(*) AS c FROM d GROUP BY first_line)
-SELECT doc_id, CASE WHEN t.c > 1 THEN 'text_hash' WHEN l.c = 2 THEN 'anchor' WHEN l.c > 2 THEN 'ambiguous' ELSE 'not_found' END AS step FROM d JOIN by_text t USING (h) JOIN by_line l USING (first_line)""")
+@query("""WITH t AS (SELECT conv_id, turn, (conv_id + turn) % 6 AS r, role, coalesce(text, '') AS text FROM conversations WHERE turn IS NOT NULL),
+both_ AS (SELECT *, conv_id || ':' || turn AS id, string_split_regex(lower(text), '[^a-z0-9_]+') AS w0, CASE r WHEN 0 THEN text WHEN 4 THEN left(text, (length(text) * 3) // 5) ELSE text || ' edited' END AS text1 FROM t),
+old AS (SELECT conv_id AS path, id, role AS kind, turn // 4 AS heading, turn AS ordinal, turn AS anchor, sha1(text) AS h, list_distinct(list_filter(w0, lambda x: x <> '')) AS w FROM both_),
+new AS (SELECT conv_id AS path, id, role AS kind, CASE WHEN r = 4 THEN -1 ELSE turn // 4 END AS heading, turn // 4 AS nearby, CASE WHEN r >= 3 THEN turn + 100 ELSE turn END AS ordinal,
+  CASE WHEN r <= 1 THEN turn END AS anchor, sha1(text1) AS h, list_distinct(list_filter(string_split_regex(lower(text1), '[^a-z0-9_]+'), lambda x: x <> '')) AS w FROM both_ WHERE r < 5),
+p AS (SELECT o.id, n.id AS found, o.h = n.h AS s1, coalesce(o.anchor = n.anchor AND o.kind = n.kind, false) AS s2, o.heading = n.heading AND o.ordinal = n.ordinal AND o.kind = n.kind AS s3,
+  o.heading = n.heading AND o.kind = n.kind AS same, o.heading = n.nearby AND o.kind = n.kind AS near_, coalesce(2.0::DOUBLE * len(list_intersect(o.w, n.w)) / nullif(len(o.w) + len(n.w), 0), 0) AS dice FROM old o JOIN new n USING (path)),
+b AS (SELECT *, max(CASE WHEN near_ AND dice >= 0.5 THEN dice END) OVER (PARTITION BY id) AS top FROM p),
+f AS (SELECT id, unnest([{'k': 1, 'hit': s1}, {'k': 2, 'hit': s2}, {'k': 3, 'hit': s3}, {'k': 4, 'hit': same AND dice >= 0.72}, {'k': 5, 'hit': near_ AND coalesce(dice = top, false)}]) AS x, found FROM b),
+c AS (SELECT id, x.k AS k, count(*) AS n, min(found) AS found FROM f WHERE x.hit GROUP BY ALL), g AS (SELECT id, arg_min({'k': k, 'n': n, 'found': found}, k) AS y FROM c GROUP BY id)
+SELECT o.id AS span_id, ['text_hash', 'anchor_kind', 'heading_block_kind', 'heading_fuzzy_text', 'nearest_heading_similarity'][y.k] AS step,
+  CASE WHEN y IS NULL THEN 'not_found' WHEN y.n = 1 THEN 'relocated' ELSE 'ambiguous' END AS outcome, CASE WHEN y.n = 1 THEN y.found END AS found_id FROM old o LEFT JOIN g ON g.id = o.id""")
 def relocate_cascade(spark, sf_dir):
-    """How a document would be found again: by its text, else by its first line if that tells it, else not at all."""
-    docs = tables.table(spark, sf_dir, "documents").select("doc_id", F.sha1(F.col("text")).alias("h"), F.sha1(F.regexp_extract("text", "^[^\n]*", 0)).alias("line"))
-    n = lambda c: docs.groupBy(c).agg(F.count("*").alias(f"n_{c}"))
-    step = F.when(F.col("n_h") > 1, "text_hash").when(F.col("n_line") == 2, "anchor").when(F.col("n_line") > 2, "ambiguous").otherwise("not_found")
-    return docs.join(n("h"), "h").join(n("line"), "line").select("doc_id", step.alias("step"))
+    """Turns as spans of their conversation, and where each is found in a later snapshot: by (conv_id + turn) % 6 a turn stays,
+    is edited, loses its anchor too, its place, its heading, or goes."""
+    turns = tables.table(spark, sf_dir, "conversations").where("turn is not null").withColumn("text", F.coalesce("text", F.lit("")))
+    of, r = F.floor(F.col("turn") / 4), (F.col("conv_id") + F.col("turn")) % 6
+    old = turns.select(
+        F.concat_ws(":", "conv_id", "turn").alias("span_id"), F.col("conv_id").alias("path"), F.col("role").alias("kind"), of.alias("heading"), of.alias("nearby"),
+        F.col("turn").alias("ordinal"), F.col("turn").alias("anchor"), "text", r.alias("r"))
+    cut = F.substring("text", F.lit(1), F.floor(F.char_length("text") * 3 / 5).cast("int"))
+    new = old.where("r < 5").withColumns({
+        "heading": F.when(F.col("r") == 4, -1).otherwise(F.col("heading")), "ordinal": F.when(F.col("r") >= 3, F.col("ordinal") + 100).otherwise(F.col("ordinal")),
+        "anchor": F.when(F.col("r") <= 1, F.col("anchor")), "text": F.when(F.col("r") == 0, F.col("text")).when(F.col("r") == 4, cut).otherwise(F.concat("text", F.lit(" edited")))})
+    hashed = lambda rows: rows.withColumn("text_hash", F.sha1("text"))
+    return relocate.relocated(hashed(old), hashed(new))
 
 
 @query("SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS used FROM conversations) WHERE used <= 600")

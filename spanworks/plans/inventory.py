@@ -186,6 +186,28 @@ def bounded_read_range(spark, sf_dir):
     return docs.select("doc_id", F.greatest(F.lit(1), half - 20).cast("long").alias("start_line"), F.least("lines", half + 20).cast("long").alias("end_line"), F.ceil(F.col("lines") / 40).cast("long").alias("segments"))
 
 
+_SEGMENTS = """WITH n AS (SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS lines FROM documents WHERE text IS NOT NULL),
+segments AS (SELECT doc_id, lines, s AS start_line, least(lines, s + 39)::BIGINT AS end_line FROM (SELECT doc_id, lines, unnest(range(1, lines + 1, 40))::BIGINT AS s FROM n))"""
+
+
+def _segments(spark, sf_dir):
+    docs = tables.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("lines"))
+    return docs.select("doc_id", "lines", spans.segments(F.lit(1), F.col("lines"), 40).alias("segments"))
+
+
+@query(f"{_SEGMENTS} SELECT doc_id, start_line, end_line FROM segments")
+def segment_ranges(spark, sf_dir):
+    """The lines of a document in segments of 40."""
+    return _segments(spark, sf_dir).select("doc_id", F.inline("segments"))
+
+
+@query(f"""{_SEGMENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY abs((start_line + end_line) / 2.0::DOUBLE - (1 + lines // 2)), start_line) AS n FROM segments)
+SELECT doc_id, start_line, end_line FROM r WHERE n = 1""")
+def preview_segment(spark, sf_dir):
+    """The segment nearest to the middle line."""
+    return _segments(spark, sf_dir).select("doc_id", spans.nearest_segment(F.col("segments"), 1 + F.floor(F.col("lines") / 2)).alias("s")).select("doc_id", "s.*")
+
+
 @query("""SELECT page_id, 'feature:' || sha1('page' || t || page_id) AS feature_id, t AS title FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages)""")
 def feature_projection(spark, sf_dir):
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)

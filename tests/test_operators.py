@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanworks.functions import classify, scoring
-from spanworks.operators import graph, links, spans, state, verify
+from spanworks.operators import graph, links, relocate, spans, state, verify
 from spanworks.plans import retrieval
 from spanworks.plans.normalize import normalize
 from spanworks.sources import tables
@@ -161,3 +161,31 @@ def test_lifecycle_is_the_fold_without_holding_a_key(spark):
     assert {r.user_id: {k: r[k] for k in state.NEW_ANCHOR} for r in got.collect()} == want
     assert {v["state"] for v in want.values()} == {"active", "dormant"}
     assert "Pandas" not in got._jdf.queryExecution().toString()
+
+
+def test_relocation(spark):
+    schema = "span_id string, path string, kind string, anchor string, heading string, ordinal int, nearby string, text_hash string, text string"
+    row = lambda i, anchor=None, heading="h", ordinal=0, nearby="n", text="", kind="k", path="p": (i, path, kind, anchor, heading, ordinal, nearby, text, text)
+    old = [
+        row("text", text="same"), row("anchor", "a", ordinal=9, text="x"), row("twice", "b", ordinal=9, text="y"), row("place", heading="g", ordinal=3, text="z"),
+        row("fuzzy", heading="f", ordinal=9, text="one two three four"), row("near", heading="e", ordinal=9, nearby="m", text="a1 a2 a3 a4"), row("tie", heading="d", ordinal=9, nearby="t", text="b1 b2"),
+        row("low", heading="c", ordinal=9, nearby="l", text="c1 c2 c3 c4"), row("bare", heading=None, ordinal=None, nearby=None, text=None), row("other", path="q", ordinal=9, text="same")]
+    new = [
+        row("1", heading="-", text="same"), row("2", "a", "-", text="2"), row("3", "b", "-", text="3"), row("4", "b", "-", text="4"), row("5", heading="g", ordinal=3, text="5"),
+        row("6", heading="f", ordinal=1, nearby="-", text="one two three five four"), row("7", heading="f", ordinal=2, nearby="-", text="one seven"),
+        row("8", heading="-", nearby="m", text="A1 a2 x"), row("9", heading="-", nearby="m", text="a1, a2, a3"), row("10", heading="-", nearby="t", text="b1 x"), row("11", heading="-", nearby="t", text="b2 x"),
+        row("12", heading="-", nearby="l", text="c1 y1 y2 y3"), row("13", heading=None, ordinal=None, nearby=None, text=None)]
+    make = lambda rows: spark.createDataFrame(rows, schema)
+    got = {r.span_id: (r.step, r.outcome, r.found_id) for r in relocate.relocated(make(old), make(new)).collect()}
+    missing = (None, "not_found", None)
+    assert got == {
+        "text": ("text_hash", "relocated", "1"), "anchor": ("anchor_kind", "relocated", "2"), "twice": ("anchor_kind", "ambiguous", None), "place": ("heading_block_kind", "relocated", "5"),
+        "fuzzy": ("heading_fuzzy_text", "relocated", "6"), "near": ("nearest_heading_similarity", "relocated", "9"), "tie": ("nearest_heading_similarity", "ambiguous", None),
+        "low": missing, "bare": missing, "other": missing}
+    assert relocate.relocated(make([]), make(new)).count() == 0 and relocate.relocated(make(old), make([])).where("outcome <> 'not_found'").count() == 0
+
+
+def test_segments(spark):
+    cut = lambda a, b, n: [tuple(x) for x in one(spark, spans.segments(F.lit(a), F.lit(b), n))]
+    assert cut(1, 5, 2) == [(1, 2), (3, 4), (5, 5)] and cut(3, 3, 40) == [(3, 3)] and cut(4, 3, 40) == []
+    assert tuple(one(spark, spans.nearest_segment(spans.segments(F.lit(1), F.lit(8), 4), F.lit(4.5)))) == (1, 4)
