@@ -52,18 +52,19 @@ def time_of(share: Column, slope: Column) -> Column:
 def _placed(rows: DataFrame, sized: DataFrame, goal: DataFrame) -> DataFrame:
     """rows (as sizes() makes them) with __sw_goal (source_size, target, slope), __sw_first and __sw_second (words taken in
     the first and second pass) and their positions in training, null if none."""
-    sums = sized.groupBy("source", "__sw_range").agg(F.sum("__sw_size").alias("n")).withColumn("block", F.substring("__sw_range", 1, BLOCK_DIGITS))
-    blocks = sums.groupBy(F.col("source").alias("_of"), F.col("block").alias("_in")).agg(F.sum("n").alias("m"))
+    # A key without nulls: joins and windows by it and the range share one shuffle of the rows.
+    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-")).alias("__sw_key")
+    block = F.substring("__sw_range", 1, BLOCK_DIGITS).alias("block")
+    sums = sized.groupBy(key, block, "__sw_range").agg(F.sum("__sw_size").alias("n"))
     before = lambda n, *by: F.coalesce(F.sum(n).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.select("_of", "_in", before("m", "_of", "_in").alias("base"))
-    sums = sums.join(blocks, F.col("source").eqNullSafe(F.col("_of")) & (F.col("block") == F.col("_in")))
-    ahead = F.col("base") + before("n", "source", "block", "__sw_range")
-    offsets = sums.select(F.col("source").alias("__sw_of"), F.col("__sw_range").alias("__sw_at"), ahead.alias("__sw_ahead"))
-    placed = rows.join(offsets, F.col("source").eqNullSafe(F.col("__sw_of")) & (F.col("__sw_range") == F.col("__sw_at"))).drop("__sw_of", "__sw_at")
-    line = Window.partitionBy("source", "__sw_range").orderBy("__sw_order", "__sw_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = sums.groupBy("__sw_key", "block").agg(F.sum("n").alias("m")).select("__sw_key", "block", before("m", "__sw_key", "block").alias("base"))
+    ahead = F.col("base") + before("n", "__sw_key", "block", "__sw_range")
+    offsets = sums.join(blocks, ["__sw_key", "block"]).select("__sw_key", "__sw_range", ahead.alias("__sw_ahead"))
+    placed = rows.select("*", key).join(offsets, ["__sw_key", "__sw_range"])
+    line = Window.partitionBy("__sw_key", "__sw_range").orderBy("__sw_order", "__sw_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("__sw_start", F.col("__sw_ahead") + F.sum("__sw_size").over(line) - F.col("__sw_size")).drop("__sw_ahead")
-    goal = goal.select(F.col("source").alias("__sw_of"), F.struct("source_size", "target", "slope").alias("__sw_goal"))
-    placed = join_sized(placed, goal, F.col("source").eqNullSafe(F.col("__sw_of"))).drop("__sw_of")
+    goal = goal.select(key, F.struct("source_size", "target", "slope").alias("__sw_goal"))
+    placed = join_sized(placed, goal, "__sw_key")
     words, again = F.round("__sw_goal.target").cast("long"), F.col("__sw_start") + F.col("__sw_goal.source_size")
     part = lambda start: F.least(F.greatest(words - start, F.lit(0)), F.col("__sw_size"))
     time = lambda start, n: F.when(n > 0, time_of(start / F.col("__sw_goal.target"), F.col("__sw_goal.slope")) + 0.0)
