@@ -193,4 +193,43 @@ SELECT b.page_id, b.host, b.path, b.rule, coalesce(b.verdict, CASE WHEN r.node I
 FROM best b LEFT JOIN reached r USING (node) WHERE place = 1
 """
 
-ORACLES = {"op1_license_scan": _license_sql(), "op2_quality_rules": _quality_sql(), "op4_mix_sources": OP4, "op9_url_filter": OP9}
+#: The CRC-32 of a decimal is taken over its characters, by a table of 256 that a rule makes.
+OP12 = r"""
+WITH crc AS (
+  SELECT list(c ORDER BY n) AS t
+  FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) AS r(n))),
+ordered AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM ordered), crc),
+placed AS (
+  SELECT c.conv_id, 0 AS part, o.pos, o.role, o.text FROM convs c JOIN ordered o ON o.conv_id = c.base AND o.pos <= c.h
+  UNION ALL SELECT c.conv_id, 1, o.pos, o.role, o.text FROM convs c JOIN ordered o ON o.conv_id = c.conv_id AND o.pos > c.h),
+whole AS (
+  SELECT c.conv_id, coalesce(list({'role': p.role, 'text': p.text} ORDER BY p.part, p.pos) FILTER (p.pos IS NOT NULL), []) AS turns
+  FROM convs c LEFT JOIN placed p USING (conv_id) GROUP BY c.conv_id),
+steps AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM whole),
+keyed AS (
+  SELECT conv_id, depth, len(turns) = depth AS ended, turns[1:depth] AS node, CASE WHEN depth > 0 THEN turns[1:depth - 1] END AS above,
+         CASE WHEN depth > 0 THEN length(turns[depth].text) ELSE 0 END AS chars
+  FROM steps),
+nodes AS (
+  SELECT node, depth, min(conv_id) AS conv_id, any_value(above) AS above, count(*) AS n, max(chars) AS chars,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256
+  FROM keyed GROUP BY node, depth),
+linked AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes k WHERE k.depth = n.depth + 1 AND k.above = n.node) AS n_children
+  FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.node = n.above),
+beneath AS (
+  SELECT k.node, k.depth, sum(CASE WHEN u.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((u.n - 1) * u.chars) AS saved_tokens
+  FROM linked u JOIN keyed k ON k.conv_id = u.conv_id AND k.depth <= u.depth GROUP BY k.node, k.depth)
+SELECT l.conv_id, l.depth::BIGINT AS depth, l.parent_conv_id, l.n::BIGINT AS n_convs, l.n_children::BIGINT AS n_children,
+       b.n_leaves::BIGINT AS n_leaves, b.saved_tokens::BIGINT AS saved_tokens, l.ends_sha256
+FROM linked l JOIN beneath b USING (node, depth)
+"""
+
+ORACLES = {"op1_license_scan": _license_sql(), "op2_quality_rules": _quality_sql(), "op4_mix_sources": OP4, "op9_url_filter": OP9, "op12_prefix_trie": OP12}
