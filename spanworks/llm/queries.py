@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, license_scan, mixing, neighbours, packing, pieces, prefix_trie, quality, simhash, suffixes, toxicity, url_filter
+from . import language, license_scan, mixing, neighbours, packing, pieces, prefix_trie, quality, simhash, spelling, suffixes, toxicity, url_filter
 from .common import table
 from .sql import ORACLES
 
@@ -51,6 +51,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
@@ -61,6 +65,6 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_quality_rules, op3_nearest_neighbours, op4_mix_sources, op5_simhash, op6_suffix_dedup, op7_toxicity, op8_pieces, op9_url_filter, op10_language,
-    op12_prefix_trie, op13_packing)}
+    op11_spelling_variants, op12_prefix_trie, op13_packing)}
 
 __all__ = ["ORACLES", "QUERIES"]
