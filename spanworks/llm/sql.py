@@ -193,6 +193,36 @@ SELECT b.page_id, b.host, b.path, b.rule, coalesce(b.verdict, CASE WHEN r.node I
 FROM best b LEFT JOIN reached r USING (node) WHERE place = 1
 """
 
+OP11 = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY n) AS t
+  FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) AS r(n))),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+  FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS k, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS digits FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+hashed AS (
+  SELECT run, k, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(digits), 2), lambda i: ('0x' || digits[i:i + 1])::BIGINT)),
+                                 lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) AS h
+  FROM counted, crc),
+changed AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, k FROM hashed),
+words AS (SELECT word, sum(k)::BIGINT AS n FROM changed WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+lacking AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word AS a, a.n AS a_n, b.word AS b, b.n AS b_n FROM lacking a JOIN lacking b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT w.word, w.n, l.word, l.n FROM words w JOIN lacking l ON l.rest = w.word
+  UNION SELECT l.word, l.n, w.word, w.n FROM words w JOIN lacking l ON l.rest = w.word),
+best AS (SELECT a AS word, a_n AS n, count(*) AS n_near, arg_min({'b': b, 'b_n': b_n}, {'r': -b_n, 'b': b}) AS top FROM pairs GROUP BY a, a_n),
+judged AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN b.top.b_n >= 2 * w.n THEN b.top.b END AS form, CASE WHEN b.top.b_n >= 2 * w.n THEN b.top.b_n END AS form_n
+  FROM words w LEFT JOIN best b USING (word)),
+led AS (
+  SELECT word, word AS at FROM judged
+  UNION ALL SELECT l.word, j.form FROM led l JOIN judged j ON j.word = l.at WHERE j.form IS NOT NULL)
+SELECT j.word, j.form, l.at AS root, j.n, j.n_near, j.form_n
+FROM judged j JOIN led l USING (word) JOIN judged e ON e.word = l.at AND e.form IS NULL
+"""
+
 #: The CRC-32 of a decimal is taken over its characters, by a table of 256 that a rule makes.
 OP12 = r"""
 WITH crc AS (
@@ -232,4 +262,4 @@ SELECT l.conv_id, l.depth::BIGINT AS depth, l.parent_conv_id, l.n::BIGINT AS n_c
 FROM linked l JOIN beneath b USING (node, depth)
 """
 
-ORACLES = {"op1_license_scan": _license_sql(), "op2_quality_rules": _quality_sql(), "op4_mix_sources": OP4, "op9_url_filter": OP9, "op12_prefix_trie": OP12}
+ORACLES = {"op1_license_scan": _license_sql(), "op2_quality_rules": _quality_sql(), "op4_mix_sources": OP4, "op9_url_filter": OP9, "op11_spelling_variants": OP11, "op12_prefix_trie": OP12}
