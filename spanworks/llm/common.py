@@ -71,6 +71,17 @@ def text_mark(text="text") -> Column:
     return F.xxhash64(F.col(text), F.col(text).isNull())
 
 
+def columns_of(docs: DataFrame) -> list[Column]:
+    """The columns of docs as they are, whatever their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row, whatever their names and types; what Spark can't hash goes by its JSON."""
+    plain = lambda kind: not any(x in kind.simpleString() for x in ("map<", "variant"))
+    return F.xxhash64(*[c if plain(f.dataType) else F.to_json(F.struct(c.alias("x"))) for c, f in zip(columns_of(docs), docs.schema)])
+
+
 def join_sized(left: DataFrame, right: DataFrame, on, how: str = "inner", most_rows: int = 10_000) -> DataFrame:
     """Joins; broadcasts the right side only if it is counted to hold at most `most_rows` rows. The right side should be
     staged, as it is counted first. Beyond the bound Spark shuffles both sides and AQE splits skewed keys."""

@@ -196,6 +196,8 @@ def identified(docs: DataFrame, least: float = 0.05) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = (classify(t.as_py() or b"", sent.value) for t in batch.column(at).cast(pa.binary()))
-            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
+            told = pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays([c.filter(told) for c in batch.columns], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    names = docs.columns
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, docs.schema)  # mapInArrow reads a dot in a name as a field

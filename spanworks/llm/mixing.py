@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, join_sized, staged
+from .common import WORD, columns_of, join_sized, staged
 
 WEIGHTS, SHARE, MOST_COPIES = (5.0, 2.0, 1.0), 1.5, 2
 #: How steeply a source's weight rises over training, by its place in code point order, repeating.
@@ -102,6 +102,6 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     placed = _placed(sizes(docs, docs.columns), sized, staged(targets(sized)))
     each = F.array(F.struct(F.col("__sw_first").alias("words"), F.col("__sw_position").alias("position")), F.struct(F.col("__sw_second").alias("words"), F.col("__sw_next").alias("position")))
     kept = F.transform(F.filter(each, lambda x: (x.words > 0) & (2 * x.words >= F.col("__sw_size"))), lambda x: x.position)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    columns = columns_of(docs)
     copies = placed.select(*columns, "__sw_order", F.explode(kept).alias("__sw_position"))
     return copies.orderBy("__sw_position", "__sw_order").select(*columns)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import staged, text_mark
+from .common import columns_of, row_hash, staged, text_mark
 
 #: Words that suffixes must share to be compared, and words of a passage at the least. A passage of LEAST words has
 #: STARTS suffixes of DEPTH words; the minimiser of each such window is retained, so one of them is.
@@ -270,7 +270,7 @@ def repeated_spans(docs: DataFrame, most: int = 200_000) -> DataFrame:
     return found.select(F.nullif("doc", F.lit(NO_DOC)).alias("doc_id"), "begin", "stop", "earlier", F.hex("mark").alias("text_mark"))
 
 
-def _cut(batches: Iterator[pa.RecordBatch], at: int, spans_at: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], at: int, spans_at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
         for text, spans in zip(batch.column(at), batch.column(spans_at)):
@@ -285,7 +285,7 @@ def _cut(batches: Iterator[pa.RecordBatch], at: int, spans_at: int) -> Iterator[
                 text = b"".join([*parts, raw[last:]]).decode()
             texts.append(text)
         columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns) if i != spans_at]
-        yield pa.RecordBatch.from_arrays(columns, [n for i, n in enumerate(batch.schema.names) if i != spans_at])
+        yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def without_repeats(docs: DataFrame, most: int = 200_000) -> DataFrame:
@@ -299,11 +299,12 @@ def without_repeats(docs: DataFrame, most: int = 200_000) -> DataFrame:
     """
     doc, mark = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)), text_mark()
     spans = _spans(docs, most).groupBy(F.col("doc").alias("__sw_doc"), F.col("mark").alias("__sw_mark")).agg(F.array_sort(F.collect_list(F.struct("begin", "stop"))).alias("__sw_spans"))
-    once = Window.partitionBy("__sw_doc", "__sw_mark").orderBy(F.xxhash64(*docs.columns))
-    single = docs.withColumns({"__sw_doc": doc, "__sw_mark": mark}).withColumn("__sw_n", F.row_number().over(once)).where("__sw_n = 1").drop("__sw_n")
-    both = single.join(spans, ["__sw_doc", "__sw_mark"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__sw_spans")
+    once = Window.partitionBy("__sw_doc", "__sw_mark").orderBy("__sw_row")
+    single = docs.withColumns({"__sw_doc": doc, "__sw_mark": mark, "__sw_row": row_hash(docs)}).withColumn("__sw_n", F.row_number().over(once)).where("__sw_n = 1").drop("__sw_n", "__sw_row")
+    both = single.join(spans, ["__sw_doc", "__sw_mark"], "left").select(*columns_of(docs), "__sw_spans")
     columns = both.columns
-    cut = both.mapInArrow(partial(_cut, at=columns.index("text"), spans_at=columns.index("__sw_spans")), docs.schema)
+    plain = both.toDF(*[f"c{i}" for i in range(len(columns))])  # mapInArrow reads a dot in a name as a field
+    cut = plain.mapInArrow(partial(_cut, at=columns.index("text"), spans_at=columns.index("__sw_spans"), names=docs.columns), docs.schema)
     if "n_chars" in columns:
         cut = cut.withColumn("n_chars", F.when(F.col("n_chars").isNotNull() & F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return cut.where(F.col("text").rlike(r"[^\x20\x09-\x0D]") | F.col("text").isNull())

@@ -37,24 +37,19 @@ def with_node(rows: DataFrame, url: str, name: str) -> DataFrame:
     return rows.withColumn(name, F.when(F.col("_h") != "", F.concat("_h", F.when(F.col("_p") == "", "/").otherwise(F.col("_p")), "_q"))).drop("_h", "_p", "_q")
 
 
-def absolute(base: Column, link: Column) -> Column:
-    """A link as an absolute url, seen from a page, with `.` and `..` in its path folded."""
-    link = F.trim(F.regexp_replace(link, "&amp;", "&"))
-    root = F.regexp_extract(base, r"(?s)^([^?#]*?://[^/?#]*)", 1)
-    folder = F.regexp_extract(base, r"(?s)^[^?#]*?://[^/?#]*([^?#]*/)", 1)
-    return folded(
-        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
-        .when(link.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^([^?#]*?:)//", 1), link))
-        .when(link.startswith("/"), F.concat(root, link))
-        .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), link))
-    )
-
-
-def folded(url: Column) -> Column:
-    """An absolute url without `.` and `..` in its path; a path that would leave the root stays there."""
-    steps = F.split(F.regexp_extract(url, r"(?s)^[^?#]*?://[^/?#]*/([^?#]*)", 1), "/", -1)
+def with_absolute(rows: DataFrame, base: str, link: str, name: str) -> DataFrame:
+    """Adds a link as an absolute url, seen from a page, with `.` and `..` in its path folded; a path that would leave the
+    root stays there. Each part is made once, in a step of its own."""
+    rows = rows.withColumns({
+        "_link": F.trim(F.regexp_replace(link, "&amp;", "&")), "_root": F.regexp_extract(base, r"(?s)^([^?#]*?://[^/?#]*)", 1), "_folder": F.regexp_extract(base, r"(?s)^[^?#]*?://[^/?#]*([^?#]*/)", 1),
+        "_scheme": F.regexp_extract(base, r"(?s)^([^?#]*?:)//", 1)})
+    to, root, folder = F.col("_link"), F.col("_root"), F.col("_folder")
+    whole = F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to).when(to.startswith("//"), F.concat("_scheme", to)).when(to.startswith("/"), F.concat(root, to))
+    rows = rows.withColumn("_whole", whole.otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), to)))
+    steps = F.split(F.regexp_extract("_whole", r"(?s)^[^?#]*?://[^/?#]*/([^?#]*)", 1), "/", -1)
     path = F.aggregate(steps, F.lit(""), lambda acc, s: F.when(s == "..", F.regexp_replace(acc, "/[^/]*$", "")).when(s == ".", acc).otherwise(F.concat(acc, F.lit("/"), s)))
-    return F.concat(F.regexp_extract(url, r"(?s)^([^?#]*?://[^/?#]*)", 1), path, F.regexp_extract(url, r"(?s)^[^?#]*([?#].*)$", 1))
+    rows = rows.withColumn(name, F.concat(F.regexp_extract("_whole", r"(?s)^([^?#]*?://[^/?#]*)", 1), path, F.regexp_extract("_whole", r"(?s)^[^?#]*([?#].*)$", 1)))
+    return rows.drop("_link", "_root", "_folder", "_scheme", "_whole")
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
@@ -67,8 +62,8 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     base = either(F.regexp_extract("html", r"(?is)<base\b[^>]*>", 0), "href")
     marked = pages.where(F.col("html").rlike(r"(?i)canonical|http-equiv"))
     links = staged(marked.select("url", base.alias("base"), F.explode(F.concat(canonical, refresh)).alias("link")))  # a few, cut out of much html
-    seen_from = F.when(F.col("base") == "", F.col("url")).otherwise(absolute(F.col("url"), F.col("base")))
-    links = links.withColumn("target", absolute(seen_from, F.col("link")))
+    links = with_absolute(links, "url", "base", "based").withColumn("seen_from", F.when(F.col("base") == "", F.col("url")).otherwise(F.col("based")))
+    links = with_absolute(links, "seen_from", "link", "target")
     return with_node(with_node(links, "url", "a"), "target", "b").select("a", "b")
 
 
@@ -86,7 +81,7 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     edges = alias_edges(pages)
     if redirects is not None:
         edges = edges.union(with_node(with_node(redirects, "from_url", "a"), "to_url", "b").select("a", "b"))
-    found = staged(connected_components(edges.where("a <> b"), "a", "b"))
+    found = staged(connected_components(staged(edges.where("a <> b")), "a", "b"))
     node_host, rest = F.regexp_extract("node", r"(?s)^[^/]*", 0), F.regexp_extract("node", r"(?s)^[^/]*(/[^?]*)", 1)
     blocked = found.where(longest_rule(node_host, rest, rules).verdict == "block").select("component").distinct()
     aliases = staged(found.join(blocked, "component", "left_semi").select("node", F.lit(True).alias("alias")))

@@ -690,3 +690,17 @@ def test_pipeline(spark, sf):
     import corpus_pipeline
 
     assert corpus_pipeline.run(spark, sf).where("round_trip").count() > 0
+
+
+def test_stages_pass_any_columns(spark):
+    """Maps, structs, dots and blanks in names, and names like the operators' own, through all five stages."""
+    import corpus_pipeline
+
+    rows = [(i, f"Text number {i} of a small corpus, with words of its own: " + " ".join(f"w{i}x{j}" for j in range(60)), "en" if i % 2 else "de", "a", 9, {"k": i}, (i, "s"), i, 1, i, [i]) for i in range(40)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, m map<string,int>, s struct<x:int,y:string>, `a.b` int, node int, `c d` int, keys array<int>"
+    docs = spark.createDataFrame(rows + rows[:3], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = staged(stage(spark, docs, ""))
+        assert docs.columns == spark.createDataFrame([], schema).columns and docs.count() >= 40, name
+        assert all(r["a.b"] == r.doc_id and r.m == {"k": r.doc_id} and r.s.x == r.doc_id and r["c d"] == r.doc_id and r["keys"] == [r.doc_id] for r in docs.collect()), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()
