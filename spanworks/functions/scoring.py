@@ -60,29 +60,3 @@ def decision(score: Column, indexed=None, risk=None, stale=None, is_test=None, o
         .when(score >= 70, "maybe_edit")
         .otherwise("inspect_only")
     )
-
-
-def kind_precision(kind: Column, exact_symbol: Column, table_intent: Column, paragraph_intent: Column, content_hits: Column, symbol_terms: Column) -> Column:
-    return (
-        F.when(kind.startswith("code.") & exact_symbol, F.when(kind.isin("code.function", "code.method", "code.class", "code.constant", "code.component"), 18).when(kind == "code.module", 4).otherwise(10))
-        .when(table_intent & (kind == "doc.table_row"), 26 + F.least(F.lit(36), 4 * content_hits))
-        .when(table_intent & (kind == "doc.table"), 12 + F.least(F.lit(20), 2 * content_hits))
-        .when((kind == "doc.paragraph") & paragraph_intent, 14 + F.least(F.lit(60), 6 * content_hits))
-        .when(kind.isin("doc.heading", "doc.section") & paragraph_intent, -8)
-        .when((kind == "file") & symbol_terms, -6)
-        .otherwise(0)
-    )
-
-
-def path_strength(path: Column, term: str, raw: str) -> Column:
-    """How well a path fits a path term of a query, 0 to 42."""
-    low, term = F.lower(path), term.lower()
-    name = F.element_at(F.split(low, "/"), -1)
-    stem = F.regexp_replace(F.lower(F.regexp_replace(name, r"\.[^.]+$", "")), r"[^\p{L}\p{N}]+", "")
-    small = "".join(c for c in term if c.isalnum())
-    fits = (
-        F.when((low == term) | low.endswith("/" + term), 42).when(name == term, 24).when(low.contains(term), 10)
-        .when((F.lit(len(small)) >= 4) & (stem == small), 34)
-        .when((F.lit(len(small)) >= 6) & (stem.contains(small) | F.lit(small).contains(stem)), 18).otherwise(0))
-    in_raw = "".join(c for c in raw.lower() if c.isalnum())
-    return F.greatest(fits, F.when((F.char_length(stem) >= 4) & F.lit(in_raw).contains(stem), 36).otherwise(0))

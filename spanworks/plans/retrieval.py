@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..functions import scoring
+from ..functions import requests, scoring
 from ..operators import spans
 from ..sources import tables
-from .normalize import FIELDS, normalize, normalize_batch
 from .registry import FILES, query
 
 #: The request of the registered queries.
 REQUEST = "change onesen to erblest across inenan eranenes"
-TERMS = normalize(REQUEST)["exact"]
+TERMS = ["onesen", "erblest", "inenan", "eranenes"]
 _LIST = ", ".join(f"'{t}'" for t in TERMS)
 _SECRET = r"(?i)(api[_-]?key|token|secret|password)\s*[:=]"
 
@@ -42,7 +41,7 @@ def scored(spark, sf_dir, terms: list[str] | None = None):
 
 def locate(spark, sf_dir, request: str, limit: int = 20):
     """The best target of each source for a change request: path, span_id, score, confidence, decision."""
-    best = spans.first_wins(scored(spark, sf_dir, normalize(request)["exact"]), ["source"], F.desc("score"), "path")
+    best = spans.first_wins(scored(spark, sf_dir, requests.normalize(spark, request)["exact"]), ["source"], F.desc("score"), "path")
     shown = best.select("path", "span_id", "score", F.round(scoring.confidence(F.col("score")), 6).alias("confidence"), scoring.decision(F.col("score")).alias("decision"))
     return shown.orderBy(F.desc("score"), "path").limit(limit)
 
@@ -174,10 +173,11 @@ def decision_histogram(spark, sf_dir):
     return orders.groupBy(scoring.decision(F.col("s")).alias("decision")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH {requests.terms_sql('benchmark', 'item_id')} SELECT item_id, {', '.join(f"array_to_string({f}, ',') AS {f}" for f in requests.FIELDS)} FROM requests")
 def normalized_requests(spark, sf_dir):
     """The terms of each benchmark passage taken as a request."""
-    return tables.table(spark, sf_dir, "benchmark").select("item_id", normalize_batch(F.col("text")).alias("t")).select("item_id", *[F.array_join(f"t.{f}", ",").alias(f) for f in FIELDS])
+    found = requests.with_terms(tables.table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select("item_id", *[F.array_join(f, ",").alias(f) for f in requests.FIELDS])
 
 
 @query("""WITH f AS (SELECT text, min(doc_id) AS found_at, count(*) AS n FROM documents GROUP BY text)

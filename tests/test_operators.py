@@ -5,10 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spanworks.functions import classify, scoring
+from spanworks.functions import classify, ranking, scoring
+from spanworks.functions.requests import normalize
 from spanworks.operators import graph, links, relocate, spans, state, verify
 from spanworks.plans import retrieval
-from spanworks.plans.normalize import normalize
 from spanworks.sources import tables
 from spanworks.streaming import lifecycle
 
@@ -57,8 +57,8 @@ def test_scores(spark):
     assert decide(200, stale=True) == decide(200, risk="high") == decide(200, indexed=False) == "inspect_only"
     assert decide(200, is_test=True) == "verify_only" and decide(69, old_term=True) == "maybe_edit" and decide(70, old_term=True) == "must_edit"
     assert [one(spark, scoring.confidence(F.lit(s))) for s in (-5, 0, 20)] == [0, 0, 0.5]
-    assert one(spark, scoring.path_strength(F.lit("src/scheduler.ts"), "src/scheduler.ts", "")) == 42
-    assert one(spark, scoring.path_strength(F.lit("src/scheduler.ts"), "nothing.ts", "change the scheduler now")) == 36
+    assert one(spark, ranking.path_strength(F.lit("src/scheduler.ts"), {"raw": "", "path": ["src/scheduler.ts"]})) == 42
+    assert one(spark, ranking.path_strength(F.lit("src/scheduler.ts"), {"raw": "change the scheduler now", "path": ["nothing.ts"]})) == 36
 
 
 def test_budget_goes_on_after_what_does_not_fit(spark):
@@ -101,8 +101,8 @@ def test_snapshots(spark):
     assert {(r.path, r.hash) for r in merged.collect()} == {("a", "1"), ("b", "2")}
 
 
-def test_request():
-    found = normalize("Rename fooBar to bazQuux in src/scheduler.ts with --dry-run and MAX_SIZE")
+def test_request(spark):
+    found = normalize(spark, "Rename fooBar to bazQuux in src/scheduler.ts with --dry-run and MAX_SIZE")
     assert found["old"] == ["fooBar"] and found["new"] == ["bazQuux"] and "src/scheduler.ts" in found["path"] and {"--dry-run", "MAX_SIZE"} <= set(found["config"]) and {"fooBar", "bazQuux"} <= set(found["symbol"])
 
 

@@ -3,11 +3,11 @@
 from pyspark.sql import functions as F
 
 from spanworks.functions import classify, paths, ranking
-from spanworks.plans.normalize import normalize
+from spanworks.functions.requests import normalize
 
 
 def test_a_candidate_of_known_score(spark):
-    request = normalize("Update docs/api/client.md for createClient --timeout timeout option", ["canonical_api_doc"])
+    request = normalize(spark, "Update docs/api/client.md for createClient --timeout timeout option", ["canonical_api_doc"])
     row = spark.createDataFrame(
         [("docs/api/client.md", "doc.paragraph", "canonical_api_doc", "Client API timeout option", "Client API Options", "createClient accepts --timeout and timeoutMs in the Client API.", 0.8,
           ["fts_lexical", "markdown_anchor", "path_role_expansion"], False, False, False, True, "low")],
@@ -18,14 +18,14 @@ def test_a_candidate_of_known_score(spark):
     assert got.score == 181 and got.decision == "must_edit"
 
 
-def test_terms_of_requests():
-    found = normalize("Update docs/api/client.md Client API for createClient --timeout and API_TIMEOUT from legacyTimeout to timeoutMs", ["canonical_api_doc", "tests"])
+def test_terms_of_requests(spark):
+    found = normalize(spark, "Update docs/api/client.md Client API for createClient --timeout and API_TIMEOUT from legacyTimeout to timeoutMs", ["canonical_api_doc", "tests"])
     assert "docs/api/client.md" in found["path"] and {"createClient", "legacyTimeout", "timeoutMs"} <= set(found["symbol"]) and {"--timeout", "API_TIMEOUT"} <= set(found["config"])
     assert {"client", "api"} <= set(found["doc"]) and "timeout" in found["feature"] and found["old"] == ["legacyTimeout"] and found["new"] == ["timeoutMs"]
     assert found["roles"] == ["canonical_api_doc", "test_file", "fixture_file"]
-    assert normalize("a.oldName => b.newName in x")["old"] == ["a.oldName"] and "oldName" in normalize("a.oldName => b.newName")["symbol"]
-    assert normalize("replace red fish with blue fish in ponds")["new"] == ["blue fish"] and normalize("run `tickedName`")["symbol"] == ["tickedName"]
-    assert normalize("")["exact"] == [] and normalize("推进/规划 notes.md")["path"] == ["notes.md"]
+    assert normalize(spark, "a.oldName => b.newName in x")["old"] == ["a.oldName"] and "oldName" in normalize(spark, "a.oldName => b.newName")["symbol"]
+    assert normalize(spark, "replace red fish with blue fish in ponds")["new"] == ["blue fish"] and normalize(spark, "run `tickedName`")["symbol"] == ["tickedName"]
+    assert normalize(spark, "")["exact"] == [] and normalize(spark, "推进/规划 notes.md")["path"] == ["notes.md"]
 
 
 def test_layers_roles_and_guards(spark):
