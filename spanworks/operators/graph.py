@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..sources.store import staged
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """Each edge seen from either end: node, other, relation, confidence."""
@@ -54,3 +56,37 @@ def impact(nodes: DataFrame) -> DataFrame:
         has((role == "config_file") | kind.startswith("config.")).alias("config"), has((role == "test_file") | kind.startswith("test.")).alias("tests"),
         has((role == "example_doc") | kind.startswith("example.")).alias("examples"), has(kind.startswith("feature.")).alias("features"),
         F.when(F.count("*") >= 20, "high").when(F.count("*") >= 6, "medium").otherwise("low").alias("risk"))
+
+
+def impact_paths(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
+    """(node, hops, path, strength): how each node within `depth` hops of the seeds (column node) is reached first, edges
+    followed both ways. path lists the nodes from a seed on; strength is the product of the confidences. Of ways with the
+    fewest hops the strongest last edge wins, then the smaller node before. edges are read once a hop: stage them."""
+    steps = both_ways(edges).where("node <> other").groupBy("node", "other").agg(F.max("confidence").alias("confidence"))
+    front = seeds.select("node").distinct().select("node", F.lit(0).cast("long").alias("hops"), F.array("node").alias("path"), F.lit(1.0).alias("strength"))
+    seen = front = staged(front)
+    for hop in range(1, depth + 1):
+        reached = steps.join(front, "node").select(F.col("other").alias("to"), F.struct((-F.col("confidence")).alias("weak"), F.col("node").alias("by"), "path", "strength").alias("way"))
+        best = reached.groupBy("to").agg(F.min("way").alias("way")).join(seen.select(F.col("node").alias("to")), "to", "left_anti")
+        front = staged(best.select(F.col("to").alias("node"), F.lit(hop).cast("long").alias("hops"), F.concat("way.path", F.array("to")).alias("path"), (F.col("way.strength") * -F.col("way.weak")).alias("strength")))
+        seen = seen.unionByName(front)
+    return seen
+
+
+def resolved_seeds(targets: DataFrame, spans: DataFrame, most: int = 80) -> DataFrame:
+    """(target, node) of what requests name (target, type): a span by its id, a file by its path, a symbol by the label of its
+    code, `auto` by any of these; the first `most` of each, a file's spans by line. One equal join a kind of name."""
+    names = [("span", "span_id", F.lit(True)), ("file", "path", F.lit(True)), ("symbol", "label", F.col("kind").startswith("code."))]
+    found = None
+    for order, (kind, column, holds) in enumerate(names):
+        rows = targets.where(F.col("type").isin(kind, "auto")).join(spans.where(holds), F.col("target") == F.col(column)).select("target", F.col("span_id").alias("node"), F.lit(order).alias("_order"), "path", "start_line")
+        found = rows if found is None else found.union(rows)
+    rank = F.row_number().over(Window.partitionBy("target").orderBy("_order", "path", "start_line", "node"))
+    firsts = found.groupBy("target", "node").agg(*[F.min(c).alias(c) for c in ("_order", "path", "start_line")])
+    return firsts.withColumn("_n", rank).where(F.col("_n") <= most).select("target", "node")
+
+
+def grouped_impact(reached: DataFrame, group: str, most: int = 25) -> DataFrame:
+    """The `most` nearest nodes of each group, by hops, strength and name, with their place in it."""
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("hops", F.desc("strength"), "node"))
+    return reached.withColumn("place", rank.cast("long")).where(F.col("place") <= most)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..sources.store import staged
+
 
 def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
     """(path, change) of two snapshots (path, hash): added, deleted or modified."""
@@ -87,3 +91,58 @@ def anchor_rank(anchors: DataFrame, score, last_seen) -> DataFrame:
     ignored; last_seen / 1000."""
     base = F.when(F.col("state") == "active", 1000).when(F.col("state") == "dormant", 100).when(F.col("state") == "archived", 10).otherwise(-1000)
     return anchors.withColumn("rank_score", base + F.when(F.col("pinned"), 500).otherwise(0) + score + 10 * F.col("useful") - 5 * F.col("ignored") + last_seen / 1000)
+
+
+#: What a state and what is known of an anchor add to its rank.
+STATE_WEIGHTS, PINNED_WEIGHT, USEFUL_WEIGHT, IGNORED_WEIGHT = {"active": 1000, "dormant": 100, "archived": 10}, 500, 10, 5
+
+
+@dataclass(frozen=True)
+class Budgets:
+    """The most anchors of a path, active ones of a path and in all, pinned ones, and ones that are not active."""
+
+    per_path: int = 12
+    active_per_path: int = 4
+    active: int = 64
+    pinned: int = 16
+    cold: int = 200
+
+
+def aged(anchors: DataFrame, last, now, dormant_after: int, archive_after: int, retire_ignored: int) -> DataFrame:
+    """Anchors in one of five states by what was known of them: `tombstoned` (column forgotten) and `retired` (ignored at least
+    retire_ignored times in a row without being useful since) are for good; the others are dormant or archived when they have
+    not been seen (last) for so long (now); pinned ones do not age."""
+    unseen = now - last
+    state = (
+        F.when(F.col("forgotten"), "tombstoned").when(~F.col("pinned") & (F.col("ignored") >= retire_ignored), "retired").when(~F.col("pinned") & (unseen > archive_after), "archived")
+        .when(~F.col("pinned") & (unseen > dormant_after) & (F.col("state") == "active"), "dormant").otherwise(F.col("state")))
+    return anchors.withColumn("state", state)
+
+
+def capped_anchors(anchors: DataFrame, budgets: Budgets = Budgets()) -> DataFrame:
+    """Anchors (id, path, state, pinned, rank_score) within budgets: those of a path beyond its most go, active ones beyond
+    theirs become dormant, pinned ones beyond theirs are unpinned, and of the rest that is not active and not pinned what
+    is beyond goes. Tombstoned ones go first. Order: rank_score, path, id.
+
+    Each limit depends on those before, but only by counts of what came earlier in one order, so each is a rank: within a
+    path by a window, over all by a top-k, which is combined before it is merged. No task holds all anchors."""
+    order = [F.desc("rank_score"), "path", "id"]
+    rank = lambda rows, name, *by: rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    best = lambda rows, most, flag: rows.orderBy(*order).limit(most).select("id", F.lit(True).alias(flag))
+    kept = staged(rank(anchors.where("state <> 'tombstoned'"), "_n", "path").where(F.col("_n") <= budgets.per_path).drop("_n"))
+    able = rank(kept.where("state = 'active'"), "_n", "path").where(F.col("_n") <= budgets.active_per_path)
+    pins = kept.where("pinned")
+    kept = kept.join(best(able, budgets.active, "_active"), "id", "left").join(best(pins, budgets.pinned, "_pinned"), "id", "left")
+    state = F.when((F.col("state") == "active") & F.col("_active").isNull(), "dormant").otherwise(F.col("state"))
+    kept = staged(kept.withColumns({"state": state, "pinned": F.col("_pinned").isNotNull()}).drop("_active", "_pinned"))
+    cold = kept.where("state <> 'active'")
+    stays = kept.join(best(cold, budgets.cold, "_cold"), "id", "left").where("state = 'active' or pinned or _cold")
+    return stays.drop("_cold")
+
+
+def cap_warnings(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(warning, n) of what the budgets did: anchors dropped, made dormant, unpinned; none, no row."""
+    both = before.where("state <> 'tombstoned'").select("id", F.col("state").alias("_state"), F.col("pinned").alias("_pinned")).join(after.select("id", "state", "pinned"), "id", "left")
+    tests = {"dropped": F.col("state").isNull(), "made_dormant": (F.col("_state") == "active") & (F.col("state") == "dormant"), "unpinned": F.col("_pinned") & ~F.coalesce("pinned", F.lit(True))}
+    each = both.select(F.explode(F.array_compact(F.array(*[F.when(holds, name) for name, holds in tests.items()]))).alias("warning"))
+    return each.groupBy("warning").agg(F.count("*").alias("n"))

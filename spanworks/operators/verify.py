@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import classify, paths
+from . import index, spans
+
 
 def old_term_sweep(rows: DataFrame, terms: list[str]) -> DataFrame:
     """Rows (with a text `line`) beside each of a change's old terms that they contain; case matters. One pass, no join."""
@@ -41,3 +44,33 @@ def required_verification(*sources: DataFrame) -> DataFrame:
         every = every.unionByName(s)
     order = F.when(F.col("severity") == "fail", 0).when(F.col("severity") == "needs_attention", 1).otherwise(2)
     return every.groupBy("path", "source").agg(F.min_by("severity", F.struct(order, "severity")).alias("severity"))
+
+
+#: Stems of fewer characters are looked for as whole names only.
+LEAST_STEM = 8
+
+
+def likely_tests(sources: DataFrame, tests: DataFrame) -> DataFrame:
+    """(source, test): paths of tests (column path) whose name speaks of a source's: a stem of both is the same, or a source's
+    stem of LEAST_STEM characters or more is part of a test's, or its whole name up to a dot. Equal stems are an equal
+    join; parts are found by n-grams, over distinct stems. A path that is on both sides is no test of itself."""
+    stems = lambda rows, name, prefixes: rows.select(F.col("path").alias(name), F.explode(paths.stem_aliases(F.col("path"), prefixes)).alias("stem")).distinct()
+    ours, theirs = stems(sources, "source", paths.SOURCE_PREFIXES), stems(tests, "test", paths.TEST_PREFIXES)
+    name = F.lower(classify.basename(F.col("path")))
+    dotted = F.transform(F.sequence(F.lit(1), F.size(F.split(name, "[.]"))), lambda i: F.array_join(F.slice(F.split(name, "[.]"), F.lit(1), i), "."))
+    fronts = tests.where(name.contains(".")).select(F.col("path").alias("test"), F.explode(F.slice(dotted, F.lit(1), F.size(dotted) - 1)).alias("stem"))
+    long = ours.where(F.char_length("stem") >= LEAST_STEM)
+    parts = index.containing(long.select("stem").distinct(), "stem", theirs.select(F.col("stem").alias("word")).distinct(), "word")
+    within = long.join(parts, "stem").join(theirs.withColumnRenamed("stem", "word"), "word")
+    found = ours.join(theirs, "stem").select("source", "test").union(within.select("source", "test")).union(long.join(fronts, "stem").select("source", "test"))
+    return found.where("source <> test").distinct()
+
+
+def stale_anchors(links: DataFrame, headings: DataFrame) -> DataFrame:
+    """links (path, target, fragment) of which the target's headings (path, line_no, label) make no such anchor. Anchors are
+    the slugs of headings, numbered from the second of a file on. Empty and null fragments, and links to files that have
+    no heading and are not known, are not looked at: headings holds a row with a null label for each known file."""
+    known = headings.select("path").distinct()
+    slugs = spans.duplicate_slugs(headings.where("label is not null").withColumn("_base", classify.slug(F.col("label"))), "path", "_base", "line_no").select(F.col("path").alias("target"), F.lower("anchor").alias("fragment"))
+    wanted = links.where("fragment is not null and fragment <> ''").join(known.withColumnRenamed("path", "target"), "target", "left_semi")
+    return wanted.withColumn("_as", F.col("fragment")).withColumn("fragment", F.lower("fragment")).join(slugs.distinct(), ["target", "fragment"], "left_anti").select("path", "target", F.col("_as").alias("fragment"))

@@ -124,16 +124,25 @@ def hotset_upsert(spark, sf_dir):
     return state.hotset(tables.table(spark, sf_dir, "events"), "user_id")
 
 
-@query()
+_FOLDED = """e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts IS NULL, ts, event_id) AS rn FROM events),
+g AS (SELECT user_id, count(*)::BIGINT AS seen, count(*) FILTER (event_type = 'click')::BIGINT AS useful, count(*) FILTER (event_type = 'error') AS errors, bool_or(event_type = 'purchase') AS pinned,
+  max(rn) FILTER (event_type = 'click') AS u, max(rn) FILTER (event_type = 'error') AS i, max(rn) FILTER (event_type IN ('signup', 'purchase')) AS a FROM e GROUP BY user_id),
+folded AS (SELECT user_id, CASE WHEN useful = 0 AND errors >= 2 AND (a IS NULL OR i > a) THEN 'dormant' ELSE 'active' END AS state, pinned, useful,
+  CASE WHEN useful = 0 THEN errors ELSE (SELECT count(*) FROM e WHERE e.user_id IS NOT DISTINCT FROM g.user_id AND event_type = 'error' AND rn > u) END::BIGINT AS ignored, seen FROM g)"""
+
+
+@query(f"WITH {_FOLDED} SELECT * FROM folded")
 def anchor_lifecycle_fold(spark, sf_dir):
     return state.anchor_lifecycle(tables.table(spark, sf_dir, "events"))
 
 
-@query()
+@query(f"""WITH {_FOLDED}, l AS (SELECT user_id, max(event_id) AS last FROM events GROUP BY user_id)
+SELECT f.*, (1000 + CASE WHEN pinned THEN 500 ELSE 0 END + useful + 10 * useful - 5 * ignored + last / 1000.0::DOUBLE)::DOUBLE AS rank_score FROM folded f JOIN l USING (user_id) WHERE state = 'active' ORDER BY rank_score DESC, user_id LIMIT 64""")
 def anchor_rank_caps(spark, sf_dir):
-    """The 64 active anchors of the highest rank."""
-    anchors = state.anchor_rank(anchor_lifecycle_fold(spark, sf_dir), F.col("seen"), F.lit(0))
-    return anchors.where("state = 'active'").orderBy(F.desc("rank_score"), "user_id").limit(64)
+    """The 64 active anchors of the highest rank: what was useful is their score, their newest event when they were seen."""
+    last = tables.table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("last"))
+    anchors = state.anchor_rank(anchor_lifecycle_fold(spark, sf_dir).join(last, "user_id"), F.col("useful"), F.col("last")).drop("last")
+    return anchors.withColumn("rank_score", F.col("rank_score").cast("double")).where("state = 'active'").orderBy(F.desc("rank_score"), "user_id").limit(64)
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

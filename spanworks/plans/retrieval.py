@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import requests, scoring
-from ..operators import spans
+from ..operators import index, spans
 from ..sources import tables
 from .registry import FILES, query
 
@@ -106,20 +106,11 @@ def lexical_like_route(spark, sf_dir):
     return docs.select("doc_id", F.explode(F.filter(terms, lambda t: F.col("low").contains(t))).alias("term")).select("term", "doc_id")
 
 
-@query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+@query(r"SELECT item_id, doc_id FROM benchmark b JOIN documents d ON regexp_matches(b.text, '\S') AND contains(d.text, b.text)")
 def fts_phrase_route(spark, sf_dir):
-    """Documents that contain a passage: they share its words 2 to 4 somewhere (a join), then the text is compared. Those
-    words are whole words of the document only where a fifth follows; shorter passages are looked for in each text."""
-    words = F.regexp_extract_all("text", F.lit(r"[^\s]+"), F.lit(0))
-    # The last word of the first five may go on in the document, so the shingle is of the whole words inside.
-    keys = tables.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), F.array_join(F.slice(words, 2, 3), " ").alias("key"), F.size(words).alias("n"))
-    docs = tables.table(spark, sf_dir, "documents").select("doc_id", "text", words.alias("words"))
-    shingles = F.array_distinct(F.transform(F.slice("words", 1, F.greatest(F.size("words") - 2, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get("words", i + 1), F.get("words", i + 2))))
-    routed, short = keys.where("n >= 5"), keys.where("n < 5").select("item_id", "passage")
-    found = docs.select("doc_id", F.explode(shingles).alias("key")).join(routed.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    both = found.join(routed.select("item_id", "passage"), "item_id").join(docs.select("doc_id", "text"), "doc_id")
-    whole = both.where(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
-    return whole.union(docs.select("doc_id", "text").join(short, F.col("text").contains(F.col("passage"))).select("item_id", "doc_id"))
+    """Documents that contain a passage, by a positional index of their words."""
+    docs, items = tables.table(spark, sf_dir, "documents").select("doc_id", "text"), tables.table(spark, sf_dir, "benchmark")
+    return index.passages(docs, "doc_id", "text", items, "item_id", "text").select("item_id", "doc_id")
 
 
 _ROUTES = f"""routes AS (SELECT doc_id, 1 AS step, 'fts_lexical' AS route FROM documents WHERE len(list_filter([{_LIST}], lambda t: contains(lower(text), t))) > 0
