@@ -107,14 +107,16 @@ def page_link_spans(spark, sf_dir):
     return tables.page_links(spark, sf_dir).select("page_id", "ordinal", "href")
 
 
-@query(r"""WITH h AS (SELECT page_id, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS label, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages),
+@query(r"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<h[1-6][^>]*>([^<]*)</h[1-6]>', 1)) AS label, unnest(range(1, len(regexp_extract_all(html, '(?i)<h[1-6][^>]*>([^<]*)</h[1-6]>', 1)) + 1))::BIGINT AS ordinal FROM pages),
 s AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(label)), '[`*_~\[\]()]', '', 'g'), '[^\p{L}\p{N}\s-]', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g') AS base FROM h),
-n AS (SELECT *, row_number() OVER (PARTITION BY host, base ORDER BY page_id) - 1 AS n FROM s)
-SELECT page_id, base, CASE WHEN n = 0 THEN base ELSE base || '-' || n END AS anchor FROM n""")
+n AS (SELECT *, row_number() OVER (PARTITION BY page_id, base ORDER BY ordinal) - 1 AS n FROM s)
+SELECT page_id, ordinal, base, CASE WHEN n = 0 THEN base ELSE base || '-' || n END AS anchor FROM n""")
 def page_heading_slugs(spark, sf_dir):
-    pages = tables.table(spark, sf_dir, "pages")
-    heads = pages.select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), classify.slug(F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1)).alias("base"))
-    return spans.duplicate_slugs(heads, "host", "base", "page_id").select("page_id", "base", "anchor")
+    """The anchors of all headings of each page."""
+    labels = F.regexp_extract_all("html", F.lit("(?i)<h[1-6][^>]*>([^<]*)</h[1-6]>"), F.lit(1))
+    heads = tables.table(spark, sf_dir, "pages").select("page_id", F.posexplode(labels).alias("at", "label"))
+    heads = heads.select("page_id", (F.col("at") + 1).cast("long").alias("ordinal"), classify.slug(F.col("label")).alias("base"))
+    return spans.duplicate_slugs(heads, "page_id", "base", "ordinal").select("page_id", "ordinal", "base", "anchor")
 
 
 @query("SELECT conv_id, turn, role, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS ordinal FROM conversations")
@@ -215,9 +217,14 @@ def feature_projection(spark, sf_dir):
     return pages.select("page_id", F.concat(F.lit("feature:"), F.sha1(F.concat(F.lit("page"), "title", F.col("page_id").cast("string")))).alias("feature_id"), "title")
 
 
-@query("SELECT p_brand AS source, count(*)::BIGINT AS features, array_to_string(list_sort(list(DISTINCT p_name)), '|') AS titles FROM part GROUP BY p_brand")
+@query("""WITH t AS (SELECT p_brand AS source, p_name AS title, count(*) AS n FROM part GROUP BY ALL)
+SELECT source, sum(n) OVER (PARTITION BY source)::BIGINT AS features, title, row_number() OVER (PARTITION BY source ORDER BY title) AS ordinal FROM t""")
 def feature_tree(spark, sf_dir):
-    return tables.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("source")).agg(F.count("*").alias("features"), F.array_join(F.array_sort(F.collect_set("p_name")), "|").alias("titles"))
+    """Sources with their features below them: a row for each title, numbered within its source, and how many there are."""
+    titles = tables.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("source"), F.col("p_name").alias("title")).agg(F.count("*").alias("n"))
+    totals = titles.groupBy(F.col("source").alias("of")).agg(F.sum("n").alias("features"))
+    ordinal = F.row_number().over(Window.partitionBy("source").orderBy("title")).cast("long")
+    return titles.withColumn("ordinal", ordinal).join(totals, F.col("source").eqNullSafe(F.col("of"))).select("source", "features", "title", "ordinal")
 
 
 @query("SELECT event_id, ts, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")

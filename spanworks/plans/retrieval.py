@@ -73,23 +73,26 @@ def coverage_plan_caps(spark, sf_dir):
     return counts.join(shown, F.col("of").eqNullSafe(F.col("lang"))).select(F.col("of").alias("lang"), "paths", F.greatest(F.col("total") - 5, F.lit(0)).alias("omitted"))
 
 
-def budgeted(ranked, budget: int):
-    """The rows of (lang, n, cost) that a greedy budget by n can keep: of each cost the first floor(budget / cost) + 1.
-    Once a row of a cost does not fit, no later one of it does; the one more is for the first row, which is kept anyhow."""
-    nth = F.row_number().over(Window.partitionBy("lang", "cost").orderBy("n"))
-    return ranked.withColumn("_nth", nth).where(F.col("_nth") <= F.floor(F.lit(budget) / F.col("cost")) + 1).drop("_nth")
+def budgeted(rows, budget: int, *order):
+    """The rows of (lang, cost) that a greedy budget in some order can keep: of each cost the first
+    floor(budget / cost) + 1. Once a row of a cost does not fit, no later one of it does; the one more is for the first row,
+    which is kept anyhow. Spark cuts such ranks before it shuffles, so no task sees a whole language."""
+    nth = F.row_number().over(Window.partitionBy("lang", "cost").orderBy(*order))
+    return rows.withColumn("_nth", nth).where(F.col("_nth") <= F.floor(F.lit(budget) / F.col("cost")) + 1).drop("_nth")
 
 
 @query(f"""WITH RECURSIVE {_SCORED}, ranked AS (SELECT lang, path, (30 + 8 * hits)::BIGINT AS cost, row_number() OVER (PARTITION BY lang ORDER BY score DESC, path) AS n FROM scored),
 walk AS (SELECT lang, path, n, cost AS used, true AS kept FROM ranked WHERE n = 1
   UNION ALL SELECT r.lang, r.path, r.n, CASE WHEN w.used + r.cost <= 120 THEN w.used + r.cost ELSE w.used END, w.used + r.cost <= 120 FROM walk w JOIN ranked r ON r.lang = w.lang AND r.n = w.n + 1)
-SELECT lang, path, n::BIGINT AS n FROM walk WHERE kept""")
+SELECT lang, path FROM walk WHERE kept""")
 def token_budget_greedy(spark, sf_dir):
-    """A budget for each language; the fold is over the first ranked targets of each cost of one language."""
-    cost = (30 + 8 * F.col("hits")).cast("long")
-    ranked = scored(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), "path"))).withColumn("cost", cost)
-    each = budgeted(ranked, 120).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct(F.col("n").cast("long").alias("n"), "path", "cost"))).alias("targets"))
-    return each.select("lang", F.inline(spans.greedy_budget(F.col("targets"), F.lit(120)))).select("lang", "path", "n")
+    """A budget for each language; the fold is over the first targets of each cost of one language."""
+    rows = scored(spark, sf_dir).withColumn("cost", (30 + 8 * F.col("hits")).cast("long"))
+    few = F.floor(F.lit(120) / 38) + 1  # no cost is below 38, so a rank beyond this is not kept of any
+    nth = F.row_number().over(Window.partitionBy("lang", "cost").orderBy(F.desc("score"), "path"))
+    rows = rows.withColumn("_nth", nth).where(F.col("_nth") <= few).drop("_nth")
+    each = budgeted(rows, 120, F.desc("score"), "path").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "path", "cost"))).alias("targets"))
+    return each.select("lang", F.inline(spans.greedy_budget(F.col("targets"), F.lit(120)))).select("lang", "path")
 
 
 @query("SELECT page_id, url, CASE WHEN ends_with(url, '/en/') THEN 0 WHEN contains(url, '/en/1') THEN 1 ELSE 2 END AS match_rank FROM pages WHERE contains(url, '/en/') ORDER BY match_rank, length(url), url, page_id LIMIT 100")

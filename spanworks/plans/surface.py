@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import classify, paths
+from ..operators import scope
 from ..sources.spans import SPANS, spans
 from ..sources.tables import table
 from .registry import query
@@ -107,13 +108,14 @@ def boundary_warnings(spark, sf_dir):
     return every.withColumn("warning", F.when(F.col("backups") > 0, "backup").when(F.col("root").isin("vendor", "dist"), "artifact"))
 
 
-@query(f"""WITH {SPANS}, d AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir FROM spans WHERE doc_id % 29 = 0), n AS (SELECT path, min(doc_id) AS doc_id FROM spans WHERE role <> 'generated_file' GROUP BY path)
-SELECT path FROM n WHERE regexp_replace(path, '/[^/]*$', '') IN (SELECT dir FROM d) ORDER BY path LIMIT 1000""")
+@query(f"""WITH {SPANS}, d AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir FROM spans WHERE doc_id % 29 = 0), n AS (SELECT DISTINCT path FROM spans WHERE role <> 'generated_file'),
+r AS (SELECT path, row_number() OVER (ORDER BY path) AS n, count(*) OVER () AS total FROM n WHERE regexp_replace(path, '/[^/]*$', '') IN (SELECT dir FROM d))
+SELECT path, greatest(total - {scope.MOST_EXPANDED}, 0)::BIGINT AS omitted FROM r WHERE n <= {scope.MOST_EXPANDED}""")
 def changed_path_expansion(spark, sf_dir):
-    """Changed folders as the text files in them, a thousand at most."""
-    every = spans(spark, sf_dir).withColumn("dir", F.regexp_replace("path", "/[^/]*$", ""))
-    changed = every.where("doc_id % 29 = 0").select("dir").distinct()
-    return every.where(paths.text_path(F.col("path"))).select("path", "dir").distinct().join(changed, "dir", "left_semi").select("path").orderBy("path").limit(1000)
+    """Changed folders as the text files in them, so many at most, and how many more there are."""
+    every = spans(spark, sf_dir)
+    changed = every.where("doc_id % 29 = 0").select(F.regexp_replace("path", "/[^/]*$", "").alias("path"))
+    return scope.expanded(changed, every.select("path"))
 
 
 @query(f"""WITH {SPANS}, old AS (SELECT span_id, sha1(text) AS h FROM spans), now AS (SELECT span_id, CASE WHEN doc_id % 7 = 0 THEN sha1(text || '!') WHEN doc_id % 11 = 0 THEN NULL ELSE sha1(text) END AS h FROM spans)

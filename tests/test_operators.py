@@ -137,7 +137,7 @@ def test_budget_collects_few_and_keeps_the_same(spark):
     ranked = {lang: [(n, rng.choice(costs)) for n in range(1, 401)] for lang, costs in (("a", (38, 46, 54, 70)), ("b", (130, 140)), ("c", (62, 38)))}
     rows = spark.createDataFrame([(lang, n, c) for lang, each in ranked.items() for n, c in each], "lang string, n long, cost long")
     few = {}
-    for r in retrieval.budgeted(rows, 120).orderBy("lang", "n").collect():
+    for r in retrieval.budgeted(rows, 120, "n").orderBy("lang", "n").collect():
         few.setdefault(r.lang, []).append((r.n, r.cost))
 
     def greedy(each):
