@@ -198,3 +198,31 @@ def coverage_plan(chosen: DataFrame, requests: DataFrame, key: str, most: int =
     return rows.select(
         key, F.array_distinct(F.concat("old", "new", "symbol", "config")).alias("sweeps"), F.when(F.size(asked) > 0, asked).otherwise(F.col("present")).alias("roles"), cut("every_doc").alias("docs"), cut("every_test").alias("tests"),
         F.greatest(F.size("every_doc") - most, F.lit(0)).alias("docs_omitted"), F.greatest(F.size("every_test") - most, F.lit(0)).alias("tests_omitted"), F.array_sort(F.array_except("roles", "present")).alias("missing"))
+
+
+def evidence_bundle(rows: DataFrame, edges: DataFrame, key: str, most: int = 3) -> DataFrame:
+    """(key, span_id, routes, evidence, linked, risk, stale, warnings, redacted) of candidates: the first `most` terms that they hold,
+    by kind (text, symbol, config), and their surest links. Links are ranked for the candidates alone, and cut before they
+    are shuffled."""
+    held = lambda kind, terms, text: F.transform(F.slice(F.filter(F.col(terms), lambda t: F.lower(text).contains(F.lower(t))), 1, 5), lambda t: F.concat(F.lit(kind + ":"), t))
+    texts = F.concat_ws("\n", *SEARCHED), F.concat_ws("\n", "label", "text", "symbol_path"), F.concat_ws("\n", "label", "text", "metadata")
+    found = F.concat(held("direct_text_match", "exact", texts[0]), held("symbol_match", "symbol", texts[1]), held("config_match", "config", texts[2]))
+    ids = rows.select(F.col("span_id").alias("node")).distinct()
+    ends = edges.select(F.col("source_id").alias("node"), F.col("target_id").alias("other"), "confidence").union(edges.select("target_id", "source_id", "confidence")).join(ids, "node", "left_semi")
+    best = ends.distinct().withColumn("_n", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("confidence"), "other"))).where(F.col("_n") <= most)
+    linked = best.groupBy(F.col("node").alias("span_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "other"))), lambda x: x["other"]).alias("linked_spans"))
+    return rows.join(linked, "span_id", "left").select(
+        key, "span_id", "routes", F.slice(found, 1, most).alias("evidence"), F.coalesce("linked_spans", F.array().cast("array<string>")).alias("linked"), "risk", "stale", F.size("boundary.warnings").alias("warnings"), "redacted")
+
+
+def from_inventory(requests: DataFrame, files: DataFrame, key: str, most: int = 250) -> DataFrame:
+    """(key, path, rank): the files (path, role, language) that requests fit by path, role or language: what is left to answer
+    with where there are no spans, and what of an inventory has none. Files with a path term come first, then shorter
+    paths; `most` of a request."""
+    wanted = searches(requests, key).where("field <> 'role'").select(key, F.lower("term").alias("low")).distinct()
+    rows = files.withColumn("_where", F.concat_ws("\n", "path", "role", "language"))
+    hits = index.like_hits(rows, "path", ["_where"], wanted.select("low").distinct(), "low").join(wanted, "low")
+    by_role = searches(requests, key).where("field = 'role'").select(key, F.col("term").alias("role")).join(files.select("path", "role"), "role").select(key, "path")
+    each = hits.select(key, "path", F.lower("path").contains(F.col("low")).alias("_in")).union(by_role.select(key, "path", F.lit(False))).groupBy(key, "path").agg(F.max("_in").alias("_in"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_in"), F.char_length("path"), "path"))
+    return each.withColumn("rank", rank).where(F.col("rank") <= most).select(key, "path", "rank")

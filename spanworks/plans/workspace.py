@@ -6,8 +6,7 @@ import uuid
 
 from pyspark.sql import Window, functions as F
 
-from ..functions import classify
-from ..operators import graph, intervals, redact, state, verify, windows
+from ..operators import anchors, features, graph, intervals, redact, state, verify, windows
 from ..sources import corpus, tables
 from ..sources.corpus import SPANS_SQL
 from ..sources.snapshots import Snapshots
@@ -205,3 +204,54 @@ def refresh_report(spark, sf_dir):
     """What each version of that table changed; the delta without a change made none."""
     made = {v.version: (v.version, v.rows, v.added, v.modified, v.deleted) for v in _refreshed(spark, sf_dir)[1]}
     return spark.createDataFrame(list(made.values()), "version long, rows long, added long, modified long, deleted long")
+
+
+_COMMANDS = """cmds AS (SELECT event_id AS seq, user_id, CASE event_type WHEN 'error' THEN CASE WHEN value > 200 THEN 'retire' ELSE 'demote' END ELSE 'promote' END AS action, event_type = 'purchase' AND value > 150 AS pin,
+  CASE WHEN value > 60 THEN 'archived' ELSE 'dormant' END AS st FROM events WHERE event_type IN ('signup', 'purchase', 'error')),
+begun AS (SELECT user_id, min(seq) FILTER (action = 'promote') AS b FROM cmds GROUP BY user_id), live AS (SELECT c.* FROM cmds c JOIN begun USING (user_id) WHERE seq >= b),
+gone AS (SELECT user_id, min(seq) FILTER (action = 'retire') AS r FROM live GROUP BY user_id), done AS (SELECT l.* FROM live l JOIN gone USING (user_id) WHERE r IS NULL OR seq <= r),
+after_ AS (SELECT 'users/' || user_id || '.md' AS path, arg_max(CASE action WHEN 'promote' THEN 'active' WHEN 'retire' THEN 'tombstoned' ELSE st END, seq) AS state, bool_or(pin AND action = 'promote') AS pinned, max(seq)::DOUBLE AS last_seen FROM done GROUP BY user_id)"""
+
+
+def _commanded(spark, sf_dir):
+    """Events as commands over anchors of users: sign-ups and purchases promote, errors demote or, from a value on, retire."""
+    events = tables.table(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "purchase", "error"))
+    action = F.when(F.col("event_type") == "error", F.when(F.col("value") > 200, "retire").otherwise("demote")).otherwise("promote")
+    commands = events.select(F.col("event_id").alias("seq"), action.alias("action"), F.concat(F.lit("./users/"), F.col("user_id").cast("string"), F.lit(".md")).alias("path"),
+        F.when(F.col("value") > 60, "archived").otherwise("dormant").alias("state"), ((F.col("event_type") == "purchase") & (F.col("value") > 150)).alias("pinned"))
+    none = spark.createDataFrame([], "path string, state string, pinned boolean, score double, confidence double, last_seen double")
+    return anchors.commanded(none, commands)
+
+
+@query(f"WITH {_COMMANDS} SELECT path, state, pinned, last_seen, 100.0::DOUBLE AS score FROM after_")
+def anchor_commands(spark, sf_dir):
+    return _commanded(spark, sf_dir)[0].select("path", "state", "pinned", "last_seen", "score")
+
+
+@query(f"WITH {_COMMANDS} SELECT seq, 'users/' || user_id || '.md' AS path, 'no such anchor' AS warning FROM cmds LEFT JOIN begun USING (user_id) WHERE b IS NULL OR seq < b")
+def anchor_command_warnings(spark, sf_dir):
+    return _commanded(spark, sf_dir)[1]
+
+
+@query(f"""WITH {_COMMANDS}, n AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY last_seen DESC, path) AS n FROM after_)
+SELECT state, count(*)::BIGINT AS n, array_to_string(list(path ORDER BY n) FILTER (n <= 10), ',') AS shown, greatest(count(*) - 10, 0)::BIGINT AS omitted FROM n GROUP BY state""")
+def anchor_status(spark, sf_dir):
+    """How many anchors are in each state after the commands, and those seen last."""
+    return anchors.status(_commanded(spark, sf_dir)[0].withColumn("rank_score", F.col("last_seen"))).select("state", "n", F.array_join("shown", ",").alias("shown"), "omitted")
+
+
+@query(f"""WITH {EDGES}, s AS (SELECT DISTINCT node, other FROM (SELECT source_id AS node, target_id AS other FROM edges WHERE confidence >= 0.6 UNION ALL SELECT target_id, source_id FROM edges WHERE confidence >= 0.6))
+SELECT 'nation:' || n_nationkey AS id, other AS linked FROM nation LEFT JOIN s ON node = 'nation:' || n_nationkey""")
+def feature_clusters(spark, sf_dir):
+    """Nations as features, and all that sure edges link to them."""
+    nodes = tables.table(spark, sf_dir, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("id"))
+    return features.clusters(nodes, tables.edges(spark, sf_dir, once=False))
+
+
+@query(f"""WITH {SPANS_SQL}, safe AS (SELECT * FROM spans WHERE NOT regexp_matches(path, '(^|/)(dist|build|logs|archive|backup)/') AND len(list_filter([{", ".join(repr(t) for t in features.FORBIDDEN)}], lambda t: contains(lower(concat_ws(chr(10), path, label, summary, text)), t))) = 0)
+SELECT 'directories' AS section, split_part(path, '/', 1) AS path, 'design_doc' AS label, NULL AS kind, count(*)::BIGINT AS n FROM safe GROUP BY 2
+UNION ALL SELECT 'documents', path, label, 'design_doc', 1 FROM safe UNION ALL SELECT 'links', heading_id, span_id, 'contains 1.00', 1 FROM safe WHERE heading_id <> span_id""")
+def repository_map(spark, sf_dir):
+    """The map of all documents and pages: top folders, documents, and which heading each span stands under."""
+    every = staged(corpus.spans(spark, sf_dir))
+    return features.repository_map(every, corpus.contains_edges(every))
