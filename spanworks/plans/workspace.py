@@ -40,16 +40,24 @@ def line_window_relocation(spark, sf_dir):
 _NAME = lambda text, n: f"array_to_string(regexp_extract_all(lower({text}), '[a-z]+')[1:{n}], '_')"
 
 
-@query(f"""WITH s AS (SELECT DISTINCT 'src/' || {_NAME("text", 1)} || '.ts' AS source, {_NAME("text", 1)} AS stem FROM documents), cs AS (SELECT source, unnest(list_distinct([stem, regexp_replace(stem, '^(check_|verify_|validate_|run_)(..)', '\\2')])) AS stem FROM s WHERE stem <> ''),
-t AS (SELECT DISTINCT {_NAME("text", 6)} AS name FROM conversations), w AS (SELECT 'tests/test_' || name || '.py' AS test, name, string_split(name, '_') AS words FROM t WHERE name <> ''),
+_TITLE = "regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)"
+
+
+@query(f"""WITH s AS (SELECT DISTINCT {_NAME(_TITLE, 3)} AS stem FROM pages), sw AS (SELECT 'src/' || stem || '.ts' AS source, stem, string_split(stem, '_') AS words FROM s WHERE stem <> ''),
+cs AS (SELECT source, unnest(list_distinct(list_concat([stem, regexp_replace(stem, '^(check_|verify_|validate_|run_)(..)', '\\2')], list_transform(range(2, len(words)), lambda i: array_to_string(words[i:], '_'))))) AS stem FROM sw),
+t AS (SELECT DISTINCT {_NAME("text", 10)} AS name FROM documents), w AS (SELECT 'tests/test_' || name || '.py' AS test, name, string_split(name, '_') AS words FROM t WHERE name <> ''),
 ct AS (SELECT test, unnest(list_distinct(list_concat(['test_' || name, regexp_replace(name, '^(test_|spec_)(..)', '\\2'), CASE WHEN len(words) >= 2 THEN name END], list_transform(range(1, len(words)), lambda i: array_to_string(words[i:], '_'))))) AS stem FROM w)
 SELECT DISTINCT source, test FROM cs JOIN ct ON cs.stem = ct.stem OR length(cs.stem) >= 8 AND contains(ct.stem, cs.stem)""")
 def linked_tests_heuristic(spark, sf_dir):
-    """Sources named after the first word of each document, and the tests, named after the first six words of each turn,
-    whose names speak of them."""
-    named = lambda name, n: F.array_join(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), 1, n), "_").alias(name)
-    paths_of = lambda table, n, front, end: tables.table(spark, sf_dir, table).select(named("n", n)).where("n <> ''").distinct().select(F.concat(F.lit(front), "n", F.lit(end)).alias("path"))
-    return verify.likely_tests(paths_of("documents", 1, "src/", ".ts"), paths_of("conversations", 6, "tests/test_", ".py"))
+    """Sources named after the first three words of each page's title, and the tests, named after the first ten words of each
+    document, whose names speak of them."""
+
+    def paths_of(text, n, front, end):
+        name = F.array_join(F.slice(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), 1, n), "_")
+        return lambda table: tables.table(spark, sf_dir, table).select(name.alias("n")).where("n <> ''").distinct().select(F.concat(F.lit(front), "n", F.lit(end)).alias("path"))
+
+    title = F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1)
+    return verify.likely_tests(paths_of(title, 3, "src/", ".ts")("pages"), paths_of(F.col("text"), 10, "tests/test_", ".py")("documents"))
 
 
 _PAIRED = ["html", "body", "nav", "ul", "li", "article"]
