@@ -86,7 +86,7 @@ def routes(spans: DataFrame, wanted: DataFrame, key: str, limits: Limits = Limit
     in_path = best(in_path, "low", F.when(_named_path(F.col("low")), limits.exact_paths).otherwise(limits.paths), fit, F.char_length("path"))
     roles = best(spans.select("span_id", "path", "start_line", F.col("role").alias("term")).join(term("role").select("term"), "term"), "term", limits.roles)
     words = term("word").select("low").distinct()
-    phrases = index.phrase_hits(staged(index.postings(spans, "span_id", SEARCHED)), "span_id", words, "low", index.tokens(F.col("low"))).select("low", "span_id").distinct()
+    phrases = index.phrase_hits(index.postings(spans, "span_id", SEARCHED), "span_id", words, "low", index.tokens(F.col("low"))).select("low", "span_id").distinct()
     parts = index.like_hits(spans, "span_id", SEARCHED, words, "low")
     lexical = [best(found.join(place, "span_id"), "low", limits.words) for found in (phrases, parts)]
     return (

@@ -96,7 +96,7 @@ def change_plan(spark, sf_dir):
     rows = locate.ranked(locate.candidates(every, corpus.contains_edges(every), asked, "item_id"), "item_id")
     seeds = staged(locate.targets(rows, "item_id").where("rank <= 5").select("item_id", "path").distinct())
     heads = every.where("kind = 'doc.heading'").select(F.col("span_id").alias("head"), F.col("path").alias("target"), index.tokens(F.col("label")).alias("words"))
-    held = index.phrase_hits(staged(index.postings(every.where("kind <> 'doc.heading'"), "span_id", ["text"])), "span_id", heads, "head", F.col("words")).select("head", "span_id").distinct()
+    held = index.phrase_hits(index.postings(every.where("kind <> 'doc.heading'"), "span_id", ["text"]), "span_id", heads, "head", F.col("words")).select("head", "span_id").distinct()
     links = staged(held.join(heads.select("head", "target"), "head").join(every.select("span_id", F.col("path").alias("source")), "span_id").where("source <> target").select("source", "target").distinct())
     near = seeds.select("item_id", "path", F.lit(0).alias("hops"))
     for a, b in (("target", "source"), ("source", "target")):
