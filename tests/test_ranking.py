@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from spanworks.functions import classify, paths, ranking
 from spanworks.functions.requests import normalize
+from spanworks.queries import QUERIES
 
 
 def test_a_candidate_of_known_score(spark):
@@ -47,3 +48,11 @@ def test_names_of_paths(spark):
         paths.parent_name(F.lit("a.ts:Box.open")).alias("parent"), paths.symbol_path(F.lit("a.ts:Box.open")).alias("symbol"), paths.structured_tokens(F.lit("code.function_of-x")).alias("tokens")).first()
     assert {"check_run_limits_total", "run_limits_total", "limits_total"} <= set(row.aliases) and row.q == "a/b" and len(row.variants) == 15
     assert row.parent == "a.ts:Box" and row.symbol == ["Box", "open"] and row.tokens == ["code", "function"]
+
+
+def test_every_code_span_of_a_label_is_linked(spark, tmp_path):
+    docs = [(0, "alpha one"), (9, "alpha two"), (5, "beta"), (7, "see alpha and beta"), (1, "alpha alpha"), (6, "beta alone")]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = lambda name: sorted((r.source_id, r.target_id) for r in QUERIES[name](spark, str(tmp_path)).collect())
+    assert got("test_call_links") == [("span:7", "span:0"), ("span:7", "span:5"), ("span:7", "span:9")]
+    assert got("inline_code_links") == [("span:1", "span:0"), ("span:1", "span:9"), ("span:6", "span:5")]
