@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..functions import requests, scoring
 from ..operators import index, spans
 from ..sources import tables
+from ..sources.store import staged
 from .registry import FILES, query
 
 #: The request of the registered queries.
@@ -84,15 +85,19 @@ def budgeted(rows, budget: int, *order):
 @query(f"""WITH RECURSIVE {_SCORED}, ranked AS (SELECT lang, path, (30 + 8 * hits)::BIGINT AS cost, row_number() OVER (PARTITION BY lang ORDER BY score DESC, path) AS n FROM scored),
 walk AS (SELECT lang, path, n, cost AS used, true AS kept FROM ranked WHERE n = 1
   UNION ALL SELECT r.lang, r.path, r.n, CASE WHEN w.used + r.cost <= 120 THEN w.used + r.cost ELSE w.used END, w.used + r.cost <= 120 FROM walk w JOIN ranked r ON r.lang = w.lang AND r.n = w.n + 1)
-SELECT lang, path FROM walk WHERE kept""")
+SELECT lang, path, n::BIGINT AS n FROM walk WHERE kept""")
 def token_budget_greedy(spark, sf_dir):
-    """A budget for each language; the fold is over the first targets of each cost of one language."""
-    rows = scored(spark, sf_dir).withColumn("cost", (30 + 8 * F.col("hits")).cast("long"))
-    few = F.floor(F.lit(120) / 38) + 1  # no cost is below 38, so a rank beyond this is not kept of any
-    nth = F.row_number().over(Window.partitionBy("lang", "cost").orderBy(F.desc("score"), "path"))
-    rows = rows.withColumn("_nth", nth).where(F.col("_nth") <= few).drop("_nth")
+    """A budget for each language, and the rank of what it keeps among all targets of the language; the fold is over the first
+    targets of each cost of one language. Few are kept, so a rank is one more than the targets counted before it: no task
+    sorts a whole language."""
+    rows = staged(scored(spark, sf_dir).select("lang", "path", "score", (30 + 8 * F.col("hits")).cast("long").alias("cost")))
     each = budgeted(rows, 120, F.desc("score"), "path").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "path", "cost"))).alias("targets"))
-    return each.select("lang", F.inline(spans.greedy_budget(F.col("targets"), F.lit(120)))).select("lang", "path")
+    kept = each.select("lang", F.inline(spans.greedy_budget(F.col("targets"), F.lit(120)))).select("lang", "path", "order")
+    kept = staged(kept.withColumn("_same", F.row_number().over(Window.partitionBy("lang", "order", "path").orderBy("path"))))
+    other = rows.select(F.col("lang").alias("_lang"), F.col("path").alias("_path"), (-F.col("score")).alias("_order"))
+    before = (F.col("_order") < F.col("order")) | ((F.col("_order") == F.col("order")) & (F.col("_path") < F.col("path")))
+    counted = other.join(F.broadcast(kept), F.col("_lang").eqNullSafe(F.col("lang"))).groupBy("lang", "path", "order", "_same")
+    return counted.agg(F.count_if(before).alias("_before")).select("lang", "path", (F.col("_before") + F.col("_same")).alias("n"))
 
 
 @query("SELECT page_id, url, CASE WHEN ends_with(url, '/en/') THEN 0 WHEN contains(url, '/en/1') THEN 1 ELSE 2 END AS match_rank FROM pages WHERE contains(url, '/en/') ORDER BY match_rank, length(url), url, page_id LIMIT 100")

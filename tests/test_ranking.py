@@ -56,3 +56,13 @@ def test_every_code_span_of_a_label_is_linked(spark, tmp_path):
     got = lambda name: sorted((r.source_id, r.target_id) for r in QUERIES[name](spark, str(tmp_path)).collect())
     assert got("test_call_links") == [("span:7", "span:0"), ("span:7", "span:5"), ("span:7", "span:9")]
     assert got("inline_code_links") == [("span:1", "span:0"), ("span:1", "span:9"), ("span:6", "span:5")]
+
+
+def test_a_kept_target_has_its_rank_among_all(spark, tmp_path):
+    # The first costs 62, as the second, which does not fit beside it; the third, of 54, does.
+    texts = ["onesen erblest inenan eranenes", "onesen erblest inenan eranenes", "onesen erblest inenan", "onesen"]
+    rows = [(i, t, lang, "s", len(t)) for lang, at in (("en", 10), ("de", 20)) for i, t in enumerate(texts, at)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted(tuple(r) for r in QUERIES["token_budget_greedy"](spark, str(tmp_path)).select("lang", "path", "n").collect())
+    assert got == [("de", "s/de/20", 1), ("de", "s/de/22", 3), ("en", "s/en/10", 1), ("en", "s/en/12", 3)]
