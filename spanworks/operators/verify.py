@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import classify, paths
+from ..sources.store import staged
 from . import index, spans
 
 
@@ -54,15 +55,20 @@ def likely_tests(sources: DataFrame, tests: DataFrame) -> DataFrame:
     """(source, test): paths of tests (column path) whose name speaks of a source's: a stem of both is the same, or a source's
     stem of LEAST_STEM characters or more is part of a test's, or its whole name up to a dot. Equal stems are an equal
     join; parts are found by n-grams, over distinct stems. A path that is on both sides is no test of itself."""
-    stems = lambda rows, name, prefixes: rows.select(F.col("path").alias(name), F.explode(paths.stem_aliases(F.col("path"), prefixes)).alias("stem")).distinct()
-    ours, theirs = stems(sources, "source", paths.SOURCE_PREFIXES), stems(tests, "test", paths.TEST_PREFIXES)
+    tests = staged(tests.select("path").distinct())
+    of = lambda rows, name, prefixes: rows.select(F.col("path").alias(name), paths.stem_aliases(F.col("path"), prefixes).alias("stems"))
+    ours, named = staged(of(sources, "source", paths.SOURCE_PREFIXES).select("source", F.explode("stems").alias("stem"))), staged(of(tests, "test", paths.TEST_PREFIXES))
+    theirs = named.select("test", F.explode("stems").alias("stem"))
+    # What lies in a stem that is part of another one lies in that one too.
+    whole = named.select("test", F.explode(F.filter("stems", lambda x: ~F.exists("stems", lambda y: (y != x) & y.contains(x)))).alias("word"))
     name = F.lower(classify.basename(F.col("path")))
     dotted = F.transform(F.sequence(F.lit(1), F.size(F.split(name, "[.]"))), lambda i: F.array_join(F.slice(F.split(name, "[.]"), F.lit(1), i), "."))
     fronts = tests.where(name.contains(".")).select(F.col("path").alias("test"), F.explode(F.slice(dotted, F.lit(1), F.size(dotted) - 1)).alias("stem"))
     long = ours.where(F.char_length("stem") >= LEAST_STEM)
-    parts = index.containing(long.select("stem").distinct(), "stem", theirs.select(F.col("stem").alias("word")).distinct(), "word")
-    within = long.join(parts, "stem").join(theirs.withColumnRenamed("stem", "word"), "word")
-    found = ours.join(theirs, "stem").select("source", "test").union(within.select("source", "test")).union(long.join(fronts, "stem").select("source", "test"))
+    parts = index.containing(long.select("stem").distinct(), "stem", whole.select("word").distinct(), "word", LEAST_STEM)
+    # Stems of one name compress well, so by its size on disk Spark would send a table to all that is much larger in memory.
+    within = long.join(parts.hint("merge"), "stem").join(whole.hint("merge"), "word")
+    found = ours.join(theirs.hint("merge"), "stem").select("source", "test").union(within.select("source", "test")).union(long.join(fronts.hint("merge"), "stem").select("source", "test"))
     return found.where("source <> test").distinct()
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanworks.functions import requests
-from spanworks.operators import index, locate
+from spanworks.operators import index, locate, verify
 from spanworks.plans import ranking as plan
 from spanworks.sources import corpus
 
@@ -97,3 +97,14 @@ def test_passages_beside_brute_force(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     found = index.passages(docs, "doc_id", "text", spark.createDataFrame(list(items.items()), "item_id long, p string"), "item_id", "p").collect()
     assert sorted(map(tuple, found)) == sorted((i, d) for i, p in items.items() for d, t in texts.items() if p and p.strip() and t and p in t)
+
+
+def test_parts_by_long_grams_and_without_broadcasts_of_names(spark):
+    words = ["alpha_beta_gamma", "beta_gam", "gamma_alpha_beta_x", "zzz", "alpha_bet"]
+    terms = ["alpha_beta", "beta_gam", "gamma_alpha", "not_there_at_all"]
+    frame = lambda values, name: spark.createDataFrame([(v,) for v in values], f"{name} string")
+    got = {(r.t, r.w) for r in index.containing(frame(terms, "t"), "t", frame(words, "w"), "w", 8).collect()}
+    assert got == {(t, w) for t in terms for w in words if t in w}
+    found = verify.likely_tests(frame(["src/alpha_beta_gamma.ts"], "path"), frame(["tests/test_x_alpha_beta_gamma_y.py", "tests/test_alpha.py"], "path"))
+    assert [tuple(r) for r in found.collect()] == [("src/alpha_beta_gamma.ts", "tests/test_x_alpha_beta_gamma_y.py")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") == 4
