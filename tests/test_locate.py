@@ -108,3 +108,12 @@ def test_parts_by_long_grams_and_without_broadcasts_of_names(spark):
     found = verify.likely_tests(frame(["src/alpha_beta_gamma.ts"], "path"), frame(["tests/test_x_alpha_beta_gamma_y.py", "tests/test_alpha.py"], "path"))
     assert [tuple(r) for r in found.collect()] == [("src/alpha_beta_gamma.ts", "tests/test_x_alpha_beta_gamma_y.py")]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") == 4
+
+
+def test_words_of_rows_without_places(spark):
+    rows = spark.createDataFrame([(1, "The end, the END", None), (2, "ending", "the"), (3, None, None)], "id int, a string, b string")
+    words = spark.createDataFrame([("the",), ("end.",), ("none",)], "w string")
+    got = index.word_hits(rows, "id", ["a", "b"], words, "w", index.tokens(F.col("w"))[0])
+    assert sorted(tuple(r) for r in got.collect()) == [("end.", 1), ("the", 1), ("the", 2)]
+    again = index.like_hits(rows, "id", ["a", "b"], words.where("w = 'the'"), "w", once=False)
+    assert {tuple(r) for r in again.collect()} == {("the", 1), ("the", 2)}
