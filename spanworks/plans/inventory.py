@@ -78,8 +78,8 @@ def _redaction_sql() -> str:
 @query(_redaction_sql())
 def redact_secrets(spark, sf_dir):
     text, kinds = classify.redacted(F.col("text"))
-    found = tables.table(spark, sf_dir, "documents").select("doc_id", text.alias("t"), kinds.alias("k"))
-    return found.where(F.size("k") > 0).select("doc_id", F.sha1("t").alias("redacted_hash"), F.array_join("k", ",").alias("kinds"))
+    found = tables.table(spark, sf_dir, "documents").where(classify.any_redacted(F.col("text"))).select("doc_id", text.alias("t"), kinds.alias("k"))
+    return found.select("doc_id", F.sha1("t").alias("redacted_hash"), F.array_join("k", ",").alias("kinds"))
 
 
 @query("SELECT doc_id, length(left(text, 1024))::BIGINT AS kept, sha1(left(text, 1024)) AS hash, (length(text) > 1024) AS cut FROM documents")

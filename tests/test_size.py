@@ -41,3 +41,22 @@ def test_phrases_of_frequent_words_write_little(spark, monkeypatch):
     near = next(x for x in seen if x.columns == ["_no", "_at"])
     alone = sum(s == "a b c a b" for s, p in said) * sum("a" in t for t in words)  # what the places of one word would give for one phrase
     assert near.count() < alone / 4
+
+
+def test_redaction_takes_each_step_once(spark):
+    text, kinds = classify.redacted(F.col("t"))
+    rows = spark.createDataFrame([("mail a.b@c.org, password: hunter22hunter",), ("token @ secret password",), (None,), ("AKIA" + "A1" * 8,)], "t string")
+    made = rows.select(text.alias("text"), kinds.alias("kinds"), classify.any_redacted(F.col("t")).alias("any"))
+    last = plan(made).split("== Physical Plan ==")[1]
+    assert last.count("regexp_replace(") <= 2 * len(classify.REDACTIONS)
+    assert [(r.text, r.kinds, r.any) for r in made.collect()] == [
+        ("mail [REDACTED:email], [REDACTED:password]", ["password", "email"], True), ("token @ secret password", [], False), (None, [], None), ("[REDACTED:aws_access_key]", ["aws_access_key"], True)]
+
+
+def test_redaction_guards_hold_wherever_a_pattern_fits(spark):
+    held = {"api_key": "API-key = abcdefghijklmnop", "token": "Bearer: " + "x" * 32, "secret": "'SECRET'='abcdefghijklmnop'", "password": "PWD=12345678", "aws_access_key": "xAKIA" + "B" * 16,
+            "private_key": "-----BEGIN PRIVATE KEY-----\nx\n-----END PRIVATE KEY-----", "jwt": "eyJa.eyJb.c", "email": "a@b.co"}
+    rows = spark.createDataFrame(list(held.items()), "kind string, t string")
+    for kind, pattern in classify.REDACTIONS:
+        found = rows.where(F.col("t").rlike(pattern)).select("kind", classify.may_hold(F.col("t"), kind).alias("may")).collect()
+        assert kind in [r.kind for r in found] and all(r.may for r in found)
