@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import classify
+from ..sources.store import staged
 from .graph import both_ways
 from .links import with_confidence
 
@@ -50,13 +51,15 @@ def mapped_spans(spans: DataFrame) -> DataFrame:
     held = F.lit(False)
     for term in FORBIDDEN:
         held = held | text.contains(term)
-    return spans.where((classify.layer(F.col("path")) == "business") & (F.col("role") != "experiment_note_doc") & ~held)
+    layers = staged(spans.select("path").where("path is not null").distinct().withColumn("_layer", classify.layer(F.col("path"))))
+    shown = spans.where((F.col("role") != "experiment_note_doc") & ~held).join(layers, "path", "left")
+    return shown.where(F.coalesce("_layer", F.lit("business")) == "business").select(*spans.columns)
 
 
 def repository_map(spans: DataFrame, edges: DataFrame) -> DataFrame:
     """(section, path, label, kind, n) of a map: top directories with their roles, canonical documents, source modules, tests,
     config entries, and sure links between what is shown."""
-    safe = mapped_spans(spans)
+    safe = staged(mapped_spans(spans).select("span_id", "path", "role", "kind", "label"))
     top = F.when(F.col("path").contains("/"), F.substring_index("path", "/", 1)).otherwise(".")
     one, none = F.lit(1).cast("long"), F.lit(None).cast("string")
     roles = safe.groupBy(top.alias("path")).agg(F.array_join(F.array_sort(F.collect_set("role")), ", ").alias("label"), F.count("*").alias("n"))

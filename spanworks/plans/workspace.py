@@ -261,5 +261,5 @@ SELECT 'directories' AS section, split_part(path, '/', 1) AS path, 'design_doc'
 UNION ALL SELECT 'documents', path, label, 'design_doc', 1 FROM safe UNION ALL SELECT 'links', heading_id, span_id, 'contains 1.00', 1 FROM safe WHERE heading_id <> span_id""")
 def repository_map(spark, sf_dir):
     """The map of all documents and pages: top folders, documents, and which heading each span stands under."""
-    every = staged(corpus.spans(spark, sf_dir))
+    every = staged(corpus.spans(spark, sf_dir).select("span_id", "path", "role", "kind", "label", "heading_id", "summary", "text"))
     return features.repository_map(every, corpus.contains_edges(every))

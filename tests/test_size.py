@@ -60,3 +60,13 @@ def test_redaction_guards_hold_wherever_a_pattern_fits(spark):
     for kind, pattern in classify.REDACTIONS:
         found = rows.where(F.col("t").rlike(pattern)).select("kind", classify.may_hold(F.col("t"), kind).alias("may")).collect()
         assert kind in [r.kind for r in found] and all(r.may for r in found)
+
+
+def test_layers_of_a_map_are_told_by_file(spark):
+    spans = [("a.md:1", "a.md", "design_doc", "doc.heading", "A", "A"), ("a.md:2", "a.md", "design_doc", "doc.paragraph", "x", "x"), ("dist/b.md:1", "dist/b.md", "design_doc", "doc.heading", "B", "B"), ("c:1", None, "design_doc", "doc.heading", "C", "C")]
+    rows = spark.createDataFrame(spans, "span_id string, path string, role string, kind string, label string, text string").withColumn("summary", F.col("text"))
+    edges = spark.createDataFrame([("a.md:1", "a.md:2", "contains", 1.0), ("a.md:1", "dist/b.md:1", "contains", 1.0)], "source_id string, target_id string, relation string, confidence double")
+    made = features.repository_map(rows, edges)
+    assert "resources/code" not in plan(made)
+    got = sorted((r.section, r.path or "", r.label, r.n) for r in made.collect())
+    assert [g for g in got if g[0] != "directories"] == [("documents", "", "C", 1), ("documents", "a.md", "A", 1), ("documents", "a.md", "x", 1), ("links", "a.md:1", "a.md:2", 1)]
