@@ -177,11 +177,14 @@ l AS (SELECT page_id, concat_ws('/', 'web', regexp_replace(coalesce(url, ''), '^
 SELECT page_id::VARCHAR AS path, target, fragment FROM l WHERE fragment <> '' AND (target, lower(fragment)) NOT IN (SELECT (path, slug) FROM s)""")
 def stale_anchors(spark, sf_dir):
     """Pages whose own address has a fragment that none of their headings makes."""
-    every = staged(corpus.spans(spark, sf_dir))
-    heads = every.where("kind = 'doc.heading'").select("path", F.col("start_line").alias("line_no"), "label").union(every.select("path", F.lit(0).cast("long"), F.lit(None).cast("string")).distinct())
     place = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[^:]*://|/*(?:[?#].*)?$", "")
     target = F.concat_ws("/", F.lit("web"), place, F.concat(F.col("page_id").cast("string"), F.lit(".md")))
     linked = tables.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), target.alias("target"), F.regexp_extract("url", "#(.*)$", 1).alias("fragment"))
+    linked = staged(linked.where("fragment <> ''"))
+    # Only files that an address with a fragment names are taken apart.
+    named = corpus.files(spark, sf_dir).join(linked.select(F.col("target").alias("path")).distinct(), "path", "left_semi")
+    every = staged(corpus.titled_lines(named).select("path", F.col("start_line").alias("line_no"), F.col("title").alias("label")))
+    heads = every.where("label is not null").union(every.select("path", F.lit(0).cast("long"), F.lit(None).cast("string")).distinct())
     return verify.stale_anchors(linked, heads)
 
 

@@ -62,6 +62,15 @@ def test_redaction_guards_hold_wherever_a_pattern_fits(spark):
         assert kind in [r.kind for r in found] and all(r.may for r in found)
 
 
+def test_stale_anchors_take_apart_only_named_files(spark, sf, monkeypatch):
+    seen = recorded(monkeypatch, workspace)
+    QUERIES["stale_anchors"](spark, sf).count()
+    named = {r.path for r in corpus.files(spark, sf).collect() if r.path.startswith("web/")}
+    lines = next(x for x in seen if "line_no" in x.columns or "span_id" in x.columns)
+    fragments = spark.read.parquet(f"{sf}/pages.parquet").where("url like '%#_%'").count()
+    assert {r.path for r in lines.select("path").distinct().collect()} <= named and lines.select("path").distinct().count() <= fragments
+
+
 def test_layers_of_a_map_are_told_by_file(spark):
     spans = [("a.md:1", "a.md", "design_doc", "doc.heading", "A", "A"), ("a.md:2", "a.md", "design_doc", "doc.paragraph", "x", "x"), ("dist/b.md:1", "dist/b.md", "design_doc", "doc.heading", "B", "B"), ("c:1", None, "design_doc", "doc.heading", "C", "C")]
     rows = spark.createDataFrame(spans, "span_id string, path string, role string, kind string, label string, text string").withColumn("summary", F.col("text"))
