@@ -71,6 +71,14 @@ def test_stale_anchors_take_apart_only_named_files(spark, sf, monkeypatch):
     assert {r.path for r in lines.select("path").distinct().collect()} <= named and lines.select("path").distinct().count() <= fragments
 
 
+def test_parsers_read_their_own_files_only(spark):
+    files = spark.createDataFrame([("a.md", "# t"), ("b.json", '{"k": 1}'), ("tests/test_c.PY", "def test_x():\n  pass"), ("d.bin", None)], "path string, text string")
+    made = dispatch.dispatched(files)
+    assert "PartitionFilters: [isnotnull(_language" in plan(made)
+    got = {(r.path, r.kind) for r in made.collect()}
+    assert {("a.md", "doc.heading"), ("b.json", "config.entry"), ("tests/test_c.PY", "code.module"), ("d.bin", "file")} <= got and len([k for p, k in got if k == "file"]) == 4
+
+
 def test_layers_of_a_map_are_told_by_file(spark):
     spans = [("a.md:1", "a.md", "design_doc", "doc.heading", "A", "A"), ("a.md:2", "a.md", "design_doc", "doc.paragraph", "x", "x"), ("dist/b.md:1", "dist/b.md", "design_doc", "doc.heading", "B", "B"), ("c:1", None, "design_doc", "doc.heading", "C", "C")]
     rows = spark.createDataFrame(spans, "span_id string, path string, role string, kind string, label string, text string").withColumn("summary", F.col("text"))
