@@ -61,13 +61,14 @@ def impact(nodes: DataFrame) -> DataFrame:
 def impact_paths(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     """(node, hops, path, strength): how each node within `depth` hops of the seeds (column node) is reached first, edges
     followed both ways. path lists the nodes from a seed on; strength is the product of the confidences. Of ways with the
-    fewest hops the strongest last edge wins, then the smaller node before. edges are read once a hop: stage them."""
-    steps = both_ways(edges).where("node <> other").groupBy("node", "other").agg(F.max("confidence").alias("confidence"))
+    fewest hops the strongest last edge wins, then the smaller node before. edges are read once a hop and may repeat: only what
+    touches the nodes of the last hop is grouped."""
+    steps = both_ways(edges).select("node", "other", "confidence")  # a loop only leads to what is seen
     front = seeds.select("node").distinct().select("node", F.lit(0).cast("long").alias("hops"), F.array("node").alias("path"), F.lit(1.0).alias("strength"))
     seen = front = staged(front)
     for hop in range(1, depth + 1):
         reached = steps.join(front, "node").select(F.col("other").alias("to"), F.struct((-F.col("confidence")).alias("weak"), F.col("node").alias("by"), "path", "strength").alias("way"))
-        best = reached.groupBy("to").agg(F.min("way").alias("way")).join(seen.select(F.col("node").alias("to")), "to", "left_anti")
+        best = reached.where("to is not null").groupBy("to").agg(F.min("way").alias("way")).join(seen.select(F.col("node").alias("to")), "to", "left_anti")
         front = staged(best.select(F.col("to").alias("node"), F.lit(hop).cast("long").alias("hops"), F.concat("way.path", F.array("to")).alias("path"), (F.col("way.strength") * -F.col("way.weak")).alias("strength")))
         seen = seen.unionByName(front)
     return seen

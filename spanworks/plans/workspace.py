@@ -95,7 +95,7 @@ def _reached(spark, sf_dir):
     suppliers = tables.table(spark, sf_dir, "supplier")
     nodes = suppliers.select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("span_id"), F.col("s_name").alias("path"), F.lit("code.class").alias("kind"), F.col("s_name").alias("label"), F.lit(1).alias("start_line"))
     wanted = suppliers.where(F.col("s_name").endswith("00001")).select(F.col("s_name").alias("target"), F.lit("auto").alias("type")).distinct()
-    found = graph.impact_paths(staged(tables.edges(spark, sf_dir)), graph.resolved_seeds(wanted, nodes).select("node"), 2)
+    found = graph.impact_paths(tables.edges(spark, sf_dir, once=False), graph.resolved_seeds(wanted, nodes).select("node"), 2)
     return found.withColumn("kind", F.split("node", ":")[0])
 
 

@@ -71,6 +71,14 @@ def test_stale_anchors_take_apart_only_named_files(spark, sf, monkeypatch):
     assert {r.path for r in lines.select("path").distinct().collect()} <= named and lines.select("path").distinct().count() <= fragments
 
 
+def test_impact_neither_writes_nor_groups_all_edges(spark, sf, monkeypatch):
+    seen = recorded(monkeypatch, workspace)
+    assert QUERIES["impact_paths"](spark, sf).count() == 50 and not any("source_id" in x.columns for x in seen)
+    edges = spark.createDataFrame([("a", "b", "r", 0.5), ("a", "b", "r", 0.5), ("b", "a", "s", 0.7), ("b", "c", "r", 1.0), ("b", None, "r", 1.0)], "source_id string, target_id string, relation string, confidence double")
+    got = {r.node: (r.hops, r.path, r.strength) for r in graph.impact_paths(edges, spark.createDataFrame([("a",)], "node string")).collect()}
+    assert got == {"a": (0, ["a"], 1.0), "b": (1, ["a", "b"], 0.7), "c": (2, ["a", "b", "c"], 0.7)}
+
+
 def test_parsers_read_their_own_files_only(spark):
     files = spark.createDataFrame([("a.md", "# t"), ("b.json", '{"k": 1}'), ("tests/test_c.PY", "def test_x():\n  pass"), ("d.bin", None)], "path string, text string")
     made = dispatch.dispatched(files)
