@@ -1,8 +1,8 @@
-"""Near copies by exact Jaccard similarity of five-word shingles; bands of minima find the pairs to compare.
+"""Near copies by exact Jaccard similarity of five-word shingles; SimHash finds what to compare.
 
 A similarity of 0.8 leaves some 10 of the 64 bits of two SimHashes different, where covering masks guarantee nothing at a
-useful width; so the pipeline's stage, which is held to that similarity, finds its pairs this way. simhash.py is the
-operator within its radius."""
+useful width; so the pipeline's stage, which is held to that similarity, takes wide fingerprints, whose blocks have covering
+masks of their own (simhash.wide_links), and compares the sets of each family of fingerprints that these join."""
 
 from __future__ import annotations
 
@@ -14,18 +14,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from . import simhash
 from .common import columns_of, discard, row_hash, staged, text_mark
 from .components import connected_components
 
 WIDTH, SIMILARITY, SEED = 5, 0.8, 42
-#: Two sets of similarity s share no band with a chance of (1 - s**ROWS)**BANDS: 1.4e-7 at 0.8, less above.
-ROWS, BANDS = 4, 30
+PRINT = [f"f{i}" for i in range(simhash.WIDE)]
 
 #: Bytes of sets that one task compares at once, about.
 MOST_BYTES = 256 << 20
 
-_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (ROWS * BANDS, 1), np.uint64) << np.uint64(1) | np.uint64(1)
-
 
 def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct XXH64 of a text's `width`-word shingles; a shorter text is one shingle, one without a word none."""
@@ -39,29 +37,22 @@ def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.fromiter((hashed(joined[s : e - 1], SEED) for s, e in zip(chain((0,), ends), ends[width - 1 :])), np.uint64))
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
-    """A key for each band of ROWS minima; equal minima give equal keys."""
-    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max)
-    for at in range(0, len(found), 2048):  # bounded memory for very long texts
-        np.minimum(least, (found[at : at + 2048] * _FACTORS).min(axis=1), out=least)
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in least.reshape(BANDS, ROWS)], np.uint64).view(np.int64)
-
-
 def _node(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, keys, sizes = [], [], []
+        nodes, prints, sizes = [], [], []
         for t in batch.column(1).cast(pa.binary()):
             found = shingles(t.as_py())
             nodes.append(_node(found))
-            keys.append(band_keys(found))
+            prints.append(simhash.wide_fingerprint(found))
             sizes.append(found.nbytes)
-        flat = pa.array(np.concatenate(keys) if keys else [], pa.int64())
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1) * BANDS, pa.int32()), flat)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), lists, pa.array(sizes, pa.int64())], ["doc_id", "mark", "node", "keys", "bytes"])
+        longs = [pa.array(x) for x in np.array(prints, np.uint64).reshape(-1, simhash.WIDE).T.copy().view(np.int64)]
+        marks = [simhash.mark_of(x) for x in prints]
+        columns = [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(marks, pa.int64()), *longs]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "node", "bytes", "print", *PRINT])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,18 +118,23 @@ def _bucket_links(similarity: float):
 def links(docs: DataFrame, words: DataFrame, similarity: float = SIMILARITY, most: int = 20_000, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(a, b): links that connect the components of the graph that joins shingle sets of at least `similarity`.
 
-    docs: (doc_id, mark, text). words: distinct sets, as (node, first, keys), where first is the (doc_id, mark) of a row
-    that has the set. Of buckets with the same members one is compared, by the sets themselves. A bucket yields a star for
-    each component within it, never all pairs; one of over `most` sets, or of sets of over `most_bytes` bytes together, is
-    dealt in blocks, each pair of which is a bucket of its own.
+    docs: (doc_id, mark, text). words: distinct sets, as (node, first, bytes, print, f0, ...), where first is the (doc_id,
+    mark) of a row that has the set, f0, ... its wide fingerprint and print the hash of that. The sets of a family, whose
+    fingerprints links join, are compared as one bucket. A bucket yields a star for each component within it, never all
+    pairs; one of over `most` sets, or of sets of over `most_bytes` bytes together, is dealt in blocks, each pair of which
+    is a bucket of its own.
     """
-    rows = words.select("node", "bytes", F.posexplode("keys").alias("t", "key"))
-    groups = rows.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("mark"), F.sum("bytes").alias("bytes")).where("n > 1")
-    once = staged(groups.groupBy("n", "least", "mark").agg(F.min(F.struct("t", "key", "bytes")).alias("x")).select("x.t", "x.key", "n", F.col("x.bytes").alias("held")))
-    dealt = rows.join(once, ["t", "key"]).withColumn("blocks", F.when((F.col("n") <= most) & (F.col("held") <= most_bytes), 1).otherwise(F.ceil(2 * F.greatest(F.col("n") / most, F.col("held") / most_bytes))).cast("int"))
+    near = staged(simhash.wide_links(words.select(*PRINT)))
+    joined = staged(connected_components(near, "a", "b"))
+    discard(near)
+    rows = words.select("node", "bytes", "print").join(joined.select(F.col("node").alias("print"), "component"), "print", "left")
+    rows = staged(rows.select("node", "bytes", F.coalesce("component", "print").alias("family")))
+    discard(joined)
+    groups = rows.groupBy("family").agg(F.count("*").alias("n"), F.sum("bytes").alias("held")).where("n > 1")
+    dealt = rows.join(groups, "family").withColumn("blocks", F.when((F.col("n") <= most) & (F.col("held") <= most_bytes), 1).otherwise(F.ceil(2 * F.greatest(F.col("n") / most, F.col("held") / most_bytes))).cast("int"))
     dealt = dealt.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = staged(dealt.select(F.xxhash64("t", "key", F.least("i", "j"), F.greatest("i", "j")).alias("bucket"), "node"))
-    discard(once)
+    dealt = staged(dealt.select(F.xxhash64("family", F.least("i", "j"), F.greatest("i", "j")).alias("bucket"), "node"))
+    discard(rows)
     wanted = words.join(dealt.select("node").distinct(), "node").select(F.col("first.doc_id").alias("__sw_id"), F.col("first.mark").alias("__sw_mark")).distinct()
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__sw_id")) & (F.col("mark") == F.col("__sw_mark")), "left_semi").select("text")
     sets = staged(texts.mapInArrow(_sets, "node long, set binary").groupBy("node").agg(F.first("set").alias("set")))
@@ -157,9 +153,9 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, most: int = 20_
     own set; an empty table gives no rows; other columns are not read.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark().alias("mark"), "text")
-    marked = staged(texts.select("doc_id", "text", "mark").mapInArrow(_signatures, "doc_id long, mark long, node long, keys array<long>, bytes long"))
+    marked = staged(texts.select("doc_id", "text", "mark").mapInArrow(_signatures, "doc_id long, mark long, node long, bytes long, print long, " + ", ".join(f"{x} long" for x in PRINT)))
     row = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "mark")
-    words = staged(marked.groupBy("node").agg(F.min(row).alias("first"), F.first("keys").alias("keys"), F.first("bytes").alias("bytes")))
+    words = staged(marked.groupBy("node").agg(F.min(row).alias("first"), *[F.first(x).alias(x) for x in ("bytes", "print", *PRINT)]))
     joined = links(texts, words, similarity, most)
     found = staged(connected_components(joined, "a", "b"))
     roots = found.select(F.col("node").alias("__sw_node"), "component")

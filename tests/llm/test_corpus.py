@@ -260,6 +260,41 @@ def test_large_buckets_of_near_copies_split(spark):
     assert parts[0] == parts[1] and len({r.component_id for r in parts[0]}) < 120
 
 
+def test_near_copies_are_found_by_simhash(spark, monkeypatch):
+    """The stage's pairs come from covering masks of SimHash: a similarity of 0.8 is found, and without its links nothing is."""
+    rng, rows, found = np.random.default_rng(11), [], 0
+    for base in range(60):  # one shingle of 8 words' four is new, or ten of 90: a similarity of 0.8
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 8 if base % 2 else 94)]
+        rows += [(2 * base, " ".join(words)), (2 * base + 1, " ".join([*words, "other"] if base % 2 else [*words[:84], *(f"o{x}" for x in range(10))]))]
+        one, other = (shingles.shingles(t.encode()) for _, t in rows[-2:])
+        assert len(np.intersect1d(one, other)) == 0.8 * len(np.union1d(one, other))
+        a, b = simhash.wide_fingerprint(one), simhash.wide_fingerprint(other)
+        found += any(not int(a[w] ^ b[w]) & m for w, m in simhash.wide_masks())
+    assert found == 60
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in shingles.deduplicated(table).collect()} == set(range(0, 120, 2))
+    monkeypatch.setattr(simhash, "wide_links", lambda words: spark.createDataFrame([], "a long, b long"))
+    assert shingles.deduplicated(table).count() == 120
+
+
+def test_wide_buckets_join_components():
+    """A bucket's links give the components of all pairs, with clusters of over 256 and when told apart by further blocks."""
+    rng, n = np.random.default_rng(5), 1500
+    words = rng.integers(0, 1 << 63, (75, 4), dtype=np.uint64)[np.r_[np.zeros(500, int), rng.integers(0, 75, 1000)]]
+    for _ in range(34):
+        words[np.arange(n), rng.integers(0, 4, n)] ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+
+    def components(pairs):
+        label = np.arange(n)
+        for a, b in pairs:
+            label[label == max(label[a], label[b])] = min(label[a], label[b])
+        return label.tolist()
+
+    want = components((i, j) for i in range(n) for j in np.flatnonzero(np.bitwise_count(words[i] ^ words[:i]).sum(axis=1) <= simhash.NEAR))
+    assert 50 < len(set(want)) < 100
+    assert all(components(zip(*simhash._wide_bucket(words, 7, most))) == want for most in (10**9, 100))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7), (None, 3)]
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long"), "a", "b").collect()}
