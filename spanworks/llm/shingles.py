@@ -124,7 +124,7 @@ def links(docs: DataFrame, words: DataFrame, similarity: float = SIMILARITY, mos
     pairs; one of over `most` sets, or of sets of over `most_bytes` bytes together, is dealt in blocks, each pair of which
     is a bucket of its own.
     """
-    near = staged(simhash.wide_links(words.select(*PRINT)))
+    near = staged(simhash.wide_links(words.select("print", *PRINT)))
     joined = staged(connected_components(near, "a", "b"))
     discard(near)
     rows = words.select("node", "bytes", "print").join(joined.select(F.col("node").alias("print"), "component"), "print", "left")

@@ -22,6 +22,8 @@ BITS, SEED = 64, 42
 WIDE, HELD, BLOCK, BLOCKS, COVERED = 6, 4, 12, 5, 1
 #: Most bits of 256 in which candidates differ: 5.8 deviations above the mean at 0.8, 7 below that of unlike texts.
 NEAR = 72
+#: Tables that are looked up before the others, those of three blocks.
+FIRST = 9
 #: Blocks by which a bucket of many fingerprints is told apart within its task: a pair is lost to it with a chance of 0.001.
 DEEPER = 12
 
@@ -248,9 +250,29 @@ def _near_pairs(words: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarra
             stack, left = np.concatenate([stack[size:], left[hit]]), left[~hit]
 
 
-def _wide_bucket(words: np.ndarray, table: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that join the components of one bucket. One of over `most` rows is told apart by the masks of further blocks."""
-    runs = [np.arange(len(words))]
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the components of rows a and b. root leads from a row to smaller rows of its component, the smallest to itself."""
+    while len(a):
+        both = np.concatenate([a, b])
+        while (root[root[both]] != root[both]).any():
+            root[both] = root[root[both]]
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+
+
+def _wide_bucket(words: np.ndarray, table: int, most: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (head, member) of rows: a star for each component of one bucket, from its first row. Rows of one `known` value
+    are linked already and count as one, by the first of them; so links are fewer than these. A bucket of over `most` rows is
+    told apart by the masks of further blocks."""
+    rows = np.arange(len(words))
+    runs, root = [rows], rows.copy()
+    if known is not None:
+        _, first, at = np.unique(known, return_index=True, return_inverse=True)
+        root = first[at]
+        if len(first) == 1:
+            return rows[:0], rows[:0]
+    ends = np.flatnonzero(root == rows)
     if len(words) > most:
         masks = covering_masks(COVERED, BLOCK)
         runs = []
@@ -260,27 +282,31 @@ def _wide_bucket(words: np.ndarray, table: int, most: int) -> tuple[np.ndarray,
                 key = words[:, w] & np.uint64(m << BLOCK * b)
                 order = np.argsort(key, kind="stable")
                 runs += [x for x in np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(x) > 1]
-    pairs = [np.stack(x) for run in runs for x in _near_pairs(words, run)]
-    return tuple(np.unique(np.concatenate(pairs, axis=1), axis=1)) if pairs else (runs[0][:0], runs[0][:0])
+    for run in runs:
+        for a, b in _near_pairs(words, run):
+            _join(root, a, b)
+    while (root[root] != root).any():
+        root = root[root]
+    members = ends[root[ends] != ends]
+    return root[members], members
 
 
 def _wide_bucket_links(most: int):
-    """Over rows (bucket, HELD longs) sorted by bucket: links within each bucket; a fingerprint goes by its hash."""
+    """Over rows (bucket, known, HELD longs) sorted by bucket and known: links within each bucket, by known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
 
         def close():
-            words = np.concatenate(held)
-            ends = _wide_bucket(words, bucket & 127, most) if len(words) > 1 else ()
-            marks = [pa.array([mark_of(words[i]) for i in end.tolist()], pa.int64()) for end in ends]
-            return pa.RecordBatch.from_arrays(marks, ["a", "b"]) if marks else None
+            known, words = (np.concatenate(x) for x in zip(*held))
+            ends = _wide_bucket(words, bucket & 127, most, known) if len(words) > 1 else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(known[x]) for x in ends], ["a", "b"]) if len(ends[0]) else None
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = batch.column(0).to_numpy()
-            words = np.stack([batch.column(1 + i).to_numpy() for i in range(HELD)], axis=1).view(np.uint64)
+            keys, known = (batch.column(i).to_numpy() for i in range(2))
+            words = np.stack([batch.column(2 + i).to_numpy() for i in range(HELD)], axis=1).view(np.uint64)
             cuts = np.r_[0, np.flatnonzero(np.diff(keys)) + 1, len(keys)]
             for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if held and keys[s] != bucket:
@@ -288,7 +314,7 @@ def _wide_bucket_links(most: int):
                         yield links
                     held = []
                 bucket = int(keys[s])
-                held.append(words[s:e])
+                held.append((known[s:e], words[s:e]))
         if held and (links := close()) is not None:
             yield links
 
@@ -303,11 +329,20 @@ def mark_of(words: np.ndarray) -> int:
 def wide_links(words: DataFrame, most: int = 2_000) -> DataFrame:
     """(a, b): links, by `mark_of`, that connect the components of the graph that joins wide fingerprints within NEAR bits.
 
-    words: wide fingerprints, columns f0, f1, ... A fingerprint goes to the bucket of each mask of each block; fingerprints
-    of which some block differs in at most COVERED bits share one for certain. A bucket holds 32 bytes a fingerprint and
-    yields links that join its components, never all pairs; one of over `most` is told apart by further blocks in its task.
+    words: wide fingerprints, columns f0, f1, ... and print, their `mark_of`. A fingerprint goes to the bucket of each mask of
+    each block; fingerprints of which some block differs in at most COVERED bits share one for certain. A bucket holds 40
+    bytes a fingerprint and yields a star for each component within it, never all pairs; one of over `most` is told apart by
+    further blocks in its task. The first tables' links tell what is linked already: such fingerprints go on by one name, the
+    least head, and the other tables only link names, so that a group's links don't repeat in each table.
     """
-    buckets = [F.xxhash64(F.lit(t), F.col(f"f{w}").bitwiseAND(F.lit(_signed(m)))).bitwiseAND(F.lit(-128)).bitwiseOR(F.lit(t)) for t, (w, m) in enumerate(wide_masks())]
-    held = [f"f{i}" for i in range(HELD)]
-    rows = words.select(F.explode(F.array(*buckets)).alias("bucket"), *held)
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_wide_bucket_links(most), "a long, b long")
+    held, masks = [f"f{i}" for i in range(HELD)], list(enumerate(wide_masks()))
+
+    def linked(rows: DataFrame, some: list) -> DataFrame:
+        buckets = [F.xxhash64(F.lit(t), F.col(f"f{w}").bitwiseAND(F.lit(_signed(m)))).bitwiseAND(F.lit(-128)).bitwiseOR(F.lit(t)) for t, (w, m) in some]
+        rows = rows.select(F.explode(F.array(*buckets)).alias("bucket"), "known", *held)
+        return rows.repartition("bucket").sortWithinPartitions("bucket", "known").mapInArrow(_wide_bucket_links(most), "a long, b long")
+
+    first = staged(linked(words.withColumn("known", F.col("print")), masks[:FIRST]))
+    heads = first.groupBy(F.col("b").alias("print")).agg(F.min("a").alias("head"))
+    named = words.join(heads, "print", "left").withColumn("known", F.coalesce("head", "print"))
+    return first.union(linked(named, masks[FIRST:]))

@@ -295,6 +295,40 @@ def test_wide_buckets_join_components():
     assert all(components(zip(*simhash._wide_bucket(words, 7, most))) == want for most in (10**9, 100))
 
 
+def test_links_of_near_copies_grow_with_their_number(spark):
+    """A group of near copies gives a few links a member, not its pairs; they join it and leave what is unlike alone."""
+    rng, counts = np.random.default_rng(9), []
+    for n in (120, 240):
+        words = np.repeat(rng.integers(0, 1 << 63, (2, simhash.WIDE), dtype=np.uint64), n, axis=0)
+        for w in range(simhash.WIDE):
+            for _ in range(5):
+                words[:, w] ^= np.uint64(1) << rng.integers(0, 64, 2 * n).astype(np.uint64)
+        marks = [simhash.mark_of(x) for x in words]
+        rows = [(m, *x) for m, x in zip(marks, words.view(np.int64).tolist())]
+        links = simhash.wide_links(spark.createDataFrame(rows, "print long, " + ", ".join(f"f{i} long" for i in range(simhash.WIDE)))).distinct()
+        found = {r.node: r.component for r in connected_components(links, "a", "b").collect()}
+        assert found == {m: min(group) for group in (marks[:n], marks[n:]) for m in group}
+        counts.append(links.count())
+    assert counts[1] < 3 * counts[0] and counts[1] < 10 * 480
+
+
+def test_wide_buckets_take_known_links():
+    """What is known to be linked counts as one: its links are not given again, the rest joins the same components."""
+    rng, n = np.random.default_rng(6), 600
+    words = rng.integers(0, 1 << 63, (6, 4), dtype=np.uint64)[rng.integers(0, 6, n)]
+    for _ in range(20):
+        words[np.arange(n), rng.integers(0, 4, n)] ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    for most in (10**9, 100):
+        head, member = simhash._wide_bucket(words, 7, most)
+        assert len(member) == len(set(member)) == n - 6 and len(set(head)) == 6
+        part = member[::2]
+        known = np.arange(n)
+        known[part] = head[::2]
+        ends = simhash._wide_bucket(words, 7, most, known)
+        assert dict(zip(known[ends[1]], known[ends[0]])) == dict(zip(member[1::2], head[1::2])) and len(ends[0]) == len(member[1::2])
+    assert not len(simhash._wide_bucket(words, 7, 100, np.zeros(n, int))[0])
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7), (None, 3)]
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long"), "a", "b").collect()}
