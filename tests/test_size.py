@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from spanworks.functions import classify
-from spanworks.operators import dispatch, features, graph, index
+from spanworks.operators import dispatch, features, graph, index, locate
 from spanworks.plans import workspace
 from spanworks.queries import QUERIES
 from spanworks.sources import corpus
@@ -95,3 +95,27 @@ def test_layers_of_a_map_are_told_by_file(spark):
     assert "resources/code" not in plan(made)
     got = sorted((r.section, r.path or "", r.label, r.n) for r in made.collect())
     assert [g for g in got if g[0] != "directories"] == [("documents", "", "C", 1), ("documents", "a.md", "A", 1), ("documents", "a.md", "x", 1), ("links", "a.md:1", "a.md:2", 1)]
+
+
+def test_parts_of_words_are_looked_up_no_further_than_their_first_places(spark, monkeypatch):
+    n, most = 2000, 5
+    paths = [f"p{i // 2 * 7919 % n:05d}" for i in range(n)]  # each path twice, and spans of every second pair of them alike
+    made = [(f"{p}:{i % 4 // 2 + 1}", p, i % 4 // 2 + 1, f"the W{i} {'late' if p > 'p01900' else ''} {'seldom' if p == 'p00004' else ''}") for i, p in enumerate(paths)]
+    rows = spark.createDataFrame(made, "span_id string, path string, start_line long, text string").withColumn("at", F.substring("path", 2, 5).cast("long"))
+    rows = rows.withColumns({c: F.lit("") for c in ("label", "role", "kind", "summary", "metadata", "symbol_path", "heading")})
+    terms = ["th", "w", "w19", "seldom", "late", "ate", "absent", "the w1"]
+    wanted = spark.createDataFrame([(1, "word", i, t) for i, t in enumerate(terms)], "q long, field string, ordinal int, term string")
+    monkeypatch.setattr(index, "SHARES", (16, 4), raising=False)
+    monkeypatch.setattr(index, "SHARE_ROWS", 10, raising=False)
+    for most_sent in (1_000_000, 1):
+        monkeypatch.setattr(index, "MOST_SENT", most_sent, raising=False)
+        seen = recorded(monkeypatch, index)
+        got = locate.routes(rows, wanted, "q", locate.Limits(words=most)).where("step = 4 and part = 1").collect()
+        expected = set()
+        for i, t in enumerate(terms):
+            spots = sorted({(p, line, s) for s, p, line, text in made if t in text.lower() or t in p})[:most]
+            expected |= {(i, s, rank + 1) for rank, (_, _, s) in enumerate(spots)}
+        assert {(r.ordinal, r.span_id, r["rank"]) for r in got} == expected and len(got) == len(expected)
+        # Each text has a run of its own with a "w"; pairs of it and what holds it are written for the first ones alone.
+        pairs = [x for x in seen if "run" in x.columns and {"low", "part"} & set(x.columns)]
+        assert pairs and all(x.where("run like 'w%'").count() < n / 2 for x in pairs)
