@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from spanworks.functions import classify
-from spanworks.operators import dispatch, features, graph, index, locate
+from spanworks.operators import dispatch, features, graph, index, links, locate
 from spanworks.plans import workspace
 from spanworks.queries import QUERIES
 from spanworks.sources import corpus
@@ -119,3 +119,24 @@ def test_parts_of_words_are_looked_up_no_further_than_their_first_places(spark,
         # Each text has a run of its own with a "w"; pairs of it and what holds it are written for the first ones alone.
         pairs = [x for x in seen if "run" in x.columns and {"low", "part"} & set(x.columns)]
         assert pairs and all(x.where("run like 'w%'").count() < n / 2 for x in pairs)
+
+
+def test_pairs_of_a_frequent_word_are_made_in_many_tasks(spark, tmp_path, monkeypatch):
+    docs = [(i, f"Word {'rare' if i % 2 else 'Seldom'} Word{i % 3}" if i % 50 else "Seldom Word", "en", "web", 1) for i in range(450)]
+    spark.createDataFrame([*docs, docs[7], docs[10]], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(links, "SOURCES", 20, raising=False)
+    monkeypatch.setattr(links, "TARGETS", 10, raising=False)
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.skewJoin.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    label = {i: t.split()[0] for i, t, *_ in docs if i % 9 in (0, 5)}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        for name, kinds in (("inline_code_links", (1, 6)), ("test_call_links", (7,))):
+            made = QUERIES[name](spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+            expected = sorted((f"span:{i}", f"span:{j}") for i, t, *_ in docs if i % 9 in kinds for j, said in label.items() if said in t.split())
+            assert sorted((r.source_id, r.target_id) for r in made) == expected
+            assert len({r.task for r in made if label[int(r.target_id[5:])] == "Word"}) > 2
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
