@@ -140,3 +140,29 @@ def test_pairs_of_a_frequent_word_are_made_in_many_tasks(spark, tmp_path, monkey
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_only_runs_that_a_phrase_has_are_shuffled(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [f"a{i % 7}", f"b{i % 11}", f"c{i}", f"d{i % 13}", f"e{i}", "f"]) for i in range(500)], "id long, words array<string>")
+    said = [(1, ["a1", "b1", "c1", "d1"]), (2, ["b2", "c2", "d2", "e2", "f"]), (3, ["f"]), (4, ["a0", "b0"]), (5, ["absent"])]
+    asked = spark.createDataFrame(said, "p long, said array<string>")
+    text = lambda words: f" {' '.join(words)} "
+    expected = sorted((p, r.id) for r in rows.collect() for p, s in said if text(s) in text(r.words))
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        for most, words in ((1_000_000, 1 << 20), (1, 1 << 20), (1, 2)):  # keys by themselves, by bits, and by bits that are mostly set
+            monkeypatch.setattr(index, "MOST_SENT", most, raising=False)
+            monkeypatch.setattr(index, "WORDS_SENT", words, raising=False)
+            plans, real = [], index.staged
+            monkeypatch.setattr(index, "staged", lambda rows, *rest, real=real: plans.append(plan(rows)) or real(rows, *rest))
+            found = index.phrase_rows(rows, ["id"], F.col("words"), asked, ["p"], F.col("said"))
+            assert sorted((r.p, r.id) for r in found.collect()) == expected
+            monkeypatch.setattr(index, "staged", real)
+            runs = next(p for p in plans if "Generate explode" in p and "_at" in p and "Join" in p and "xxhash64(slice" in p).split("== Physical Plan ==")[1]
+            assert "BroadcastHashJoin" in runs and "Exchange" not in runs[(at := runs.index("BroadcastHashJoin")) : runs.index("Generate", at)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
